@@ -1,0 +1,92 @@
+"""Ordered per-key work that stays balanced when one key holds a large share of rows.
+
+A window over a key puts all of that key's rows in one task.  The helpers here
+cut only the heavy keys into consecutive segments along the order column,
+run the window inside (key, segment), and add what earlier segments carry in.
+Ordinary keys take the plain path: one shuffle, no carry.
+
+A key is heavy when it has more than ``MIN_ROWS`` rows and more than 1/1000 of
+the table, so there are at most 1000 heavy keys and at most 257 segments each.
+That bound is why the cut points and the carries may be broadcast.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+MIN_ROWS = 1_000_000
+MAX_HEAVY_KEYS = 1000
+SEGMENTS = 256
+
+SEG = "_seg"
+
+
+def with_segments(df: DataFrame, keys: Sequence[str], order: str | Column,
+                  min_rows: int = MIN_ROWS) -> DataFrame:
+    """Add ``_seg``: -1 for ordinary keys, else the segment number along ``order``.
+
+    Rows with equal ``order`` values share a segment, and segments are
+    non-decreasing in ``order``, so segment order is row order.
+    """
+    keys = list(keys)
+    ordered = df.withColumn("_ord", F.col(order) if isinstance(order, str) else order)
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    heavy = (
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        .where((F.col("_n") > min_rows) & (F.col("_n") * MAX_HEAVY_KEYS > total))
+        .select(*keys)
+    )
+    cuts = (
+        ordered.join(F.broadcast(heavy), keys, "left_semi")
+        .groupBy(*keys)
+        .agg(F.percentile_approx("_ord", [i / SEGMENTS for i in range(1, SEGMENTS)], 10000)
+             .alias("_cuts"))
+    )
+    return (
+        ordered.join(F.broadcast(cuts), keys, "left")
+        .withColumn(SEG, F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(
+            F.size(F.filter("_cuts", lambda c: c < F.col("_ord")))))
+        .drop("_cuts", "_ord")
+    )
+
+
+def carried_in(segmented: DataFrame, keys: Sequence[str], value: Column,
+               alias: str) -> DataFrame:
+    """Sum of ``value`` over all earlier segments of each heavy key (broadcastable)."""
+    keys = list(keys)
+    per_segment = (
+        segmented.where(F.col(SEG) >= 0).groupBy(*keys, SEG)
+        .agg(F.sum(value).alias("_part"))
+    )
+    before = Window.partitionBy(*keys).orderBy(SEG).rowsBetween(
+        Window.unboundedPreceding, -1)
+    return per_segment.select(
+        *keys, SEG, F.coalesce(F.sum("_part").over(before), F.lit(0)).alias(alias))
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
+                value: Column, alias: str, min_rows: int = MIN_ROWS) -> DataFrame:
+    """Inclusive running sum of ``value`` per key along ``order``.
+
+    The first order column must be numeric, date or timestamp; it drives the cuts.
+    """
+    keys = list(keys)
+    seg = with_segments(df, keys, order[0], min_rows)
+    carry = carried_in(seg, keys, value, "_carry")
+    inside = Window.partitionBy(*keys, SEG).orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return (
+        seg.withColumn("_local", F.sum(value).over(inside))
+        .join(F.broadcast(carry), [*keys, SEG], "left")
+        .withColumn(alias, F.col("_local") + F.coalesce("_carry", F.lit(0)))
+        .drop("_local", "_carry", SEG)
+    )
+
+
+def position(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
+             alias: str = "pos", min_rows: int = MIN_ROWS) -> DataFrame:
+    """Dense 1-based position of each row inside its key."""
+    return running_sum(df, keys, order, F.lit(1).cast("bigint"), alias, min_rows)
