@@ -107,18 +107,25 @@ def order_prefix(text: Column) -> Column:
     return F.conv(head, 16, 10).cast("bigint")
 
 
-def cut_bytes(text: Column, limit: int) -> Column:
-    """At most ``limit`` bytes without splitting a character."""
+def cut_bytes_at(text: Column, limit: Column) -> Column:
+    """At most ``limit`` bytes without splitting a character.
+
+    A character has at most three continuation bytes, so the cut moves back at
+    most three places from ``limit`` to a byte that starts a character.
+    """
     raw = F.encode(text, "UTF-8")
-    # Only the last character can be cut: step back to where it starts.
-    starts = [
-        (F.coalesce(F.conv(F.hex(F.substring(raw, limit - b + 1, 1)), 16, 10).cast("int"),
-                    F.lit(0)).bitwiseAND(0xC0) != 0x80, limit - b)
-        for b in range(4)
-    ]
-    chosen = F.coalesce(*[F.when(ok, F.lit(n)) for ok, n in starts], F.lit(limit))
+
+    def starts(n: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(raw, n + 1, F.lit(1))), 16, 10).cast("int")
+        return byte.bitwiseAND(F.lit(0xC0)) != 0x80
+
+    keep = F.coalesce(*[F.when(starts(limit - b), limit - b) for b in range(4)], limit)
     return F.when(F.octet_length(text) <= limit, text).otherwise(
-        F.decode(F.substring(raw, F.lit(1), chosen), "UTF-8"))
+        F.decode(F.substring(raw, F.lit(1), keep), "UTF-8"))
+
+
+def cut_bytes(text: Column, limit: int) -> Column:
+    return cut_bytes_at(text, F.lit(limit))
 
 
 def strip_fence(text: Column) -> Column:

@@ -224,3 +224,70 @@ def course_rows(spark: SparkSession, sf: str) -> DataFrame:
         F.when(key % 11 == 0, "memory").otherwise(blank).alias("memory_slug"),
         F.when(key % 12 == 0, "shelf").otherwise(blank).alias("knowledge_collection"),
     )
+
+
+# --- processed lessons and chunks ---------------------------------------------
+
+def processed_lessons(spark: SparkSession, sf: str) -> DataFrame:
+    """documents as processed lessons, numbered within their source."""
+    from tutelage.operators.skew import position
+
+    doc = table(spark, sf, "documents").withColumn("module", F.concat(
+        F.lit("module_"), F.regexp_extract("source", r"(\d+)", 1)))
+    k = F.col("doc_id")
+    numbered = position(doc, ["module"], ["doc_id"])
+    return numbered.select(
+        "module", (F.col("pos") - 1).alias("lesson_index"),
+        F.concat(F.lit("Lesson\t"), k).alias("lesson"),
+        F.col("text").alias("lecture_content"),
+        F.create_map(
+            F.concat("lang", F.lit("-term-"), (k % 7).cast("string")),
+            F.concat(F.lit(" small in "), "source", F.lit(" by "), k.cast("string")),
+            F.concat(F.upper("lang"), F.lit("-Term-"), (k % 5).cast("string")),
+            F.concat(F.lit("capital by "), k.cast("string")),
+        ).alias("definitions"),
+        F.when(k % 4 == 0, F.expr("cast(map() as map<string,string>)")).otherwise(F.create_map(
+            F.concat((k % 50).cast("string"), F.lit(" °C")), F.lit("held warm"),
+            F.concat(F.col("n_chars").cast("string"), F.lit(" g/L")),
+            F.concat(F.lit("seen in "), "source"))).alias("key_numbers"),
+        F.transform(F.sequence(F.lit(0), k % 3), lambda i: F.concat(
+            F.lit("Step "), i.cast("string"), F.lit(" of "), k.cast("string"))).alias("processes"),
+    )
+
+
+def chunks(spark: SparkSession, sf: str) -> DataFrame:
+    from tutelage.operators.chunks import chunk_lessons
+
+    return chunk_lessons(processed_lessons(spark, sf), sep="\n")
+
+
+def raw_enrichment(spark: SparkSession, sf: str) -> DataFrame:
+    """Model answers for prose chunks: fenced or bare, some unusable, with too many
+    options and wrong answer numbers among them."""
+    prose = chunks(spark, sf).where("type = 'prose'").drop("term")
+    i, n = F.col("idx"), F.col("lesson_index")
+
+    def lit(text: str):
+        return F.lit(text)
+
+    options = F.array_join(F.transform(F.sequence(F.lit(1), i % 4 + 4), lambda j: F.concat(
+        lit('"opt '), j.cast("string"), lit(' of '), F.col("id"), lit('"'))), ",")
+    why = F.when(i % 2 == 1, F.concat(lit("Because\\r"), F.col("id"))).otherwise("")
+    body = F.concat(
+        lit('{"summary":"'), F.when(i % 3 == 2, "").otherwise(F.concat(lit("Sum of "), "id")),
+        lit('","key_terms":["a","b"],"multiple_choice":[{"question":"What is\\t'), "id",
+        lit('?","options":['), options, lit('],"correct_index":'),
+        ((n + i) % 9 - 1).cast("string"), lit(',"explanation":"'), why,
+        lit('"}],"short_answer":[{"question":"Why '), "id", lit('?","answer":"So\\n'),
+        F.when(i % 7 == 3, "").otherwise(F.col("id")), lit('"}]}'))
+    fenced = (F.when(i % 3 == 0, F.concat(lit("```json\n"), body, lit("\n```\n")))
+              .when(i % 3 == 1, F.concat(lit("```"), body, lit("```"))).otherwise(body))
+    return prose.withColumn("raw", F.when((n + i) % 11 == 5, F.concat(
+        lit("Sorry: "), F.left(body, lit(40)))).otherwise(fenced))
+
+
+def enriched_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    from tutelage.operators.chunks import parse_enrichment
+
+    parsed = parse_enrichment(raw_enrichment(spark, sf)).drop("raw", "status")
+    return parsed.withColumn("term", F.lit(None).cast("string"))

@@ -91,4 +91,4 @@ def with_ctes(body: str, *names: str, **extra: str) -> str:
     seen: dict[str, None] = {}
     _collect(list(names), seen)
     parts = [f"{n} AS ({CTES[n]})" for n in seen] + [f"{n} AS ({q})" for n, q in extra.items()]
-    return f"WITH {', '.join(parts)} {body}" if parts else body
+    return f"WITH RECURSIVE {', '.join(parts)} {body}" if parts else body
