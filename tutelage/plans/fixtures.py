@@ -291,3 +291,64 @@ def enriched_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
     parsed = parse_enrichment(raw_enrichment(spark, sf)).drop("raw", "status")
     return parsed.withColumn("term", F.lit(None).cast("string"))
+
+
+# --- lesson trees, golden grades, files ------------------------------------------
+
+def tree_lessons(spark: SparkSession, sf: str) -> DataFrame:
+    """documents as a lesson tree with the faults a lint must find."""
+    k = F.col("doc_id")
+    gone, blank = k % 50 == 11, k % 97 == 0
+    text = F.when(gone, F.lit(None)).when(blank, "").otherwise(
+        F.when(k % 3 == 0, F.concat(F.lit("\n# "), "content")).otherwise(F.col("content")))
+    size = F.when(gone, F.lit(None)).when(blank, 0).otherwise(F.col("n_bytes") * 60)
+    return doc_lessons(spark, sf).withColumn("content", text).withColumn(
+        "n_bytes", size.cast("bigint"))
+
+
+def tree_modules(spark: SparkSession, sf: str) -> DataFrame:
+    """Listed modules plus one per course that has no directory."""
+    listed = listed_modules(spark, sf)
+    ghost = listed.select("course").distinct().select(
+        "course", F.lit("Module_99").alias("dir"), F.lit(99).alias("num"),
+        F.lit(1).alias("module_order"))
+    return listed.unionByName(ghost)
+
+
+def assets(spark: SparkSession, sf: str) -> DataFrame:
+    """Two or three files per document; texts repeat, so contents do too."""
+    k = F.col("doc_id")
+    kind = (F.when(k % 5 == 0, "fig.png").when(k % 5 == 1, "fig.JPG").when(k % 5 == 2, "fig.svg")
+            .when(k % 5 == 3, "fig.txt").otherwise("fig.webp"))
+    names = F.array_compact(F.array(
+        kind, F.when(k % 2 == 0, "plan.svg"), F.when(k % 4 == 0, "plan.PNG")))
+    named = doc_lessons(spark, sf).withColumn("name", F.explode(names))
+    return named.select(
+        "course", "dir", "lesson_dir", "doc_id", "name",
+        F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1)).alias("ext"),
+        F.concat_ws("/", "course", "dir", "lesson_dir", F.lit("images"), "name").alias("path"),
+        F.when(F.col("name").startswith("plan"), F.concat("name", "dir"))
+        .otherwise(F.col("content")).alias("content"))
+
+
+def golden(spark: SparkSession, sf: str) -> DataFrame:
+    """labels and documents as golden grades; some ids are not in the bank."""
+    doc = table(spark, sf, "documents").drop("text")
+    return table(spark, sf, "labels").join(doc, "doc_id").select(
+        "doc_id", F.col("source").alias("grader"),
+        (F.col("doc_id") * 7 % 2500).cast("string").alias("question_id"),
+        F.concat_ws(" ", "source", "lang", "n_chars").alias("learner_answer"),
+        (F.col("quality") * 4 + F.col("toxic")).alias("expected"),
+        (F.col("n_chars") % 6).cast("int").alias("actual"))
+
+
+def golden_lines(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("doc_id")
+    good = F.concat(
+        F.lit('{"question_id":"'), F.when(k % 40 == 7, "").otherwise(F.col("question_id")),
+        F.lit('","learner_answer":"'), "learner_answer", F.lit('","expected_quality":'),
+        F.when(k % 40 == 5, "9").when(k % 40 == 6, '"five"').otherwise(
+            F.col("expected").cast("string")), F.lit(',"extra":1}'))
+    return golden(spark, sf).select(
+        "doc_id", F.when(k % 40 == 3, "{bad").when(k % 40 == 9, "   ").otherwise(good)
+        .alias("value"))

@@ -132,7 +132,7 @@ ORACLES = {
               FROM sized z JOIN (
                 SELECT doc_id, seg, idx, max(used) AS chars,
                        lag(max(used)) OVER (PARTITION BY doc_id, seg ORDER BY idx) AS prev_chars
-                FROM sized GROUP BY ALL) c USING (doc_id, seg, idx))
+                FROM sized GROUP BY doc_id, seg, idx) c USING (doc_id, seg, idx))
         GROUP BY doc_id, seg, to_idx)""",
         segs="""
           SELECT doc_id, unnest(a) AS text, generate_subscripts(a, 1) AS seg

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tutelage.plans import bank_queries, chunk_queries, study_queries
-from tutelage.plans.oracles import bank, chunks, study
+from tutelage.plans import bank_queries, chunk_queries, course_queries, study_queries
+from tutelage.plans.oracles import bank, chunks, course, study
 
-_QUERY_SETS = [study_queries, bank_queries, chunk_queries]
-_ORACLE_SETS = [study, bank, chunks]
+_QUERY_SETS = [study_queries, bank_queries, chunk_queries, course_queries]
+_ORACLE_SETS = [study, bank, chunks, course]
 
 QUERIES = {k: f for m in _QUERY_SETS for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _ORACLE_SETS for k, s in m.ORACLES.items()}
