@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WS = r"[\s\x0B\x85\p{Z}]"
@@ -149,3 +149,14 @@ def clean_path(path: Column) -> Column:
             F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
         .otherwise(F.concat(acc, F.array(step))),
         lambda acc: F.array_join(acc, "/"))
+
+
+def check_sheets(sheets: DataFrame) -> DataFrame:
+    """Equation sheets (``raw``): fence dropped, must start with a heading; counts the
+    third-level headings below the first line, one per equation."""
+    body = strip(F.regexp_replace(F.regexp_replace(
+        strip(F.col("raw")), r"\A```(?:markdown|md)?", ""), r"```\z", ""))
+    status = (F.when(body == "", "empty").when(~body.startswith("#"), "not markdown")
+              .otherwise("ok"))
+    return sheets.withColumn("sheet", body).withColumn("status", status).withColumn(
+        "equations", F.when(status == "ok", F.regexp_count(body, F.lit(r"\n### "))).otherwise(0))

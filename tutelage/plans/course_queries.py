@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tutelage.functions import text as X
-from tutelage.operators import aids, bank, flows, grading, lint
+from tutelage.operators import aids, flows, grading, lint
 from tutelage.plans import fixtures as fx
 from tutelage.session import shared_dir
 from tutelage.sources import files, sinks
@@ -143,18 +142,6 @@ def _annotate(s, d):
 
 # --- build steps -----------------------------------------------------------------
 
-def _sheets(s, d):
-    """documents as equation sheets in every shape the check must tell apart."""
-    k = F.col("doc_id")
-    lines = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(
-        i % 3 == 1, F.concat(F.lit("### "), x)).otherwise(x)), "\n")
-    body = F.concat(F.when(k % 5 == 3, "").otherwise("# Equations\n"), lines)
-    raw = (F.when(k % 5 == 0, F.concat(F.lit("```markdown\n"), body, F.lit("\n```")))
-           .when(k % 5 == 1, F.concat(F.lit("  ```md\n"), body, F.lit("```\n")))
-           .when(k % 5 == 4, "``` \n```").otherwise(body))
-    return fx.table(s, d, "documents").select("doc_id", raw.alias("raw"))
-
-
 def _merge(s, d):
     lessons = fx.processed_lessons(s, d).select(
         "module", "lesson_index", "lesson", F.size("processes").alias("n_processes"))

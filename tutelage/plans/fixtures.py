@@ -352,3 +352,84 @@ def golden_lines(spark: SparkSession, sf: str) -> DataFrame:
     return golden(spark, sf).select(
         "doc_id", F.when(k % 40 == 3, "{bad").when(k % 40 == 9, "   ").otherwise(good)
         .alias("value"))
+
+
+# --- equations ---------------------------------------------------------------------
+
+_VAR = ("struct<name:string,symbol:string,unit:string,desc:string,role:string,min:double,"
+        "max:double,step:double,value:double,decimals:int>")
+
+
+def _var(name: str, role: str = "input", lo=0.0, hi=0.0, step=0.0, value=0.0, decimals=0,
+         unit: str = ""):
+    def num(x):
+        return (x if not isinstance(x, (int, float)) else F.lit(float(x))).cast("double")
+
+    return F.struct(
+        F.lit(name).alias("name"), F.lit("").alias("symbol"), F.lit(unit).alias("unit"),
+        F.lit(f"the {name}").alias("desc"), F.lit(role).alias("role"), num(lo).alias("min"),
+        num(hi).alias("max"), num(step).alias("step"), num(value).alias("value"),
+        F.lit(decimals).alias("decimals")).cast(_VAR)
+
+
+def equations(spark: SparkSession, sf: str) -> DataFrame:
+    """part as an equation catalog: eight shapes, three of them sound, the others
+    wrong in the ways a check must find."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    shape = k % 8
+
+    def by_shape(values: list, otherwise=None):
+        out = F.lit(otherwise)
+        for i, value in enumerate(values):
+            if value is not None:
+                out = F.when(shape == i, value).otherwise(out)
+        return out
+
+    acid = [_var("V_NaOH", lo=5, hi=20, step=0.1, decimals=1, unit="mL"),
+            _var("N", "constant", value=0.1, unit="N"),
+            _var("V_sample", lo=10, hi=50, step=5, unit="mL")]
+    span = 5 + size % 5
+    variables = by_shape([
+        F.array(*acid),
+        F.array(_var("x", lo=0, hi=span, decimals=2), _var("y", "constant", value=size)),
+        F.array(_var("n", lo=1, hi=6, step=1), _var("c0", "constant", value=size + 1)),
+        F.array(*acid),
+        F.array(_var("x", lo=10, hi=5)),
+        F.array(_var("x", lo=1, hi=2), _var("y", lo=1, hi=3)),
+        F.array(_var("x", lo=1, hi=2), _var("y", lo=1, hi=3)),
+        F.array(_var("x", lo=1, hi=9), _var("y", lo=2, hi=2, step=-1), _var("")),
+    ])
+
+    def example(inputs: dict[str, float], expected):
+        flat = [F.lit(x) for pair in inputs.items() for x in pair]
+        return F.struct(
+            F.create_map(*flat).alias("inputs"), expected.cast("double").alias("expected"),
+            F.lit(0.0).alias("tol"), F.lit("").alias("note"))
+
+    acid_example = F.array(example({"V_NaOH": 12.5, "V_sample": 25.0}, F.lit(0.375)))
+    examples = by_shape([
+        acid_example, F.array(example({"x": 2.0}, size - 4)), None, acid_example, None, None, None,
+        F.array(example({"x": 4.0, "y": 1.0}, F.lit(5.0)))])
+    no_examples = F.expr("cast(array() as array<struct<inputs:map<string,double>,expected:double,"
+                         "tol:double,note:string>>)")
+    expr = by_shape([
+        "(V_NaOH * N * 7.5) / V_sample", "-x^2 + y", "2^-n * c0",
+        "(V_NaOH * N * 5.0) / V_sample", "x * missing", "x / (y - y)", "x * (y",
+        "sqrt(x) + max(y, 3)"])
+    return table(spark, sf, "part").select(
+        F.when(k % 31 == 0, F.concat(F.lit("eq"), k - k % 2)).otherwise(
+            F.concat(F.lit("eq"), k)).alias("id"),
+        F.concat(F.lit("module_"), F.substring("p_brand", 7, 10)).alias("module"),
+        F.col("p_type").alias("topic"),
+        F.when(k % 37 == 0, "").otherwise(F.concat_ws(" ", "p_name", k.cast("string"))).alias("name"),
+        by_shape(["TA = (V_NaOH × N × 7.5) / V_sample"], "").alias("source"),
+        F.when(k % 41 == 0, " ").otherwise(expr).alias("expr"),
+        variables.alias("vars"),
+        F.struct(by_shape(["TA"], "").alias("symbol"), by_shape(["g/L"], "").alias("unit"),
+                 by_shape(["titratable acidity"], "").alias("desc"),
+                 by_shape([F.lit(3), F.lit(4), F.lit(5)], 0).cast("int").alias("decimals")
+                 ).alias("result"),
+        by_shape(["A {V_sample} mL sample takes {V_NaOH} mL of base. Find the acidity.", None,
+                  None, None, None, None, None, "Use {x} and {zz}."], "").alias("prompt"),
+        F.lit("").alias("use_note"), F.lit("c").alias("citation"),
+        F.coalesce(examples, no_examples).alias("examples"), k.alias("pos"), shape.alias("shape"))

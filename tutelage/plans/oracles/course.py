@@ -303,11 +303,15 @@ ORACLES = {
                                    AS minutes FROM documents GROUP BY ALL) USING (source, lang))
       WINDOW w AS (PARTITION BY source, lang ORDER BY lesson_index)""",
     "corpus_budget": q("""
-      SELECT module, lesson_index, before, CAST(least(strlen(text), 60000 - before) AS INT) AS bytes,
-             CASE WHEN before + strlen(text) <= 60000 THEN md5(text) END AS md5
-      FROM (SELECT *, CAST(coalesce(sum(strlen(text)) OVER (PARTITION BY module
+      SELECT module, lesson_index, before, CAST(CASE WHEN strlen(text) <= room THEN strlen(text)
+               ELSE room - list_min(list_filter(range(0, 4), lambda b: NOT (
+                 substr(h, CAST((room - b) * 2 + 1 AS BIGINT), 2) BETWEEN '80' AND 'BF'))) END
+               AS INT) AS bytes,
+             CASE WHEN strlen(text) <= room THEN md5(text) END AS md5
+      FROM (SELECT *, 60000 - before AS room, hex(encode(text)) AS h
+            FROM (SELECT *, CAST(coalesce(sum(strlen(text)) OVER (PARTITION BY module
                      ORDER BY lesson_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-                   AS BIGINT) AS before FROM texts)
+                   AS BIGINT) AS before FROM texts))
       WHERE before <= 60000""", lessons=LESSONS, nums=NUMS, texts="""
       SELECT module, lesson_index, '## ' || lesson || chr(10) || chr(10) || trim(d.text) ||
              chr(10) || CASE WHEN doc_id % 4 <> 0 THEN chr(10) || 'Key numbers:' || chr(10) || (

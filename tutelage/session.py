@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -48,3 +49,16 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         base = os.path.join(tempfile.gettempdir(), f"tutelage-{uuid.uuid4().hex[:12]}")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once, for the few jobs with Python tasks."""
+    context = spark.sparkContext
+    if getattr(context, "_tutelage_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="tutelage-"), "tutelage"), "zip",
+        os.path.dirname(here), os.path.basename(here))
+    context.addPyFile(archive)
+    context._tutelage_shipped = True
