@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tutelage.functions import scoring as S
+from tutelage.operators.chunks import chunk_lessons, parse_enrichment
+from tutelage.operators.skew import position
+from tutelage.session import stored
 
 # "Now" for every schedule question; fixed so results are repeatable.
 NOW = "2001-11-04 00:30:00"
@@ -230,12 +233,10 @@ def course_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def processed_lessons(spark: SparkSession, sf: str) -> DataFrame:
     """documents as processed lessons, numbered within their source."""
-    from tutelage.operators.skew import position
-
     doc = table(spark, sf, "documents").withColumn("module", F.concat(
         F.lit("module_"), F.regexp_extract("source", r"(\d+)", 1)))
     k = F.col("doc_id")
-    numbered = position(doc, ["module"], ["doc_id"])
+    numbered = stored(position(doc, ["module"], ["doc_id"]), "lessons")
     return numbered.select(
         "module", (F.col("pos") - 1).alias("lesson_index"),
         F.concat(F.lit("Lesson\t"), k).alias("lesson"),
@@ -256,8 +257,6 @@ def processed_lessons(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    from tutelage.operators.chunks import chunk_lessons
-
     return chunk_lessons(processed_lessons(spark, sf), sep="\n")
 
 
@@ -287,8 +286,6 @@ def raw_enrichment(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def enriched_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    from tutelage.operators.chunks import parse_enrichment
-
     parsed = parse_enrichment(raw_enrichment(spark, sf)).drop("raw", "status")
     return parsed.withColumn("term", F.lit(None).cast("string"))
 

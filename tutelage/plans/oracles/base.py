@@ -80,15 +80,17 @@ NEEDS = {
 }
 
 
-def _collect(names: list[str], seen: dict[str, None]) -> None:
+def needed(names: list[str]) -> list[str]:
+    """The named tables and everything they build on, in order."""
+    order: dict[str, None] = {}
     for name in names:
-        _collect(NEEDS.get(name, []), seen)
-        seen[name] = None
+        order.update(dict.fromkeys(needed(NEEDS.get(name, []))))
+        order[name] = None
+    return list(order)
 
 
 def with_ctes(body: str, *names: str, **extra: str) -> str:
     """``body`` with the named shared tables, and any extra ones, in front."""
-    seen: dict[str, None] = {}
-    _collect(list(names), seen)
-    parts = [f"{n} AS ({CTES[n]})" for n in seen] + [f"{n} AS ({q})" for n, q in extra.items()]
+    parts = [f"{n} AS ({CTES[n]})" for n in needed(list(names))]
+    parts += [f"{n} AS ({sql})" for n, sql in extra.items()]
     return f"WITH RECURSIVE {', '.join(parts)} {body}" if parts else body

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from tutelage.plans import bank_queries, chunk_queries, course_queries, maths_queries, study_queries
-from tutelage.plans.oracles import bank, chunks, course, maths, study
+from tutelage.plans import (
+    bank_queries,
+    chunk_queries,
+    course_queries,
+    maths_queries,
+    stream_queries,
+    study_queries,
+)
+from tutelage.plans.oracles import bank, chunks, course, maths, streams, study
 from tutelage.session import ship_package
 
-_QUERY_SETS = [study_queries, bank_queries, chunk_queries, course_queries, maths_queries]
-_ORACLE_SETS = [study, bank, chunks, course, maths]
-
+_QUERY_SETS = [study_queries, bank_queries, chunk_queries, course_queries, maths_queries,
+               stream_queries]
+_ORACLE_SETS = [study, bank, chunks, course, maths, streams]
 
 
 def _shipped(query):

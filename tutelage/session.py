@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the jobs rely on; a cluster's own values win for anything it sets.
 SETTINGS = {
@@ -51,6 +51,16 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame, purpose: str = "table") -> DataFrame:
+    """Write a result that several branches need and go on from the written table.
+
+    Saves computing it once per branch, and a lost executor only costs a re-read.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once, for the few jobs with Python tasks."""
     context = spark.sparkContext
