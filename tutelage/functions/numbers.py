@@ -25,9 +25,13 @@ def exact_text(value: Column, decimals: Column) -> Column:
     """Shortest text from ``decimals`` places up that still means the value, so a
     constant 0.1 declared with no decimals does not show as 0."""
     d = F.greatest(decimals, F.lit(0))
-    tries = F.transform(F.sequence(d, d + EXTRA_DECIMALS), lambda k: rounded_text(value, k))
-    close = F.filter(tries, lambda t: F.abs(t.cast("double") - value) <= F.abs(value) * 1e-9)
-    return F.coalesce(F.get(close, F.lit(0)), F.element_at(tries, -1))
+
+    def means_value(text: Column) -> Column:
+        return F.abs(text.cast("double") - value) <= F.abs(value) * 1e-9
+
+    # coalesce stops at the first hit, nearly always the declared decimals
+    tries = [rounded_text(value, d + k) for k in range(EXTRA_DECIMALS + 1)]
+    return F.coalesce(*[F.when(means_value(t), t) for t in tries], tries[-1])
 
 
 def with_unit(text: Column, unit: Column) -> Column:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WS = r"[\s\x0B\x85\p{Z}]"
+WS_CHARS = " \t\n\x0b\f\r\x85\xa0\u1680" + "".join(
+    chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
 
 # Markdown patterns of assessment lessons.
 FIGURE = r"!\[[^\]]*\]\(([^)]+)\)"
@@ -22,13 +24,13 @@ LESSON_PREFIX = r"(?i)^lesson[ _]+\d+[ _\-]*"
 
 
 def strip(text: Column) -> Column:
-    """Remove leading and trailing whitespace of any kind."""
-    return F.regexp_replace(text, rf"\A{WS}+|{WS}+\z", "")
+    """Remove leading and trailing whitespace of any kind (trim alone drops spaces only)."""
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def squash(text: Column) -> Column:
     """Lower case with whitespace runs collapsed: the form ids and topics compare in."""
-    return strip(F.regexp_replace(F.lower(text), rf"{WS}+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), rf"{WS}+", " "))
 
 
 def slug(text: Column) -> Column:
@@ -160,3 +162,16 @@ def check_sheets(sheets: DataFrame) -> DataFrame:
               .otherwise("ok"))
     return sheets.withColumn("sheet", body).withColumn("status", status).withColumn(
         "equations", F.when(status == "ok", F.regexp_count(body, F.lit(r"\n### "))).otherwise(0))
+
+
+# What the two prompt consumers keep of a lesson, in characters.
+GUIDE_CHARS, LECTURE_CHARS = 120_000, 150_000
+
+
+def prompt_view(lessons: DataFrame) -> DataFrame:
+    """Lesson text as the study-guide and lecture prompts see it: inline data images
+    dropped, each cut at its own length; ``diverges`` where the two differ."""
+    body = F.regexp_replace("content", r"data:[a-z]+/[a-z0-9.+-]+;base64,[A-Za-z0-9+/=]+", "")
+    return lessons.withColumn("guide_view", F.left(body, F.lit(GUIDE_CHARS))).withColumn(
+        "lecture_view", F.left(body, F.lit(LECTURE_CHARS))).withColumn(
+        "diverges", F.length(body) > GUIDE_CHARS)

@@ -9,6 +9,7 @@ from tutelage.functions import numbers as N
 from tutelage.functions import text as X
 from tutelage.functions.formulas import evaluate, symbols
 from tutelage.operators.skew import MIN_ROWS, running_sum
+from tutelage.session import stored
 
 # Fixed values.
 RELATIVE_TOLERANCE = 0.005
@@ -132,6 +133,8 @@ def practice_set(equations: DataFrame, seed: int = 1, min_rows: int = MIN_ROWS)
         .withColumn("part", F.row_number().over(by_name)).where(F.col("part") <= MAX_PARTS)
     )
     rows = generate_problems(singles).select(*keep).withColumn("part", F.lit(0)).unionByName(multi)
+    # solved once: the numbering below reads the problems more than once
+    rows = stored(rows, "problems")
     counted = (F.col("kind") == 1) | ((F.col("kind") == 2) & (F.col("part") == 1))
     # Practice comes before the multi-part problem of its topic.
     later = F.when(F.col("kind") == 2, 1).otherwise(0)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tutelage.operators import aids as A
 from tutelage.operators import chunks as C
 from tutelage.operators.skew import position
-from tutelage.functions.text import order_prefix
 from tutelage.plans import fixtures as fx
+from tutelage.session import stored
 
 
 def _docs(s, d):
@@ -49,9 +49,9 @@ def _carried(s, d):
 
 def _cards(s, d):
     cards = A.flashcards(fx.enriched_chunks(s, d)).withColumnRenamed("module", "deck")
-    placed = position(cards, ["deck"], ["lesson_index", "id"], "row")
+    placed = position(stored(cards, "cards"), ["deck"], ["lesson_index", "id"], "row")
     short = F.regexp_replace("id", "_(mc|sa)_0$", "")
-    return placed.withColumn("row", F.col("row") - 1).withColumn(
+    return stored(placed, "deck").withColumn("row", F.col("row") - 1).withColumn(
         "id", F.when(F.col("row") % 3 == 0, "  ").otherwise(short))
 
 

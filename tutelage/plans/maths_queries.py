@@ -8,7 +8,7 @@ from tutelage import schemas
 from tutelage.functions.text import check_sheets
 from tutelage.operators import maths as M
 from tutelage.plans import fixtures as fx
-from tutelage.session import shared_dir
+from tutelage.session import shared_dir, stored
 from tutelage.sources import files
 
 
@@ -57,7 +57,14 @@ def _catalog(s, d):
 
 
 def _clean(s, d):
-    return M.filter_catalog(fx.equations(s, d))
+    return M.filter_catalog(stored(fx.equations(s, d), "equations"))
+
+
+def _filtered(s, d):
+    kept, rejected = _clean(s, d)
+    cols = ["id", "pos", "verified"]
+    return kept.select(*cols, F.lit(True).alias("kept")).unionByName(
+        rejected.select(*cols, F.lit(False).alias("kept")))
 
 
 QUERIES = {
@@ -73,9 +80,7 @@ QUERIES = {
         "module", "topic", "name", "id"),
     "eval_formulas": _evaluated,
     "validate_catalog": lambda s, d: M.validate_catalog(fx.equations(s, d)),
-    "filter_catalog": lambda s, d: _clean(s, d)[0].select("id", "pos", "verified").withColumn(
-        "kept", F.lit(True)).unionByName(_clean(s, d)[1].select("id", "pos", "verified").withColumn(
-            "kept", F.lit(False))),
+    "filter_catalog": _filtered,
     "sample_inputs": lambda s, d: _samples(s, d).select(
         "learner_id", "equation_id", "draw", F.inline(F.arrays_zip("names", "values"))).where(
         "names not in ('N', 'y', 'c0')").withColumnRenamed("names", "name").withColumnRenamed(
@@ -83,7 +88,7 @@ QUERIES = {
     "generate_problems": lambda s, d: M.generate_problems(_samples(s, d)).select(
         "learner_id", "equation_id", "draw", "question", F.round("value", 6).alias("answer"),
         "answer_text", F.array_join("steps", " | ").alias("steps")),
-    "practice_set": lambda s, d: M.practice_set(_clean(s, d)[0]).select(
+    "practice_set": lambda s, d: M.practice_set(stored(_clean(s, d)[0], "sound")).select(
         "module", "topic", "equation_id", "kind", "slot", "label", "question", "answer_text"),
     "check_sheets": lambda s, d: check_sheets(_sheets(s, d)).select(
         "doc_id", "status", "equations"),

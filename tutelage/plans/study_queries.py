@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tutelage.operators import policy, reports, study
 from tutelage.plans import fixtures as fx
+from tutelage.session import stored
 from tutelage.sources.attempts import attempt_log
 
 
@@ -33,6 +34,15 @@ def _items(spark, sf):
     return study.with_meta(_state(spark, sf), fx.bank(spark, sf))
 
 
+def _state_table(s, d):
+    """Item state written once, for queries that read it several times."""
+    return stored(_state(s, d), "state")
+
+
+def _item_table(s, d):
+    return stored(_items(s, d), "items")
+
+
 QUERIES = {
     "attempt_log": lambda s, d: attempt_log(_raw_attempts(s, d)).select(
         "learner_id", "topic", "ts", "quality", "confidence", "reject"),
@@ -45,21 +55,21 @@ QUERIES = {
         "learner_id", "topic", "calibration", "lapses", "streak", "risk"),
     "emit_points": lambda s, d: study.emit_points(fx.attempts(s, d)),
     "counts": lambda s, d: policy.counts(_items(s, d), fx.now()),
-    "study_report": lambda s, d: reports.study_report(_items(s, d), fx.bank(s, d), fx.now()),
+    "study_report": lambda s, d: reports.study_report(_item_table(s, d), fx.bank(s, d), fx.now()),
     "strong_topics": lambda s, d: reports.strong_topics(_state(s, d)),
     "gaps": lambda s, d: policy.gaps(_items(s, d), 10),
     "next_due": lambda s, d: policy.next_due(_items(s, d), fx.now()),
     "next_numbers": lambda s, d: policy.next_due(_items(s, d), fx.now(), "number"),
     "next_math": lambda s, d: policy.next_due(_items(s, d), fx.now(), "math"),
     "next_mastered": lambda s, d: policy.next_mastered(_items(s, d), fx.now()),
-    "next_question": lambda s, d: policy.next_question(fx.bank(s, d), _state(s, d)),
-    "next_action": lambda s, d: policy.next_action(fx.bank(s, d), _items(s, d), fx.now()),
-    "unseen_questions": lambda s, d: policy.unseen_questions(fx.bank(s, d), _state(s, d)),
-    "coverage": lambda s, d: reports.coverage(fx.bank(s, d), _state(s, d)),
+    "next_question": lambda s, d: policy.next_question(fx.bank(s, d), _state_table(s, d)),
+    "next_action": lambda s, d: policy.next_action(fx.bank(s, d), _item_table(s, d), fx.now()),
+    "unseen_questions": lambda s, d: policy.unseen_questions(fx.bank(s, d), _state_table(s, d)),
+    "coverage": lambda s, d: reports.coverage(fx.bank(s, d), _state_table(s, d)),
     "reattach_keys": lambda s, d: policy.reattach_keys(_items(s, d), fx.bank(s, d), fx.now()),
     "enrich_attempts": lambda s, d: policy.enrich_attempts(fx.attempts(s, d), fx.bank(s, d)),
     "mastery_digest": lambda s, d: reports.mastery_digest(
-        fx.bank(s, d), _items(s, d), fx.now(), "whole-bank"),
+        fx.bank(s, d), _item_table(s, d), fx.now(), "whole-bank"),
     "mastery_summary": lambda s, d: reports.mastery_summary(
-        fx.bank(s, d), _items(s, d), fx.now()),
+        fx.bank(s, d), _item_table(s, d), fx.now()),
 }
