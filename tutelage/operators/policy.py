@@ -9,6 +9,7 @@ from tutelage.functions import scoring as S
 from tutelage.functions.text import order_prefix
 from tutelage.operators.skew import position
 from tutelage.operators.study import calibrate, in_flow, in_module, risk_score
+from tutelage.session import stored
 
 TIERS = ("short", "progressive", "long")
 
@@ -74,17 +75,20 @@ def _tier(difficulty: Column) -> Column:
 
 
 def _ranked(bank: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Questions numbered inside their unit, and units numbered by unit key."""
+    """Questions numbered inside their unit, and units numbered by unit key.
+
+    Both are stored: they are the size of the bank and read several times.
+    """
     unit_key = F.concat_ws("|", "module", "unit_topic")
     questions = answered(bank).withColumn("unit_key", unit_key).withColumn(
         "tier", _tier(F.col("difficulty")))
-    questions = position(
+    questions = stored(position(
         questions, ["unit_key"],
-        [F.col("tier").cast("bigint") * 2**31 + F.col("num"), F.col("id")], "q_rank")
+        [F.col("tier").cast("bigint") * 2**31 + F.col("num"), F.col("id")], "q_rank"), "ranks")
     sizes = questions.groupBy("unit_key").agg(F.count(F.lit(1)).alias("size"))
-    units = position(
+    units = stored(position(
         sizes.withColumn("_all", F.lit(0)), ["_all"],
-        [order_prefix(F.col("unit_key")), F.col("unit_key")], "u_rank").drop("_all")
+        [order_prefix(F.col("unit_key")), F.col("unit_key")], "u_rank").drop("_all"), "units")
     return questions, units
 
 
@@ -140,8 +144,8 @@ def unseen_questions(bank: DataFrame, state: DataFrame) -> DataFrame:
     consecutive seen ones are exactly the unseen ones, so only rows that end up
     in the result are ever generated.
     """
-    numbered = position(
-        answered(bank), ["course"], [order_prefix(F.col("id")), F.col("id")], "pos")
+    numbered = stored(position(
+        answered(bank), ["course"], [order_prefix(F.col("id")), F.col("id")], "pos"), "numbered")
     sizes = numbered.groupBy("course").agg(F.count(F.lit(1)).alias("size"))
     seen = state.select("learner_id", "topic").join(
         numbered.select(F.col("id").alias("topic"), "course", "pos"), "topic")

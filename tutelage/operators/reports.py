@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tutelage.functions import scoring as S
 from tutelage.operators.policy import counts, gaps
 from tutelage.operators.skew import MIN_ROWS, position
-from tutelage.operators.study import calibrate, in_flow, in_module, risk_score
+from tutelage.operators.study import in_flow, in_module, risk_score
+from tutelage.session import stored
 
 WEAK_UNITS = 5
 BLINDSPOTS_SHOWN = 3
@@ -82,7 +83,7 @@ def _blindspots(items: DataFrame, bank: DataFrame, min_rows: int) -> DataFrame:
     spots = risk_score(items).where(
         ~F.col("mastered") & (F.col("calibration") == "blindspot")
     ).select("learner_id", "topic", "note", (-F.col("risk")).alias("calm"))
-    ranked = position(spots, ["learner_id"], ["calm", "topic"], "rank", min_rows)
+    ranked = stored(position(spots, ["learner_id"], ["calm", "topic"], "rank", min_rows), "spots")
     label = bank.select(F.col("id").alias("topic"), "prompt")
     return ranked.join(label, "topic", "left").select(
         "learner_id", "rank", F.coalesce("prompt", "topic").alias("topic"),

@@ -5,9 +5,9 @@ cut only the heavy keys into consecutive segments along the order column,
 run the window inside (key, segment), and add what earlier segments carry in.
 Ordinary keys take the plain path: one shuffle, no carry.
 
-A key is heavy when it has more than ``MIN_ROWS`` rows and more than 1/1000 of
-the table, so there are at most 1000 heavy keys and at most 257 segments each.
-That bound is why the cut points and the carries may be broadcast.
+The heavy keys are the up to 1000 largest ones with more than ``MIN_ROWS`` rows; any
+other key holds less than 1/1000 of the table.  A heavy key has at most 256 segments.
+Those two bounds are why the cut points and the carries may be broadcast.
 """
 
 from __future__ import annotations
@@ -33,11 +33,9 @@ def with_segments(df: DataFrame, keys: Sequence[str], order: str | Column,
     """
     keys = list(keys)
     ordered = df.withColumn("_ord", F.col(order) if isinstance(order, str) else order)
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     heavy = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .where((F.col("_n") > min_rows) & (F.col("_n") * MAX_HEAVY_KEYS > total))
-        .select(*keys)
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > min_rows)
+        .orderBy(F.desc("_n"), *keys).limit(MAX_HEAVY_KEYS).select(*keys)
     )
     cuts = (
         ordered.join(F.broadcast(heavy), keys, "left_semi")

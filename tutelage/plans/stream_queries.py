@@ -23,10 +23,7 @@ def _state(s, d):
     s.conf.set(STORE, SETTINGS[STORE])
     out = shared_dir(s, "stream-state")
     jobs.run_item_state(_events(s, d), f"{out}/state", f"{out}/checkpoint")
-    state = current_state(s.read.parquet(f"{out}/state"))
-    for name in ("created", "last_reviewed", "due"):
-        state = state.withColumn(name, F.col(name).cast("timestamp_ntz"))
-    return state
+    return current_state(s.read.parquet(f"{out}/state"))
 
 
 def _digest(s, d):

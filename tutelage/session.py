@@ -30,6 +30,8 @@ def local_session(cores: int = 8, memory: str = "8g", **extra: str) -> SparkSess
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cores))
+        # small test tables: keep all cores busy after a shuffle
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)

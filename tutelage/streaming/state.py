@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -14,17 +13,18 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tutelage.functions import scoring as S
 from tutelage.operators.study import KEY
 
-_COUNTERS = [("attempts", T.IntegerType()), ("reps", T.IntegerType()),
-             ("streak", T.IntegerType()), ("lapses", T.IntegerType()),
-             ("mastered", T.BooleanType())]
-_LAST = [("created", T.TimestampType()), ("last_reviewed", T.TimestampType()),
-         ("last_seq", T.LongType()), ("last_quality", T.IntegerType()),
-         ("last_confidence", T.IntegerType()), ("note", T.StringType())]
-STATE = T.StructType([T.StructField(n, t) for n, t in _COUNTERS + _LAST])
+# Times travel as microseconds, so no session or machine time zone touches them.
+_INT, _LONG = T.IntegerType(), T.LongType()
+STATE = T.StructType([
+    T.StructField("attempts", _INT), T.StructField("reps", _INT), T.StructField("streak", _INT),
+    T.StructField("lapses", _INT), T.StructField("mastered", T.BooleanType()),
+    T.StructField("created_us", _LONG), T.StructField("last_us", _LONG),
+    T.StructField("last_seq", _LONG), T.StructField("last_quality", _INT),
+    T.StructField("last_confidence", _INT), T.StructField("note", T.StringType())])
 OUTPUT = T.StructType([
-    T.StructField("learner_id", T.LongType()), T.StructField("topic", T.StringType()),
-    *STATE.fields, T.StructField("due", T.TimestampType()),
-    T.StructField("late", T.BooleanType())])
+    T.StructField("learner_id", _LONG), T.StructField("topic", T.StringType()),
+    *STATE.fields, T.StructField("late", T.BooleanType())])
+EMPTY = (0, 0, 0, 0, False, None, None, None, None, None, None)
 
 
 class ItemFold(StatefulProcessor):
@@ -38,79 +38,59 @@ class ItemFold(StatefulProcessor):
         self._state = handle.getValueState("item", STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(rows).sort_values(["ts", "seq"], kind="stable")
-        now = dict(zip(STATE.names, self._state.get())) if self._state.exists() else None
-        late = []
-        for a in batch.itertuples(index=False):
-            ts = a.ts.to_pydatetime()
-            if now is not None and (ts, a.seq) <= (
-                    pd.Timestamp(now["last_reviewed"]).tz_localize(None).to_pydatetime(),
-                    now["last_seq"]):
-                late.append(a)
-                continue
-            now = self._apply(now, a, ts)
-        if now is not None and len(late) < len(batch):
-            self._state.update(tuple(now[n] for n in STATE.names))
-            yield self._rows(key, [{**now, "due": self._due(now), "late": False}])
-        if late:
-            yield self._rows(key, [{
-                "created": a.ts, "last_reviewed": a.ts, "last_seq": a.seq,
-                "last_quality": a.quality, "last_confidence": a.confidence, "note": a.note,
-                "late": True} for a in late])
+        waiting = sorted(
+            (r for part in rows for r in zip(
+                part["us"].tolist(), part["seq"].tolist(), part["quality"].tolist(),
+                part["confidence"].tolist(), part["note"].tolist())),
+            key=lambda r: r[:2])
+        state = tuple(self._state.get()) if self._state.exists() else EMPTY
+        before, out = state, []
+        for row in waiting:
+            if state[6] is not None and row[:2] <= state[6:8]:
+                out.append((*key, 0, 0, 0, 0, False, row[0], *row, True))
+            else:
+                state = self._apply(state, *row)
+        if state is not before:
+            self._state.update(state)
+            out.append((*key, *state, False))
+        yield pd.DataFrame(out, columns=OUTPUT.names)
 
     @staticmethod
-    def _apply(now, a, ts):
-        now = dict(now) if now else {
-            "attempts": 0, "reps": 0, "streak": 0, "lapses": 0, "mastered": False, "created": ts}
-        hit = a.quality >= S.CORRECT_FROM
-        sure = a.confidence >= S.SURE_FROM
-        streak = now["streak"] + 1 if hit else 0
-        now.update(
-            attempts=now["attempts"] + 1, reps=now["reps"] + int(hit), streak=streak,
-            lapses=now["lapses"] + int(a.quality < S.LAPSE_BELOW),
-            mastered=bool(hit and (now["mastered"] or (sure and streak >= S.STREAK_TO_MASTER))),
-            last_reviewed=ts, last_seq=int(a.seq), last_quality=int(a.quality),
-            last_confidence=int(a.confidence), note=a.note)
-        return now
-
-    @staticmethod
-    def _due(now):
-        hit = now["last_quality"] >= S.CORRECT_FROM
-        if now["mastered"]:
-            step = min(max(now["streak"], S.STREAK_TO_MASTER), S.STREAK_TO_MASTER + 2)
-            wait = timedelta(days=S.REVIEW_DAYS[step - S.STREAK_TO_MASTER])
-        elif hit and now["last_confidence"] >= S.SURE_FROM:
-            wait = timedelta(days=1)
-        else:
-            wait = timedelta(minutes=S.RETRY_MISSED_MIN if not hit else
-                             S.RETRY_FIRST_MIN if now["streak"] == 1 else S.RETRY_LATER_MIN)
-        return pd.Timestamp(now["last_reviewed"]) + wait
-
-    @staticmethod
-    def _rows(key, rows):
-        frame = pd.DataFrame([{"learner_id": key[0], "topic": key[1], **r} for r in rows])
-        frame = frame.reindex(columns=OUTPUT.names)
-        for name in ("created", "last_reviewed", "due"):
-            frame[name] = pd.to_datetime(frame[name]).dt.tz_localize(None).astype("datetime64[us]")
-        for name in ("attempts", "reps", "streak", "lapses"):
-            frame[name] = frame[name].astype("Int32")
-        frame["mastered"] = frame["mastered"].astype("boolean")
-        return frame
+    def _apply(state, us, seq, quality, confidence, note):
+        attempts, reps, streak, lapses, mastered, created = state[:6]
+        hit = quality >= S.CORRECT_FROM
+        streak = streak + 1 if hit else 0
+        earned = confidence >= S.SURE_FROM and streak >= S.STREAK_TO_MASTER
+        return (attempts + 1, reps + hit, streak, lapses + (quality < S.LAPSE_BELOW),
+                hit and (mastered or earned), us if created is None else created,
+                us, seq, quality, confidence, note)
 
     def close(self) -> None:
         pass
 
 
+def _time(us: str) -> Column:
+    return F.timestamp_micros(us).cast("timestamp_ntz")
+
+
 def stream_item_state(attempts: DataFrame) -> DataFrame:
     """Streaming state rows: one per touched item and micro-batch, plus late rows."""
-    typed = attempts.withColumn("ts", F.col("ts").cast("timestamp"))
-    return typed.groupBy(*KEY).transformWithStateInPandas(
+    typed = attempts.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    folded = typed.select(*KEY, "us", "seq", "quality", "confidence", "note").groupBy(
+        *KEY).transformWithStateInPandas(
         statefulProcessor=ItemFold(), outputStructType=OUTPUT, outputMode="Append",
         timeMode="None")
+    wait = S.due_minutes(F.col("mastered"), F.col("streak"), F.col("last_quality"),
+                         F.col("last_confidence"))
+    return folded.select(
+        *KEY, "attempts", "reps", "streak", "lapses", "mastered",
+        F.when(~F.col("late"), S.add_minutes(_time("last_us"), wait)).alias("due"),
+        _time("created_us").alias("created"), _time("last_us").alias("last_reviewed"),
+        "last_quality", "last_confidence", "note", "late")
 
 
 def current_state(emitted: DataFrame) -> DataFrame:
     """Latest state per item from everything the stream has written."""
-    rest = [c for c in emitted.columns if c not in (*KEY, "late", "last_seq")]
+    rest = [c for c in emitted.columns if c not in (*KEY, "late")]
     return emitted.where(~F.col("late")).groupBy(*KEY).agg(
         F.max_by(F.struct(*rest), "attempts").alias("s")).select(*KEY, "s.*")
