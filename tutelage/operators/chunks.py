@@ -199,11 +199,14 @@ def embed_input(text: Column) -> Column:
 def shrink_ladder(text: Column) -> Column:
     """The inputs tried in turn when the embedder reports an overflow: each half as
     long in bytes as the one before, none below 256 bytes."""
-    rungs = [embed_input(text)]
-    for _ in range(EMBED_RETRIES):
-        half = F.floor(F.octet_length(rungs[-1]) / 2)
-        rungs.append(F.when(half >= EMBED_FLOOR, X.cut_bytes_at(rungs[-1], half)))
-    return F.filter(F.array(*rungs), lambda r: r.isNotNull())
+    def halve(rungs: Column, _: Column) -> Column:
+        last = F.element_at(rungs, -1)
+        half = F.floor(F.octet_length(last) / 2).cast("int")
+        return F.when(half >= EMBED_FLOOR, F.concat(
+            rungs, F.array(X.cut_bytes_at(last, half)))).otherwise(rungs)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(EMBED_RETRIES)),
+                       F.array(embed_input(text)), halve)
 
 
 def new_documents(documents: DataFrame, present: DataFrame) -> DataFrame:
