@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tutelage.functions import scoring as S
+from tutelage.functions.scoring import (
+    CORRECT_FROM,
+    LAPSE_BELOW,
+    STREAK_TO_MASTER,
+    SURE_FROM,
+    add_minutes,
+    due_minutes,
+)
 from tutelage.operators.study import KEY
 
+# The streaming runner starts Python without the files sent to the executors, so the
+# processor travels whole instead of by its module name.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Times travel as microseconds, so no session or machine time zone touches them.
 _INT, _LONG = T.IntegerType(), T.LongType()
 STATE = T.StructType([
@@ -58,10 +71,10 @@ class ItemFold(StatefulProcessor):
     @staticmethod
     def _apply(state, us, seq, quality, confidence, note):
         attempts, reps, streak, lapses, mastered, created = state[:6]
-        hit = quality >= S.CORRECT_FROM
+        hit = quality >= CORRECT_FROM
         streak = streak + 1 if hit else 0
-        earned = confidence >= S.SURE_FROM and streak >= S.STREAK_TO_MASTER
-        return (attempts + 1, reps + hit, streak, lapses + (quality < S.LAPSE_BELOW),
+        earned = confidence >= SURE_FROM and streak >= STREAK_TO_MASTER
+        return (attempts + 1, reps + hit, streak, lapses + (quality < LAPSE_BELOW),
                 hit and (mastered or earned), us if created is None else created,
                 us, seq, quality, confidence, note)
 
@@ -80,11 +93,11 @@ def stream_item_state(attempts: DataFrame) -> DataFrame:
         *KEY).transformWithStateInPandas(
         statefulProcessor=ItemFold(), outputStructType=OUTPUT, outputMode="Append",
         timeMode="None")
-    wait = S.due_minutes(F.col("mastered"), F.col("streak"), F.col("last_quality"),
+    wait = due_minutes(F.col("mastered"), F.col("streak"), F.col("last_quality"),
                          F.col("last_confidence"))
     return folded.select(
         *KEY, "attempts", "reps", "streak", "lapses", "mastered",
-        F.when(~F.col("late"), S.add_minutes(_time("last_us"), wait)).alias("due"),
+        F.when(~F.col("late"), add_minutes(_time("last_us"), wait)).alias("due"),
         _time("created_us").alias("created"), _time("last_us").alias("last_reviewed"),
         "last_quality", "last_confidence", "note", "late")
 
