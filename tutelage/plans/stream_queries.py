@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tutelage.operators import grading
 from tutelage.plans import fixtures as fx
 from tutelage.session import SETTINGS, shared_dir
+from tutelage.sources.attempts import BATCH_BYTES
 from tutelage.streaming import jobs
 from tutelage.streaming.state import current_state
 
@@ -15,7 +16,8 @@ STORE = "spark.sql.streaming.stateStore.providerClass"
 
 def _events(s, d):
     schema = fx.table(s, d, "events").schema
-    stream = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    stream = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option(
+        "maxBytesPerTrigger", BATCH_BYTES).parquet(d)
     return fx.event_attempts(stream)
 
 

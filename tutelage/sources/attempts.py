@@ -21,9 +21,17 @@ RAW_ATTEMPT = T.StructType([
 ])
 
 
-def read_attempts(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    reader = spark.readStream if stream else spark.read
-    return reader.schema(RAW_ATTEMPT).parquet(path)
+# A micro-batch reads at most this much, which bounds what one busy item can bring to
+# the task that folds it.
+BATCH_BYTES = 256 * 1024 * 1024
+
+
+def read_attempts(spark: SparkSession, path: str, stream: bool = False,
+                  batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    if stream:
+        return spark.readStream.schema(RAW_ATTEMPT).option(
+            "maxBytesPerTrigger", batch_bytes).parquet(path)
+    return spark.read.schema(RAW_ATTEMPT).parquet(path)
 
 
 def attempt_log(raw: DataFrame) -> DataFrame:
