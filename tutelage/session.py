@@ -43,26 +43,38 @@ def local_session(cores: int = 8, memory: str = "8g", **extra: str) -> SparkSess
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the one the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, one machine) does the session get
-    a temporary folder of its own.
+    Where that setting is absent, only a session on one machine (tests, bench) gets a
+    temporary folder; on a cluster nobody else could read it, so that raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = os.path.join(tempfile.gettempdir(), f"tutelage-{uuid.uuid4().hex[:12]}")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tutelage-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, purpose: str = "table") -> DataFrame:
+def stored(df: DataFrame, purpose: str = "table", **options: str) -> DataFrame:
     """Write a result that several branches need and go on from the written table.
 
     Saves computing it once per branch, and a lost executor only costs a re-read.
+    ``options`` go to the Parquet writer.
     """
     path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables made by ``stored`` that nothing reads any more."""
+    for table in tables:
+        for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            session = table.sparkSession
+            path = session._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once, for the few jobs with Python tasks."""
     context = spark.sparkContext
