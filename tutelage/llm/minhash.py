@@ -15,6 +15,8 @@ from tutelage.session import discard, stored
 
 BINS = 256      # of the one permutation; a power of two
 ROWS = 6        # bins in a band: 42 bands, a pair at 0.8 is missed with probability 3e-6
+LOOKS = 2       # at buckets that hold several components, after the first stars
+SMALL = 8       # members of a bucket that are compared with each other, not with a centre
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _DONORS: dict[int, np.ndarray] = {}
 
@@ -138,10 +140,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     times costs one sketch.  Classes that share a band bucket are compared with one
     centre of that bucket, its member with most company over all its buckets (in a group of
     edited copies, the original).  Centre pairs are verified on full sets, and the
-    components of the links are found.  In the buckets that still hold more than one
-    component, every member outside the bucket's largest component is compared with the
-    members of the other components, so a link is lost only if no bucket holds
-    both its ends.  A pair whose sizes alone rule the similarity out is never verified.
+    components of the links are found.  Buckets that still hold more than one component are
+    looked at ``LOOKS`` times more: small ones whole, larger ones around another centre in each
+    look.  Pairs so stay in proportion to bucket members, however large a group is.  A link whose
+    ends are in no other way connected is lost only if its ends are in no common bucket, or if
+    their common buckets (11 are expected at 0.8) are all large and neither became a centre.
+    A pair whose sizes alone rule the similarity out is never verified.
 
     Nulls, empty and blank texts have no shingles: n_shingles 0, linked with nothing, kept.
     A null id is linked with nothing and has a null component.  Rows that repeat an id keep
@@ -174,9 +178,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = stored(_linked(stars, sets, percent).distinct(), "links")
     found = connected_components(links)
 
-    more = stored(_unsettled(members, found, percent), "rest")
-    links = stored(links.union(_linked(more, sets, percent)), "all-links")
-    found = connected_components(links)
+    for look in range(1, LOOKS + 1):
+        pairs = stored(_unsettled(members, found, percent, look), "rest")
+        new = stored(_linked(pairs, sets, percent), "new-links")
+        discard(pairs)
+        if not new.isEmpty():
+            links = stored(links.union(new), "links")
+            found = connected_components(links)
 
     known = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
@@ -184,7 +192,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     grouped = sketch.where("n > 0 and doc_id is not null").drop("keys").join(known, ["h1", "h2", "n"]).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id")
-    discard(members, stars, sets, more)
+    discard(members, stars, sets)
     return grouped.union(single).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -193,20 +201,29 @@ def _sizes_fit(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
-def _unsettled(members: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in a bucket, one of them outside its largest component."""
+def _unsettled(members: DataFrame, found: DataFrame, percent: int, look: int) -> DataFrame:
+    """Pairs of different components in the buckets that still hold more than one.
+
+    In the first look, all of them in buckets of at most ``SMALL`` members.  In larger ones a
+    new centre with all others: one of the members outside the bucket's largest component,
+    another one in each look.
+    """
     placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    largest = sizes.groupBy("key").agg(
+        "key", "rep", "n", "size", F.coalesce("component", "rep").alias("comp"))
+    if look > 1:
+        placed = placed.where(F.col("size") > SMALL)
+    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    largest = parts.groupBy("key").agg(
         F.count("*").alias("comps"), F.max(F.struct("m", -F.col("comp"))).alias("top")).where("comps > 1").select(
         "key", (-F.col("top.col2")).alias("top"))
     open_ = placed.join(largest, "key")
-    outside = open_.where("comp <> top").select(
-        "key", F.col("rep").alias("o"), F.col("n").alias("o_n"), F.col("comp").alias("o_comp"))
+    outside = open_.where("comp <> top").select("key", "rep", "n", "comp", "size")
+    centre = outside.where(F.col("size") > SMALL).groupBy("key").agg(
+        F.min(F.struct(F.xxhash64("rep", F.lit(look)), "rep", "n", "comp")).alias("o")).select(
+        "key", "o.rep", "o.n", "o.comp")
+    ends = outside.where(F.col("size") <= SMALL).drop("size").union(centre).toDF("key", "o", "o_n", "o_comp")
     return (
-        outside.join(open_, "key").where("comp <> o_comp and (comp = top or rep > o)")
-        .where(_sizes_fit("n", "o_n", percent))
+        ends.join(open_, "key").where("comp <> o_comp").where(_sizes_fit("n", "o_n", percent))
         .select(F.least("rep", "o").alias("u"), F.greatest("rep", "o").alias("v")).distinct()
     )
 
