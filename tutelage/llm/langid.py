@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tutelage.llm.setup import join_ids
 from tutelage.llm.words import BLOCK_BYTES, lowered, text_bytes
 from tutelage.session import stored
 
@@ -242,5 +243,5 @@ def with_language(docs: DataFrame, *, shortest: int = 100, **options) -> DataFra
         identify(docs, **options).where((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") >= 8))
         .select("doc_id").distinct(), "rejected")
     tried = docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    long = tried.where(F.octet_length("text") >= shortest).join(hopeless, "doc_id", "left_anti")
+    long = tried.where(F.octet_length("text") >= shortest).transform(join_ids, hopeless, "left_anti")
     return long.union(tried.where(F.octet_length("text") < shortest).select(*long.columns)).select(*docs.columns)

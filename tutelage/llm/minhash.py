@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tutelage.llm.components import connected_components
+from tutelage.llm.setup import join_ids
 from tutelage.llm.words import each_block, mix
 from tutelage.session import discard, stored
 
@@ -173,8 +174,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         .select(F.least("rep", "centre").alias("u"), F.greatest("rep", "centre").alias("v")).distinct(),
         "stars")
 
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = stored(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), words), "sets")
+    wanted = stored(members.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    sets = stored(shingle_sets(join_ids(docs, wanted, "left_semi"), words), "sets")
     links = stored(_linked(stars, sets, percent).distinct(), "links")
     found = connected_components(links)
 
@@ -237,7 +238,7 @@ def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     found = near_duplicates(docs, **options)
     dropped = stored(found.where("not kept").select("doc_id").distinct(), "dropped")
     repeated = stored(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated")
-    rest = docs.join(dropped, "doc_id", "left_anti")
-    one = rest.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(
+    rest = join_ids(docs, dropped, "left_anti")
+    one = join_ids(rest, repeated, "left_semi").groupBy("doc_id").agg(
         F.min_by(F.struct(*docs.columns), F.struct("text")).alias("row")).select("row.*")
-    return rest.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(one)
+    return join_ids(rest, repeated, "left_anti").select(*docs.columns).union(one)

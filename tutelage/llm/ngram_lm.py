@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tutelage.llm.setup import join_ids
 from tutelage.llm.words import each_block
 from tutelage.session import stored
 
@@ -163,7 +164,8 @@ def score(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_co
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     wanted = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    marked = own.join(wanted.withColumn("hit", F.lit(True)), "doc_id", "left").select(
+    wanted = stored(wanted.withColumn("hit", F.lit(True)), "target")
+    marked = join_ids(own, wanted, "left").select(
         "text", F.coalesce("hit", F.lit(False)).alias("target"))
     frozen = docs.sparkSession.sparkContext.broadcast(fit(marked))  # bounded by the sizes above
 

@@ -131,8 +131,9 @@ def decode_blocks(payloads: list[bytes], table: Frequencies, symbols: np.ndarray
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(payloads)
     for g, b in enumerate(order):
         own = ids[:steps[g], g * LANES:(g + 1) * LANES].ravel()[:sizes[b]]
-        if zlib.crc32(own.astype("<u4")) != heads[b][3]:
-            raise ValueError("the checksum of a block does not fit")
+        ended = state[g * LANES:(g + 1) * LANES] == _LOW
+        if not ended.all() or zlib.crc32(own.astype("<u4")) != heads[b][3]:
+            raise ValueError("the words of a block do not fit its checksum and first states")
         out[b] = own
     return out
 

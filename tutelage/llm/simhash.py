@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tutelage.llm.setup import join_ids
 from tutelage.llm.words import Texts, each_block, mix, read_words, text_bytes
 from tutelage.session import stored
 
@@ -190,4 +191,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     A row with a null id cannot be told from others of its kind and stays.
     """
     found = stored(contaminated(docs, items, **options).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return join_ids(docs, found, "left_anti").select(*docs.columns)
