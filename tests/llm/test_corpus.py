@@ -118,8 +118,9 @@ def test_language(spark, empty):
 
 
 def test_language_costs_are_exact():
-    followers = {(0, 0): [(97, 3), (98, 1)], (1, 97): [(98, 2)]}
-    bits = langid._costs(followers, 1, 97)
+    counts = np.zeros((2, 256), np.float32)  # nodes: the empty context, the context a
+    counts[0, [97, 98]], counts[1, 98] = [3, 1], 2
+    bits = langid._costs(counts, np.array([1]), np.array([0, 1]), np.array([0, 0]))[0]
     assert bits[98] == pytest.approx(-np.log2(2 / 3))
     # escape, then among what is left of the shorter context, then evenly
     assert bits[97] == pytest.approx(-np.log2(1 / 3) - np.log2(3 / 4))

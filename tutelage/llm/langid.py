@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 
 from tutelage.llm.setup import join_ids
 from tutelage.llm.words import BLOCK_BYTES, lowered, text_bytes
-from tutelage.session import stored
+from tutelage.session import discard, stored
 
 ORDER = 4
 #: The classifier is fitted on at most so many labelled rows of each language, whole texts.
 TRAIN_ROWS = 400
 #: Contexts seen less often than this in every language stay leaves of a shorter one.
 MIN_CONTEXT = 24
+#: Contexts whose costs are worked out together.
+NODES_AT_ONCE = 2048
 #: More labels than this are taken for a wrong column.
 MAX_LANGS = 500
 UNKNOWN = "und"
@@ -135,57 +137,73 @@ def training_rows(docs: DataFrame, most: int) -> DataFrame:
 
 
 def train(docs: DataFrame, most: int = TRAIN_ROWS) -> Model:
-    """Model of the languages of ``docs`` (doc_id, text, lang; labelled rows only)."""
-    rows = context_counts(training_rows(docs, most)).toPandas()
-    langs = sorted(rows["lang"].unique())
-    counts = {(lang, k): dict(zip(g["gram"].tolist(), g["c"].tolist(), strict=True))
-              for (lang, k), g in rows.groupby(["lang", "k"])}
-    totals: dict[tuple[int, int], int] = {}  # (k, context): the most often any language saw it
-    for lang in langs:
-        for k in range(1, ORDER + 1):
-            seen: dict[int, int] = {}
-            for gram, c in counts.get((lang, k), {}).items():
-                seen[gram >> 8] = seen.get(gram >> 8, 0) + c
-            for context, c in seen.items():
-                totals[k, context] = max(totals.get((k, context), 0), c)
-    nodes = [(0, 0), *sorted((k, c) for (k, c), n in totals.items() if n >= MIN_CONTEXT)]
-    number = {node: i for i, node in enumerate(nodes)}
+    """Model of the languages of ``docs`` (doc_id, text, lang; labelled rows only).
+
+    Spark counts and leaves out what follows a context that no language saw often; the rest comes
+    to the driver in columns.  A shorter context is seen at least as often as a longer one, so
+    what an escape needs is never left out.
+    """
+    grams = stored(context_counts(training_rows(docs, most)), "grams")
+    context = F.shiftright("gram", 8)
+    seen = grams.groupBy("lang", "k", context.alias("context")).agg(F.sum("c").alias("n"))
+    often = seen.groupBy("k", "context").agg(F.max("n").alias("n")).where(
+        (F.col("k") == 0) | (F.col("n") >= MIN_CONTEXT)).select("k", "context")
+    rows = grams.withColumn("context", context).join(often, ["k", "context"]).select("lang", "k", "gram", "c").toArrow()
+    discard(grams)
+    return _model(rows)
+
+
+def _model(rows: pa.Table) -> Model:
+    """Trees and costs from the counts (lang, k, gram, c) of the kept contexts."""
+    spoken = rows.column("lang").combine_chunks().dictionary_encode()
+    if isinstance(spoken, pa.ChunkedArray):
+        spoken = spoken.combine_chunks()
+    names = spoken.dictionary.to_pylist()
+    langs = sorted(names)
+    tongue = np.array([langs.index(x) for x in names], np.int64)[spoken.indices.to_numpy()] if names else np.zeros(0, np.int64)
+    k, gram, c = (rows.column(x).to_numpy() for x in ("k", "gram", "c"))
+    # one number for a context and its length: at most ORDER bytes below the length
+    name = (k << (8 * ORDER)) | (gram >> 8)
+    nodes = np.unique(np.append(name, 0))
+    at = np.searchsorted(nodes, name)
+    length, packed = nodes >> (8 * ORDER), nodes & ((1 << (8 * ORDER)) - 1)
+    # the parent lacks the earliest byte, which is the upper one of the packed context
+    top = 8 * np.maximum(length - 1, 0)
+    parent = np.searchsorted(nodes, (np.maximum(length - 1, 0) << (8 * ORDER)) | (packed & ((1 << top) - 1)))
     child = np.zeros((len(nodes), 256), np.int32)
-    cost = np.zeros((len(nodes), 256, len(langs)), np.float32)
-    for (k, context), i in number.items():
-        if k:
-            # the parent lacks the earliest byte, which is the upper one of the packed context
-            parent = number[k - 1, context & ((1 << (8 * (k - 1))) - 1)]
-            child[parent, context >> (8 * (k - 1))] = i
-    for j, lang in enumerate(langs):
-        followers: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for k in range(ORDER + 1):
-            for gram, c in counts.get((lang, k), {}).items():
-                followers.setdefault((k, gram >> 8), []).append((gram & 255, c))
-        for (k, context), i in number.items():
-            cost[i, :, j] = _costs(followers, k, context)
+    deep = np.flatnonzero(length)
+    child[parent[deep], packed[deep] >> top[deep]] = deep
+    cost = np.empty((len(nodes), 256, len(langs)), np.float32)
+    for j in range(len(langs)):
+        own = tongue == j
+        counts = np.zeros((len(nodes), 256), np.float32)
+        counts[at[own], gram[own] & 255] = c[own]
+        for low in range(0, len(nodes), NODES_AT_ONCE):
+            some = np.arange(low, min(low + NODES_AT_ONCE, len(nodes)))
+            cost[some, :, j] = _costs(counts, some, length, parent)
     return Model(langs, child, cost)
 
 
-def _costs(followers: dict, k: int, context: int) -> np.ndarray:
-    """Bits of each byte after a context, by escapes down to the empty one, with exclusion."""
-    out = np.zeros(256)
-    coded = np.zeros(256, bool)
-    spent = 0.0
-    for length in range(k, -1, -1):
-        seen = [(b, c) for b, c in followers.get((length, context & ((1 << (8 * length)) - 1)), [])
-                if not coded[b]]
-        if not seen:
-            continue
-        total, kinds = sum(c for _, c in seen), len(seen)
-        for b, c in seen:
-            out[b] = spent - np.log2(c / (total + kinds))
-            coded[b] = True
-        spent -= np.log2(kinds / (total + kinds))
-    rest = ~coded
-    if rest.any():
-        out[rest] = spent + np.log2(rest.sum())
-    return out
+def _costs(counts: np.ndarray, nodes: np.ndarray, length: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """Bits of each byte in some contexts, by escapes down to the empty one, with exclusion."""
+    out = np.zeros((len(nodes), 256))
+    coded = np.zeros((len(nodes), 256), bool)
+    spent = np.zeros(len(nodes))
+    rows = np.arange(len(nodes))  # those that have not yet left the empty context
+    here = nodes
+    while len(rows):
+        c = np.where(coded[rows], 0.0, counts[here])
+        kinds, total = (c > 0).sum(axis=1), c.sum(axis=1, dtype=np.float64)
+        both = np.maximum(total + kinds, 1)
+        place, byte = np.nonzero(c)
+        out[rows[place], byte] = spent[rows[place]] - np.log2(c[place, byte] / both[place])
+        coded[rows[place], byte] = True
+        spent[rows] -= np.log2(np.where(kinds > 0, kinds / both, 1.0))
+        further = length[here] > 0
+        rows, here = rows[further], parent[here[further]]
+    left = 256 - coded.sum(axis=1)
+    rest = spent + np.log2(np.maximum(left, 1))
+    return np.where(coded, out, rest[:, None])
 
 
 def identify(docs: DataFrame, *, held_out: str = "crc32(cast(doc_id as string)) % 3 = 1",
