@@ -10,6 +10,7 @@ worked out once and a text's exact code length is a sum of table entries.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -136,11 +137,10 @@ def training_rows(docs: DataFrame, most: int) -> DataFrame:
     return docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
 
 
-def train(docs: DataFrame, most: int = TRAIN_ROWS) -> Model:
-    """Model of the languages of ``docs`` (doc_id, text, lang; labelled rows only).
+def train(docs: DataFrame, most: int = TRAIN_ROWS) -> pa.Table:
+    """Frozen statistics (lang, k, gram, c) of ``docs`` (doc_id, text, lang; labelled rows only).
 
-    Spark counts and leaves out what follows a context that no language saw often; the rest comes
-    to the driver in columns.  A shorter context is seen at least as often as a longer one, so
+    Spark counts and leaves out what follows a context that no language saw often.  A shorter context is seen at least as often as a longer one, so
     what an escape needs is never left out.
     """
     grams = stored(context_counts(training_rows(docs, most)), "grams")
@@ -150,12 +150,13 @@ def train(docs: DataFrame, most: int = TRAIN_ROWS) -> Model:
         (F.col("k") == 0) | (F.col("n") >= MIN_CONTEXT)).select("k", "context")
     rows = grams.withColumn("context", context).join(often, ["k", "context"]).select("lang", "k", "gram", "c").toArrow()
     discard(grams)
-    return _model(rows)
+    spoken = rows.column("lang").combine_chunks().dictionary_encode()
+    return rows.set_column(0, "lang", spoken).combine_chunks()
 
 
 def _model(rows: pa.Table) -> Model:
     """Trees and costs from the counts (lang, k, gram, c) of the kept contexts."""
-    spoken = rows.column("lang").combine_chunks().dictionary_encode()
+    spoken = rows.column("lang").combine_chunks()
     if isinstance(spoken, pa.ChunkedArray):
         spoken = spoken.combine_chunks()
     names = spoken.dictionary.to_pylist()
@@ -184,6 +185,20 @@ def _model(rows: pa.Table) -> Model:
     return Model(langs, child, cost)
 
 
+_BUILT: dict[str, Model] = {}
+
+
+def built(mark: str, rows: pa.Table) -> Model:
+    """The model of these statistics, built once in a worker process.
+
+    The statistics are sent, which are a twentieth of the model's size.
+    """
+    if mark not in _BUILT:
+        _BUILT.clear()
+        _BUILT[mark] = _model(rows)
+    return _BUILT[mark]
+
+
 def _costs(counts: np.ndarray, nodes: np.ndarray, length: np.ndarray, parent: np.ndarray) -> np.ndarray:
     """Bits of each byte in some contexts, by escapes down to the empty one, with exclusion."""
     out = np.zeros((len(nodes), 256))
@@ -219,12 +234,13 @@ def identify(docs: DataFrame, *, held_out: str = "crc32(cast(doc_id as string))
     ``docs`` are not returned; rows that repeat an id are predicted one by one.
     """
     spark = docs.sparkSession
-    model = train(docs.where(f"not ({held_out})").where("text is not null and lang is not null")
-                  .select("doc_id", "text", "lang"), most)
-    frozen = spark.sparkContext.broadcast(model)  # bounded: nodes follow from the bounded sample
+    rows = train(docs.where(f"not ({held_out})").where("text is not null and lang is not null")
+                 .select("doc_id", "text", "lang"), most)
+    frozen = spark.sparkContext.broadcast(rows)  # bounded: they follow from the bounded sample
+    mark = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = frozen.value
+        trees = built(mark, frozen.value)
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             known = batch.column("lettered").to_numpy(zero_copy_only=False).astype(bool)
