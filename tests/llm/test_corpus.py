@@ -293,7 +293,10 @@ def test_decontamination(spark, docs, empty):
     assert simhash.contaminated(docs, items.where("item_id > 90")).count() == 0
 
 
-def test_scores(docs, empty, spark):
+@pytest.mark.parametrize("share", [0.0, 0.01, 1.0])
+def test_scores(docs, empty, spark, share, monkeypatch):
+    # all pairs sent to the tasks, some, or none: the losses are the same
+    monkeypatch.setattr(ngram_lm, "PAIR_SHARE", share)
     target = spark.createDataFrame([(1,), (3,), (None,)], "doc_id long")
     found = {r.doc_id: r for r in ngram_lm.score(docs, target).collect()}
     assert found[2].score < 0 < found[4].score and found[5].score is None and found[7].n_words == 0
