@@ -71,6 +71,17 @@ def test_resume_does_no_work_twice(spark, tmp_path):
     assert done == ["NEW", "ONE", "THREE", "TWO"]
 
 
+def test_resume_keeps_two_texts_of_one_id_apart(spark, tmp_path):
+    root = str(tmp_path)
+    rows = spark.createDataFrame([("a", "x"), ("a", "xyz"), ("b", "y")], "id string, text string")
+    rows.write.parquet(f"{root}/in/0")
+    jobs.run_resume(spark.readStream.schema(rows.schema).parquet(f"{root}/in/*"), root,
+                    lambda fresh: grading.annotate(fresh, "id", "text", lambda: _upper(), 1))
+    done = spark.read.parquet(f"{root}/annotated")
+    assert sorted((r.id, r.output) for r in done.collect()) == [("a", "X"), ("a", "XYZ"), ("b", "Y")]
+    assert done.where(F.col("text_hash") == F.sha2(F.lower("output"), 256)).count() == 3
+
+
 def _upper():
     return lambda text, attempt: text.upper()
 

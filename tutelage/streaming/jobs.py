@@ -96,9 +96,10 @@ def run_resume(chunks: DataFrame, root: str,
         if done is not None:
             seen = done.where(F.col("batch") != number).select("id", "text_hash")
             todo = todo.join(seen, ["id", "text_hash"], "left_anti")
-        fresh = todo.dropDuplicates(["id", "text_hash"])
-        fresh.select("id", "text_hash").join(annotate(fresh), "id").write.mode(
-            "overwrite").parquet(f"{out}/batch={number}")
+        # the hash (64 characters) travels inside the id, so two texts of one id stay apart
+        fresh = todo.dropDuplicates(["id", "text_hash"]).withColumn("id", F.concat("text_hash", "id"))
+        annotate(fresh.drop("text_hash")).withColumn("text_hash", F.substring("id", 1, 64)).withColumn(
+            "id", F.expr("substring(id, 65)")).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     chunks.writeStream.foreachBatch(each).option(
         "checkpointLocation", f"{root}/checkpoint").trigger(
