@@ -106,6 +106,30 @@ def test_near_duplicates(docs, k):
     assert got == want
 
 
+@pytest.mark.parametrize(("small", "part"), [(8, 1 << 20), (1, 300)])
+def test_near_duplicates_in_drifting_groups(spark, monkeypatch, small, part):
+    """Groups whose ends are unlike each other, some texts linked to a single other one."""
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "PART", part)
+    rng = np.random.default_rng(3)
+    texts = []
+    for group in range(2):
+        base = [VOCAB[i] for i in rng.integers(0, 400, 150)]
+        for _ in range(40):
+            text = list(base)
+            for at in rng.integers(0, 150, int(rng.integers(3, 14))):
+                text[at] = VOCAB[rng.integers(0, 400)]
+            texts.append(" ".join(text))
+            if rng.random() < 0.2:
+                base = text
+    sets = {i: set(shingles(x, 2)) for i, x in enumerate(texts)}
+    links = [(u, v) for u, a in sets.items() for v, b in sets.items() if u < v and 100 * len(a & b) >= 80 * len(a | b)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, words=2).collect()}
+    assert got == components(sets, links)
+    assert len(set(got.values())) > 2
+
+
 def test_language(spark, empty):
     pairs = [(i, ("the of and in to is " if i % 2 else "der die und das ist ein ") * 5, "en" if i % 2 else "de") for i in range(60)]
     extra = [(100, None, "en"), (101, "12 !!", "en"), (102, "the and of", None), (None, "und das", "de")]

@@ -16,8 +16,8 @@ from tutelage.session import discard, stored
 
 BINS = 256      # of the one permutation; a power of two
 ROWS = 6        # bins in a band: 42 bands, a pair at 0.8 is missed with probability 3e-6
-LOOKS = 2       # at buckets that hold several components, after the first stars
 SMALL = 8       # members of a bucket that are compared with each other, not with a centre
+PART = 1 << 20  # shingles on each side of a comparison inside one task
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _DONORS: dict[int, np.ndarray] = {}
 
@@ -142,10 +142,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     centre of that bucket, its member with most company over all its buckets (in a group of
     edited copies, the original).  Centre pairs are verified on full sets, and the
     components of the links are found.  Buckets that still hold more than one component are
-    looked at ``LOOKS`` times more: small ones whole, larger ones around another centre in each
-    look.  Pairs so stay in proportion to bucket members, however large a group is.  A link whose
-    ends are in no other way connected is lost only if its ends are in no common bucket, or if
-    their common buckets (11 are expected at 0.8) are all large and neither became a centre.
+    looked at again: small ones whole, larger ones around another centre.  What is open after
+    that is compared inside tasks (``_settled``), members outside a bucket's largest component
+    with all others, and only links between components come out.  Rows that leave a task so stay in
+    proportion to bucket members, however large a group is, and a link is lost only if its
+    ends are in no common bucket and in no other way connected.
     A pair whose sizes alone rule the similarity out is never verified.
 
     Nulls, empty and blank texts have no shingles: n_shingles 0, linked with nothing, kept.
@@ -179,10 +180,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = stored(_linked(stars, sets, percent).distinct(), "links")
     found = connected_components(links)
 
-    for look in range(1, LOOKS + 1):
-        pairs = stored(_unsettled(members, found, percent, look), "rest")
-        new = stored(_linked(pairs, sets, percent), "new-links")
-        discard(pairs)
+    pairs = stored(_unsettled(members, found, percent), "rest")
+    for more in (lambda: _linked(pairs, sets, percent), lambda: _settled(members, found, sets, percent)):
+        new = stored(more(), "new-links")
         if not new.isEmpty():
             links = stored(links.union(new), "links")
             found = connected_components(links)
@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     grouped = sketch.where("n > 0 and doc_id is not null").drop("keys").join(known, ["h1", "h2", "n"]).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id")
-    discard(members, stars, sets)
+    discard(members, stars, pairs, sets)
     return grouped.union(single).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -202,25 +202,27 @@ def _sizes_fit(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
-def _unsettled(members: DataFrame, found: DataFrame, percent: int, look: int) -> DataFrame:
-    """Pairs of different components in the buckets that still hold more than one.
-
-    In the first look, all of them in buckets of at most ``SMALL`` members.  In larger ones a
-    new centre with all others: one of the members outside the bucket's largest component,
-    another one in each look.
-    """
+def _open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets with more than one component, with theirs and the bucket's largest."""
     placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "key", "rep", "n", "size", F.coalesce("component", "rep").alias("comp"))
-    if look > 1:
-        placed = placed.where(F.col("size") > SMALL)
     parts = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
     largest = parts.groupBy("key").agg(
         F.count("*").alias("comps"), F.max(F.struct("m", -F.col("comp"))).alias("top")).where("comps > 1").select(
         "key", (-F.col("top.col2")).alias("top"))
-    open_ = placed.join(largest, "key")
+    return placed.join(largest, "key")
+
+
+def _unsettled(members: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in the buckets that still hold more than one.
+
+    All of them in buckets of at most ``SMALL`` members; in larger ones one of the members
+    outside the bucket's largest component with all others.
+    """
+    open_ = _open(members, found)
     outside = open_.where("comp <> top").select("key", "rep", "n", "comp", "size")
     centre = outside.where(F.col("size") > SMALL).groupBy("key").agg(
-        F.min(F.struct(F.xxhash64("rep", F.lit(look)), "rep", "n", "comp")).alias("o")).select(
+        F.min(F.struct(F.xxhash64("rep"), "rep", "n", "comp")).alias("o")).select(
         "key", "o.rep", "o.n", "o.comp")
     ends = outside.where(F.col("size") <= SMALL).drop("size").union(centre).toDF("key", "o", "o_n", "o_comp")
     return (
@@ -229,6 +231,74 @@ def _unsettled(members: DataFrame, found: DataFrame, percent: int, look: int) ->
     )
 
 
+def _settled(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links between components, out of the larger buckets that are still open.
+
+    Open buckets with the same largest component are one family.  Its ends (members outside
+    that component) meet all of the family: both sides are dealt into parts of about ``PART``
+    shingles, and every two parts meet in one task.
+    """
+    family = stored(
+        _open(members, found).where(F.col("size") > SMALL).groupBy("top", "rep")
+        .agg(F.min("n").alias("n"), F.min("comp").alias("comp")), "families")
+    end = F.col("comp") != F.col("top")
+    parts = family.groupBy("top").agg(
+        F.ceil(F.sum("n") / PART).alias("parts"), F.ceil(F.sum(F.when(end, F.col("n"))) / PART).alias("end_parts"))
+    dealt = family.join(parts, "top")
+
+    def place(count: str):
+        return F.pmod(F.xxhash64("rep"), F.col(count))
+
+    def every(count: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+
+    ends = dealt.where(end).select("top", "rep", "comp", F.lit(True).alias("end"), place("end_parts").alias("a"),
+                                   every("parts").alias("b"))
+    others = dealt.select("top", "rep", "comp", F.lit(False).alias("end"), every("end_parts").alias("a"),
+                          place("parts").alias("b"))
+    return (
+        ends.union(others).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+        .groupBy("top", "a", "b").applyInArrow(_between(percent), "u long, v long").distinct()
+    )
+
+
+def _between(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Each component of a group with the smallest one it is connected to inside the group."""
+        comp = table.column("comp").to_numpy()
+        end = table.column("end").to_numpy()
+        lists = table.column("members").combine_chunks()
+        sizes = lists.value_lengths().to_numpy().astype(np.int64)
+        values, ids = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        edges = np.cumsum([0, *sizes])
+        other = np.flatnonzero(~end)
+        theirs = ids[np.repeat(~end, sizes)]
+        starts = np.cumsum(sizes[other]) - sizes[other]
+        names, node = np.unique(comp, return_inverse=True)
+        least = np.arange(len(names))
+        pairs = [np.zeros((0, 2), np.int64)]
+        mine = np.zeros(len(values), np.int64)
+        for e in np.flatnonzero(end) if len(other) else ():
+            own = ids[edges[e]:edges[e + 1]]
+            mine[own] = 1
+            both = np.add.reduceat(mine[theirs], starts)
+            mine[own] = 0
+            near = 100 * both >= percent * (sizes[e] + sizes[other] - both)
+            to = np.unique(node[other[near]])
+            pairs.append(np.stack([np.full(len(to), node[e]), to], axis=1))
+        u, v = np.unique(np.concatenate(pairs), axis=0).T
+        while True:
+            before = least.copy()
+            np.minimum.at(least, u, least[v])
+            np.minimum.at(least, v, least[u])
+            if (before == least).all():
+                break
+        some = least < np.arange(len(names))
+        return pa.table({"u": names[some], "v": names[least[some]]})
+
+    return run
+
+
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, the one of smallest id.
 
