@@ -17,7 +17,7 @@ from tutelage.session import discard, stored
 BINS = 256      # of the one permutation; a power of two
 ROWS = 6        # bins in a band: 42 bands, a pair at 0.8 is missed with probability 3e-6
 SMALL = 8       # members of a bucket that are compared with each other, not with a centre
-PART = 1 << 20  # shingles on each side of a comparison inside one task
+PART = 1 << 18  # shingles on each side of a comparison inside one task
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _DONORS: dict[int, np.ndarray] = {}
 
