@@ -42,6 +42,12 @@ def test_cards(spark, tmp_path):
                                 {"id": "m", "prompt": "third"}]))
     got = {r.id: (r.num, r.prompt, r.difficulty) for r in files.load_cards(spark, str(path)).collect()}
     assert got == {"k": (1, "first", "number"), "m": (3, "third", "number")}
+    (tmp_path / "decks").mkdir()
+    for name, ids in (("a", "kml"), ("b", "zk")):
+        (tmp_path / "decks" / f"{name}.json").write_text(json.dumps([{"id": i, "prompt": name} for i in ids]))
+    rows = files.load_cards(spark, str(tmp_path / "decks")).collect()
+    assert {(r.file[-6:], r.id, r.num) for r in rows} == {
+        ("a.json", "k", 1), ("a.json", "m", 2), ("a.json", "l", 3), ("b.json", "z", 1), ("b.json", "k", 2)}
 
 
 @pytest.mark.parametrize("min_rows", [10**6, 2])

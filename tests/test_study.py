@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tutelage.functions import scoring as S
 from tutelage.operators import policy, reports, study
 from tutelage.operators.skew import SEG, position, running_sum, with_segments
 
@@ -243,3 +244,11 @@ def test_focus_kinds_stay_out_of_the_regular_flow(spark):
     assert policy.next_due(items, now).first().topic == "q2"
     assert policy.next_due(items, now, "number").first().topic == "q1"
     assert {r.topic for r in policy.gaps(items, 0).collect()} == {"q1", "q2"}
+
+
+def test_whole_numbers(spark):
+    rows = spark.createDataFrame([(x,) for x in ("5", '"4"', "5.0", "3e0", "4.5", '"5.0"', "x", "9", None)], "raw string")
+    value, reason = S.whole_number(F.col("raw"), 0, 5)
+    got = [(r.v, r.why) for r in rows.select(value.alias("v"), reason.alias("why")).collect()]
+    assert got == [(5, None), (4, None), (5, None), (3, None), (None, "not a whole number"),
+                   (None, "not a whole number"), (None, "not a whole number"), (9, "out of range 0-5"), (None, "missing")]

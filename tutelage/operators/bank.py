@@ -257,10 +257,10 @@ def extract_bank(lessons: DataFrame, markers: Markers) -> DataFrame:
 
 
 def dedupe_bank(bank: DataFrame, module_order: Column) -> DataFrame:
-    """First question per id in teaching order: module, lesson, position."""
-    payload = F.struct(*[c for c in bank.columns if c != "id"])
+    """First question per id of each course in teaching order: module, lesson, position."""
+    payload = F.struct(*[c for c in bank.columns if c not in ("course", "id")])
     order = F.struct(module_order, F.col("lesson_dir"), F.col("pos"))
-    return bank.groupBy("id").agg(F.min_by(payload, order).alias("q")).select("id", "q.*")
+    return bank.groupBy("course", "id").agg(F.min_by(payload, order).alias("q")).select("course", "id", "q.*")
 
 
 def size_gate(lessons: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ def _load_cards(s, d):
     cards.groupBy("deck").agg(F.to_json(F.transform(
         F.array_sort(F.collect_list(F.struct("p_partkey", "card"))), lambda x: x.card))
         .alias("value")).select("value").write.text(path)
-    return files.load_cards(s, path, deck_per_line=True)
+    return files.load_cards(s, path, deck_per_line=True).drop("file")
 
 
 def _load_golden(s, d):

@@ -172,7 +172,7 @@ ORACLES = {
       FROM built"""),
     "dedupe_bank": on_lessons("""
       SELECT md5(prompt) AS id, course, module, lesson_dir, CAST(num AS INT) AS num, prompt
-      FROM (SELECT *, row_number() OVER (PARTITION BY md5(prompt) ORDER BY
+      FROM (SELECT *, row_number() OVER (PARTITION BY course, md5(prompt) ORDER BY
                 CAST(substr(module, 8) AS INT), lesson_dir, pos) AS r FROM built)
       WHERE r = 1"""),
     "lessons_in_manifest": q("""

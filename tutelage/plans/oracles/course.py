@@ -214,7 +214,7 @@ ORACLES = {
       FROM (SELECT 'card' || (p_partkey - p_partkey % 3) AS id, p_brand AS module, p_type AS unit,
                    p_name AS prompt, CAST(p_size AS VARCHAR) AS answer,
                    CAST(p_partkey % 500 + 1 AS INT) AS num,
-                   row_number() OVER (PARTITION BY p_partkey - p_partkey % 3
+                   row_number() OVER (PARTITION BY p_partkey // 500, p_partkey - p_partkey % 3
                      ORDER BY p_partkey % 500) AS r
             FROM part)
       WHERE r = 1""",

@@ -69,20 +69,22 @@ def load_lessons_json(spark: SparkSession, path: str, multiline: bool = True) ->
 def load_cards(spark: SparkSession, path: str, deck_per_line: bool = False) -> DataFrame:
     """Cloze cards as bank rows, numbered by their place in the deck.
 
-    A missing file is an empty deck.  The first card of an id wins.
+    A missing file is an empty deck.  The first card of an id wins in each deck; the same id in
+    another deck is another card.  ``file`` names the deck's file.
     """
     try:
-        decks = spark.read.text(path, wholetext=not deck_per_line)
+        decks = spark.read.text(path, wholetext=not deck_per_line).select(
+            "value", F.col("_metadata.file_path").alias("file"))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        decks = spark.createDataFrame([], "value string")
-    cards = decks.select(F.posexplode(F.from_json("value", T.ArrayType(schemas.CARD)))).select(
-        "pos", "col.*")
-    first = cards.groupBy("id").agg(F.min_by(F.struct(
+        decks = spark.createDataFrame([], "value string, file string")
+    cards = decks.withColumn("deck", F.monotonically_increasing_id()).select("file", "deck", F.posexplode(F.from_json("value", T.ArrayType(schemas.CARD)))).select(
+        "file", "deck", "pos", "col.*")
+    first = cards.groupBy("file", "deck", "id").agg(F.min_by(F.struct(
         "module", "unit", F.col("unit").alias("unit_topic"), (F.col("pos") + 1).alias("num"),
         F.lit("number").alias("difficulty"), "prompt", "answer", "citation"), "pos").alias("c"))
-    return first.select("id", "c.*")
+    return first.select("id", "c.*", "file")
 
 
 def load_golden(spark: SparkSession, path: str, min_rows: int = MIN_ROWS) -> DataFrame:
