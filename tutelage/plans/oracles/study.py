@@ -105,13 +105,9 @@ ORACLES = {
     "attempt_history": q("""
       SELECT learner_id, topic, ts, seq, attempts, quality, confidence, reps, streak, lapses,
              mastered, due, calibration,
-             CASE WHEN mastered THEN 'Mastered — "' || topic ||
-                    '" leaves rotation and returns for a spaced re-verification on ' ||
-                    strftime(due, '%Y-%m-%d') || '.'
-                  WHEN calibration = 'blindspot' THEN 'Blindspot (confident but wrong) — "' ||
-                    topic || '" jumps back to the front of the queue.'
-                  ELSE 'Recorded — "' || topic || '" is due again ' ||
-                    strftime(due, '%Y-%m-%dT%H:%M:%SZ') || '.' END AS message
+             CASE WHEN mastered THEN topic || ' is mastered; next review ' || strftime(due, '%Y-%m-%d')
+                  WHEN calibration = 'blindspot' THEN topic || ' was missed although you felt sure; it is asked first'
+                  ELSE topic || ' noted; next try ' || strftime(due, '%Y-%m-%dT%H:%M:%SZ') END AS message
       FROM dues""", "dues"),
     "due_schedule": q("""
       SELECT learner_id, topic, ts, seq, streak, mastered, CAST(wait_minutes AS INT)
