@@ -17,8 +17,7 @@ WITHIN_ONE_MIN = 0.90
 SIGNED_ERROR_MAX = 0.50
 TRIES = 3
 
-_LONG_NOTE = ("\nThis is a long/integrative question: grade on completeness and structure, "
-              "not just whether the key fact appears.\n")
+_LONG_NOTE = "\nThe answer should cover the topic as a whole; judge coverage and order.\n"
 
 
 def resolve_golden(golden: DataFrame, bank: DataFrame) -> DataFrame:
@@ -36,11 +35,11 @@ def grading_requests(resolved: DataFrame) -> DataFrame:
     points = F.array_join(F.transform(points_of(F.col("answer")), lambda p: F.concat(
         F.lit("- "), p, F.lit("\n"))), "")
     text = F.concat(
-        F.lit("QUESTION:\n"), "prompt", F.lit("\n\nOFFICIAL ANSWER KEY (private):\n"), "answer",
+        F.lit("Question:\n"), "prompt", F.lit("\n\nKey, not to be shown:\n"), "answer",
         F.lit("\n"),
-        F.when(points != "", F.concat(F.lit("\nREQUIRED POINTS:\n"), points)).otherwise(""),
+        F.when(points != "", F.concat(F.lit("\nPoints to be named:\n"), points)).otherwise(""),
         F.when(F.col("difficulty") == "long", _LONG_NOTE).otherwise(""),
-        F.lit("\nLEARNER'S ANSWER:\n"), "learner_answer", F.lit("\n"))
+        F.lit("\nAnswer given:\n"), "learner_answer", F.lit("\n"))
     return resolved.where(F.col("reject").isNull()).withColumn("request", text)
 
 

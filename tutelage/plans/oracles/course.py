@@ -232,14 +232,14 @@ ORACLES = {
     "resolve_golden": q("SELECT doc_id, question_id, expected, prompt, reject FROM resolved",
                         "bank", golden=GOLDEN, resolved=RESOLVED),
     "grading_requests": q("""
-      SELECT doc_id, question_id, 'QUESTION:' || chr(10) || prompt || chr(10) || chr(10) ||
-             'OFFICIAL ANSWER KEY (private):' || chr(10) || answer || chr(10) ||
-             CASE WHEN answer <> '' THEN chr(10) || 'REQUIRED POINTS:' || chr(10) || '- ' ||
+      SELECT doc_id, question_id, 'Question:' || chr(10) || prompt || chr(10) || chr(10) ||
+             'Key, not to be shown:' || chr(10) || answer || chr(10) ||
+             CASE WHEN answer <> '' THEN chr(10) || 'Points to be named:' || chr(10) || '- ' ||
                   answer || chr(10) ELSE '' END ||
-             CASE WHEN difficulty = 'long' THEN chr(10) || 'This is a long/integrative question: '
-                  || 'grade on completeness and structure, not just whether the key fact appears.'
+             CASE WHEN difficulty = 'long' THEN chr(10) || 'The answer should cover '
+                  || 'the topic as a whole; judge coverage and order.'
                   || chr(10) ELSE '' END ||
-             chr(10) || 'LEARNER''S ANSWER:' || chr(10) || learner_answer || chr(10) AS request
+             chr(10) || 'Answer given:' || chr(10) || learner_answer || chr(10) AS request
       FROM resolved WHERE reject IS NULL""", "bank", golden=GOLDEN, resolved=RESOLVED),
     "parse_verdicts": q("SELECT * FROM verdicts", **GRADE),
     "verdict_rejects": q("""
