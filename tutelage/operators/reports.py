@@ -173,13 +173,13 @@ def mastery_summary(bank: DataFrame, items: DataFrame, now: Column,
     totals = _totals(bank, items, now).join(spots, "learner_id", "left").join(
         _weak_units(bank, items), "learner_id", "left")
     first = F.concat(
-        F.lit("Drill digest: "), "attempted", F.lit("/"), "questions",
-        F.lit(" bank questions attempted, "), "mastered", F.lit(" mastered ("), "mastered_pct",
-        F.lit("%), "), "due", F.lit(" due now."))
-    second = F.when(F.col("n_spots").isNull(), F.lit("Blindspots: none outstanding.")).otherwise(
+        F.lit("Tried "), "attempted", F.lit(" of "), "questions",
+        F.lit(" questions; "), "mastered", F.lit(" mastered ("), "mastered_pct",
+        F.lit("%), "), "due", F.lit(" to repeat"))
+    second = F.when(F.col("n_spots").isNull(), F.lit("No blindspots")).otherwise(
         F.concat(F.lit("Blindspots ("), "n_spots", F.lit("): "),
                  F.concat_ws("; ", *[f"s{i}" for i in range(BLINDSPOTS_SHOWN)]), F.lit(".")))
     third = F.when(F.size("weak_units") > 0, F.concat(
-        F.lit("Weakest units: "), F.array_join(F.transform("weak_units", lambda u: F.concat(
+        F.lit("Least mastered: "), F.array_join(F.transform("weak_units", lambda u: F.concat(
             _short(u.unit, 40), F.lit(" ("), u.mastered_pct, F.lit("%)"))), ", "), F.lit(".")))
     return totals.select("learner_id", F.concat_ws("\n", first, second, third).alias("summary"))

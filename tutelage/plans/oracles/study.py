@@ -204,14 +204,14 @@ ORACLES = {
                         "items", "official", "now", **DIGEST),
     "mastery_summary": q("""
       SELECT t.learner_id,
-        'Drill digest: ' || t.attempted || '/' || t.questions || ' bank questions attempted, ' ||
+        'Tried ' || t.attempted || ' of ' || t.questions || ' questions; ' ||
         t.mastered || ' mastered (' || (t.mastered * 100 // t.questions) || '%), ' || t.due ||
-        ' due now.' || chr(10) ||
+        ' to repeat' || chr(10) ||
         coalesce((SELECT 'Blindspots (' || count(*) || '): ' ||
                     string_agg(CASE WHEN rank <= 3 THEN topic END, '; ' ORDER BY rank) || '.'
                   FROM spots s WHERE s.learner_id = t.learner_id HAVING count(*) > 0),
-                 'Blindspots: none outstanding.') ||
-        coalesce((SELECT chr(10) || 'Weakest units: ' ||
+                 'No blindspots') ||
+        coalesce((SELECT chr(10) || 'Least mastered: ' ||
                     string_agg(unit || ' (' || pct || '%)', ', ' ORDER BY r) || '.'
                   FROM weak w WHERE w.learner_id = t.learner_id AND r <= 5), '') AS summary
       FROM totals t""", "items", "official", "now", **DIGEST),
