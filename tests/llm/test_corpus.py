@@ -278,6 +278,21 @@ def test_passages(docs, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+@pytest.mark.parametrize("edit", [1, -1])
+def test_passages_with_a_word_more_or_less(spark, edit):
+    # 50 to 60 words in unrelated context; one word is inserted, or deleted where 50 remain
+    rng = np.random.default_rng(7)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 60, n)]
+    pairs = []
+    for k in range(60):
+        own = fresh(52 + k % 9)
+        at = len(own) // 2
+        other = own[:at] + (fresh(1) + own[at:] if edit > 0 else own[at + 1:])
+        pairs += [(2 * k, " ".join(fresh(80) + own + fresh(80))), (2 * k + 1, " ".join(fresh(70) + other + fresh(90)))]
+    found = passages.repeated_passages(spark.createDataFrame(pairs, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.like_id) for r in found} == {(2 * k + 1, 2 * k) for k in range(60)}
+
+
 def test_wide_nodes_equal_the_tree():
     values = RNG.integers(0, 40, 300).astype(np.uint64)
     want = set()
