@@ -293,6 +293,23 @@ def test_passages_with_a_word_more_or_less(spark, edit):
     assert {(r.doc_id, r.like_id) for r in found} == {(2 * k + 1, 2 * k) for k in range(60)}
 
 
+def test_passages_side_by_side_that_are_apart_elsewhere():
+    rng = np.random.default_rng(8)
+    fresh = lambda n: rng.integers(0, 1 << 62, n)
+    one, two = fresh(46), fresh(46)
+    edited = np.concatenate([one[:20], fresh(5), one[24:]])
+    for gap in (0, 8, 30, 60):
+        b = np.concatenate([fresh(9), one, fresh(gap), two, fresh(9)])
+        for between in (30, 300):
+            for p, q in ((one, two), (two, one), (edited, two)):
+                # a fragment of the first passage comes before it
+                a = np.concatenate([fresh(5), one[:30], fresh(20), p, fresh(between), q, fresh(5)])
+                got = {(y, v) for x, y, u, v, like in passages.common_passages(a, b, 46, 0.8)}
+                first, second = 55 + len(p), 55 + len(p) + between + len(q)
+                ends = (second, first) if p is two else (first, second)
+                assert got == {(ends[0], 55), (ends[1], 101 + gap)}, (gap, between)
+
+
 def test_wide_nodes_equal_the_tree():
     values = RNG.integers(0, 40, 300).astype(np.uint64)
     want = set()
