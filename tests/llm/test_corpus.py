@@ -310,6 +310,21 @@ def test_passages_side_by_side_that_are_apart_elsewhere():
                 assert got == {(ends[0], 55), (ends[1], 101 + gap)}, (gap, between)
 
 
+@pytest.mark.parametrize("whole", [0, 16])
+def test_passages_around_a_fragment(spark, whole, monkeypatch):
+    # the smallest id has a fragment of what two others hold whole
+    monkeypatch.setattr(passages, "WHOLE", whole)
+    rng = np.random.default_rng(9)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 60, n)]
+    texts = []
+    for _ in range(150):
+        own = fresh(50)
+        texts += [fresh(90) + own[:40] + fresh(90), fresh(90) + own + fresh(90), fresh(90) + own + fresh(90)]
+    found = passages.repeated_passages(
+        spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.like_id) for r in found} >= {(3 * k + 2, 3 * k + 1) for k in range(150)}
+
+
 def test_wide_nodes_equal_the_tree():
     values = RNG.integers(0, 40, 300).astype(np.uint64)
     want = set()
