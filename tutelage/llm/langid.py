@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tutelage.llm.setup import join_ids
 from tutelage.llm.words import BLOCK_BYTES, lowered, text_bytes
+from tutelage.llm.worker import kept
 from tutelage.session import discard, stored
 
 ORDER = 4
@@ -185,20 +186,6 @@ def _model(rows: pa.Table) -> Model:
     return Model(langs, child, cost)
 
 
-_BUILT: dict[str, Model] = {}
-
-
-def built(mark: str, rows: pa.Table) -> Model:
-    """The model of these statistics, built once in a worker process.
-
-    The statistics are sent, which are a twentieth of the model's size.
-    """
-    if mark not in _BUILT:
-        _BUILT.clear()
-        _BUILT[mark] = _model(rows)
-    return _BUILT[mark]
-
-
 def _costs(counts: np.ndarray, nodes: np.ndarray, length: np.ndarray, parent: np.ndarray) -> np.ndarray:
     """Bits of each byte in some contexts, by escapes down to the empty one, with exclusion."""
     out = np.zeros((len(nodes), 256))
@@ -240,7 +227,8 @@ def identify(docs: DataFrame, *, held_out: str = "crc32(cast(doc_id as string))
     mark = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = built(mark, frozen.value)
+        # the counts are sent, a twentieth of the model's size
+        trees = kept(("language", mark), lambda: _model(frozen.value))
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             known = batch.column("lettered").to_numpy(zero_copy_only=False).astype(bool)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tutelage.llm.words import hash_words, text_bytes
+from tutelage.llm.worker import kept
 from tutelage.session import stored
 
 #: Distinct pieces whose ids a worker process keeps before it starts anew; a single block of
@@ -48,7 +49,7 @@ class PieceTokenizer:
     For byte-level BPE without normaliser and with the usual pre-token pattern, whose only
     look-ahead is in runs of blanks.  Cuts are made before a run of blanks and between an ASCII
     letter and ASCII punctuation; a text that holds the string of a special token is encoded
-    whole.  Pieces are known by a 64-bit hash.
+    whole.  Pieces are known by two independent 64-bit hashes.
     """
 
     def __init__(self, path: str) -> None:
@@ -63,7 +64,7 @@ class PieceTokenizer:
 
     def _forget(self) -> None:
         self.table = np.full(TABLE, -1, np.int32)   # open addressing: hash -> number of a piece
-        self.keys = np.zeros(0, np.uint64)
+        self.keys = np.zeros((0, 2), np.uint64)
         self.at = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.flat = np.zeros(0, self.dtype)
@@ -73,15 +74,15 @@ class PieceTokenizer:
                 for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
-        """Number of each known piece, -1 for others."""
+        """Number of each known piece (a row of two hashes), -1 for others."""
         out = np.full(len(hashes), -1, np.int64)
         rest = np.arange(len(hashes))
-        at = (hashes & np.uint64(TABLE - 1)).astype(np.int64)
+        at = (hashes[:, 0] & np.uint64(TABLE - 1)).astype(np.int64)
         while len(rest):
             number = self.table[at]
             taken = number >= 0
             rest, at, number = rest[taken], at[taken], number[taken]
-            right = self.keys[number] == hashes[rest]
+            right = (self.keys[number] == hashes[rest]).all(axis=1)
             out[rest[right]] = number[right]
             rest, at = rest[~right], (at[~right] + 1) & (TABLE - 1)
         return out
@@ -92,7 +93,7 @@ class PieceTokenizer:
         self.size = np.concatenate([self.size, sizes])
         self.flat = np.concatenate([self.flat, ids])
         self.keys = np.concatenate([self.keys, hashes])
-        at = (hashes & np.uint64(TABLE - 1)).astype(np.int64)
+        at = (hashes[:, 0] & np.uint64(TABLE - 1)).astype(np.int64)
         while len(number):
             free = self.table[at] < 0
             self.table[at[free]] = number[free]
@@ -144,17 +145,18 @@ class PieceTokenizer:
 
     def _places(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Number of each piece; unknown ones are encoded and kept."""
-        hashes = hash_words(data, starts, ends)
+        hashes = np.stack([hash_words(data, starts, ends), hash_words(data, starts, ends, seed=1)], axis=1)
         found = self._find(hashes)
         missing = np.flatnonzero(found < 0)
-        if len(missing):
-            kinds, first = np.unique(hashes[missing], return_index=True)
+        while len(missing):
+            kinds, first = np.unique(hashes[missing, 0], return_index=True)
             if len(self.keys) and len(self.keys) + len(kinds) > KEPT_PIECES:
                 self._forget()
                 return self._places(data, starts, ends)
             first = missing[first]
-            self._keep(kinds, *self._encode(data, starts[first], ends[first]))
+            self._keep(hashes[first], *self._encode(data, starts[first], ends[first]))
             found[missing] = self._find(hashes[missing])
+            missing = missing[found[missing] < 0]  # other pieces of the same first hash
         return found
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -203,14 +205,9 @@ def _found(raw: bytes, part: bytes) -> list[int]:
     return out
 
 
-_LOADED: dict[str, PieceTokenizer] = {}
-
-
 def tokenizer(path: str) -> PieceTokenizer:
     """The tokenizer of this worker process, loaded once."""
-    if path not in _LOADED:
-        _LOADED[path] = PieceTokenizer(path)
-    return _LOADED[path]
+    return kept(("tokenizer", path), lambda: PieceTokenizer(path))
 
 
 def token_table(docs: DataFrame, path: str, *, end_id: int = 0) -> DataFrame:
