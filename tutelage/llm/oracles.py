@@ -40,3 +40,26 @@ counted AS (SELECT u, count(*) AS n FROM ends GROUP BY u)
 SELECT e.vec_id, coalesce(c.n, 0) AS n_links, coalesce(f.component, e.vec_id) AS component_id,
   coalesce(f.component, e.vec_id) = e.vec_id AS kept
 FROM embeddings e LEFT JOIN counted c ON c.u = e.vec_id LEFT JOIN found f ON f.node = e.vec_id"""
+
+SEARCH = """
+WITH asked AS (SELECT row_number() OVER () AS item, item_id, text FROM benchmark),
+termed AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents WHERE text IS NOT NULL),
+corpus AS (SELECT count(*) AS n_docs, sum(len(w)) AS length FROM termed WHERE len(w) > 0),
+flat AS (SELECT row, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS t FROM termed),
+counts AS (SELECT row, doc_id, n, t, count(*) AS tf FROM flat GROUP BY ALL),
+weights AS (
+  SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM counts, corpus GROUP BY t, n_docs),
+wanted AS (
+  SELECT item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM asked),
+scores AS (
+  SELECT item, item_id, row, doc_id, CAST(sum(w * ((1000000000 * tf)
+    // (1000 * tf + 12 * (75 + (25 * n * n_docs) // length)))) AS BIGINT) AS score
+  FROM wanted JOIN weights USING (t) JOIN counts USING (t), corpus GROUP BY item, item_id, row, doc_id)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 20"""

@@ -118,12 +118,12 @@ def blocks(offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int,
         first = last
 
 
-def read_words(data: np.ndarray, offsets: np.ndarray) -> Texts:
-    """Words of the texts between consecutive offsets."""
+def read_words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _BLANK) -> Texts:
+    """Words of the texts between consecutive offsets; ``between`` marks the bytes that part words."""
     low = int(offsets[0])
     data = lowered(data[low:int(offsets[-1])])
     edges = offsets - low
-    blank = _BLANK[data]
+    blank = between[data]
     before = np.ones(len(data), bool)
     before[1:] = blank[:-1]
     before[edges[:-1][edges[:-1] < len(data)]] = True
@@ -137,8 +137,9 @@ def read_words(data: np.ndarray, offsets: np.ndarray) -> Texts:
     return Texts(starts - origin, ends - origin, hash_words(data, starts, ends), first)
 
 
-def each_block(batch: pa.RecordBatch | pa.Table, column: str) -> Iterator[tuple[int, int, Texts]]:
+def each_block(batch: pa.RecordBatch | pa.Table, column: str,
+               between: np.ndarray = _BLANK) -> Iterator[tuple[int, int, Texts]]:
     """(first row, past last row, words) for blocks of about a megabyte of a text column."""
     data, offsets = text_bytes(batch.column(column))
     for first, last in blocks(offsets):
-        yield first, last, read_words(data, offsets[first:last + 1])
+        yield first, last, read_words(data, offsets[first:last + 1], between)
