@@ -14,6 +14,7 @@ from tutelage.llm import (
     oracles,
     packing,
     passages,
+    personal,
     ranked,
     rans,
     rendezvous,
@@ -67,6 +68,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.find(table(spark, sf_dir, "documents"))
+
+
 def op12_repaired_talks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digest(table(spark, sf_dir, "conversations"))
 
@@ -84,7 +89,8 @@ def _shipped(query):
 
 QUERIES = {f.__name__: _shipped(f) for f in (
     op1_language, op2_near_duplicates, op3_repeated_passages, op4_packing, op5_token_files, op6_near_vectors,
-    op7_secrets, op8_cross_entropy, op9_shards, op10_decontaminate, op12_repaired_talks, op13_ranked_search)}
+    op7_secrets, op8_cross_entropy, op9_shards, op10_decontaminate, op11_personal_data, op12_repaired_talks,
+    op13_ranked_search)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES = {"op2_near_duplicates": oracles.NEAR_DUPLICATES, "op6_near_vectors": oracles.VECTORS,
            "op13_ranked_search": oracles.SEARCH}
