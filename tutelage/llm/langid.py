@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tutelage.llm.setup import join_ids
-from tutelage.llm.words import BLOCK_BYTES, lowered, text_bytes
+from tutelage.llm.words import lowered, text_bytes
 from tutelage.llm.worker import kept
 from tutelage.session import discard, stored
 
@@ -31,6 +31,8 @@ TRAIN_ROWS = 400
 MIN_CONTEXT = 24
 #: Contexts whose costs are worked out together.
 NODES_AT_ONCE = 2048
+#: Bytes of text that are coded at a time.
+STEP_BYTES = 1 << 18
 #: More labels than this are taken for a wrong column.
 MAX_LANGS = 500
 UNKNOWN = "und"
@@ -54,8 +56,8 @@ class Model:
         order = ORDER
         for first, last in _ranges(offsets):
             low, high = int(offsets[first]), int(offsets[last])
-            for at in range(low, high, BLOCK_BYTES):  # a longer text in several steps
-                stop = min(at + BLOCK_BYTES, high)
+            for at in range(low, high, STEP_BYTES):  # a longer text in several steps
+                stop = min(at + STEP_BYTES, high)
                 edges = np.clip(offsets[first:last + 1], at, stop)
                 back = max(low, at - order)
                 part = lowered(data[back:stop]).astype(np.int32)
@@ -82,7 +84,7 @@ class Model:
 def _ranges(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
     first, n = 0, len(offsets) - 1
     while first < n:
-        last = int(np.searchsorted(offsets, offsets[first] + BLOCK_BYTES, "right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + STEP_BYTES, "right")) - 1
         last = min(max(last, first + 1), n)
         yield first, last
         first = last

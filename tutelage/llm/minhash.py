@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tutelage.llm.components import connected_components
 from tutelage.llm.setup import join_ids
 from tutelage.llm.words import each_block, mix
+from tutelage.llm.worker import free
 from tutelage.session import discard, stored
 
 BINS = 256      # of the one permutation; a power of two
@@ -85,6 +86,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, bins: int
              rows: int = ROWS) -> DataFrame:
     """(doc_id, n, h1, h2, keys): set size, a 128-bit mark of the whole set, band keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free()
         for batch in batches:
             at = 0
             for sets in _sets(batch, "text", words):
@@ -106,6 +108,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, bins: int
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, members): the whole distinct shingle set of each text, as sorted hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free()
         for batch in batches:
             at = 0
             for sets in _sets(batch, "text", words):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tutelage.llm.setup import join_ids
 from tutelage.llm.words import Texts, each_block, mix, read_words, text_bytes
+from tutelage.llm.worker import free
 from tutelage.session import stored
 
 WORDS = 5        # in a shingle
@@ -167,6 +168,7 @@ def _one_pass(docs: DataFrame, rows: list[tuple[int, str]], similarity: float) -
     frozen = docs.sparkSession.sparkContext.broadcast(Benchmark([i for i, _ in full], [s for _, s in full]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free()
         bench = frozen.value
         for batch in batches:
             found = []

@@ -14,3 +14,8 @@ def kept(name: Hashable, build: Callable[[], Any]) -> Any:
         _KEPT.clear()
         _KEPT[name] = build()
     return _KEPT[name]
+
+
+def free() -> None:
+    """Lets go of an earlier job's object; for jobs that keep none of their own."""
+    _KEPT.clear()
