@@ -12,6 +12,8 @@ Kinds, in this order (fixed values; matched leftmost, without overlap, kind by k
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,9 @@ MIN_VALUE = 6
 #: A value held by more owners than this is a widely copied example.
 COPIED_OWNERS = 2
 
+#: Pieces or spans of a text that are worked on together.
+TOGETHER = 128
+
 _OPEN, _CLOSE, _SPARE = "\u0001", "\u0002", "\u0003"
 
 
@@ -37,31 +42,47 @@ def _spans(text: Column, kind: str, pattern: str) -> Column:
     """array<struct<start,rank,end,kind,value>> of a kind's matches, in code points.
 
     Matches are put between two marks that no pattern can match (texts that hold the marks
-    have them replaced before, one character for one), then the text is cut at the marks;
-    a running sum over the pieces gives the places.
+    have them replaced before, one character for one), then the text is cut at the marks.  The place
+    of a piece is the length of the blocks of pieces before its own and of the pieces before it
+    in its block, so the work for a match does not grow with their number.
     """
     marked = F.regexp_replace(F.translate(text, _OPEN + _CLOSE, _SPARE * 2), pattern, f"{_OPEN}$0{_CLOSE}")
-    pieces = F.split(marked, f"[{_OPEN}{_CLOSE}]", -1)
-    # pieces alternate: text, match, text, match, ..., text
-    rank = KINDS.index(kind)
-    start = F.aggregate(
-        pieces, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"),
-                                F.concat(acc["all"], F.array(acc["at"])).alias("all")))["all"]
-    found = F.filter(
-        F.transform(pieces, lambda x, i: F.struct(
-            F.get(start, i).alias("start"), F.lit(rank).alias("rank"),
-            (F.get(start, i) + F.length(x)).alias("end"), F.lit(kind).alias("kind"),
-            (F.regexp_extract(x, ASSIGN, 2) if kind == "assign" else x).alias("value"),
-            (i % 2 == 1).alias("match"))),
-        lambda s: s["match"] & (F.length(s["value"]) >= MIN_VALUE))
-    plain = F.transform(found, lambda s: F.struct(
-        s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"),
-        s["value"].alias("value")))
-    return F.when(text.rlike(pattern), plain).otherwise(
+    total = lambda sizes: F.aggregate(sizes, F.lit(0), lambda acc, x: acc + x)
+
+    def spans(pieces: Column, sizes: Column, before: Column) -> Column:
+        def span(k: Column) -> Column:
+            i = 2 * k + 1  # pieces alternate: text, match, text, match, ..., text
+            block = F.floor(i / TOGETHER).cast("int")
+            start = F.get(before, block) + total(F.slice(sizes, block * TOGETHER + 1, i % TOGETHER))
+            found = F.get(pieces, i)
+            return F.struct(
+                start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (start + F.get(sizes, i)).alias("end"), F.lit(kind).alias("kind"),
+                (F.regexp_extract(found, ASSIGN, 2) if kind == "assign" else found).alias("value"))
+
+        return F.filter(F.transform(_counted(F.floor(F.size(pieces) / 2)), span), lambda s: F.length(s["value"]) >= MIN_VALUE)
+
+    found = _named(F.split(marked, f"[{_OPEN}{_CLOSE}]", -1), lambda pieces: _named(
+        F.transform(pieces, F.length), lambda sizes: _named(
+            F.transform(_blocks(sizes), lambda j: total(F.slice(sizes, j * TOGETHER + 1, TOGETHER))), lambda sums: _named(
+                F.transform(_blocks(sizes), lambda j: total(F.slice(sums, 1, j))), lambda before: spans(pieces, sizes, before)))))
+    return F.when(text.rlike(pattern), found).otherwise(
         F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>"))
 
 
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often lambdas inside refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _counted(n: Column) -> Column:
+    """0 to n - 1, for an n of at least 1."""
+    return F.sequence(F.lit(0), n.cast("int") - 1)
+
+
+def _blocks(values: Column) -> Column:
+    return _counted(F.ceil(F.size(values) / TOGETHER))
+
+
 def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -140,20 +161,32 @@ def redact(docs: DataFrame, *, mark: str = "[secret]") -> DataFrame:
 
     Overlapping spans are one.  Values that are widely copied go too: a secret that leaked into
     many documents is still one.  ``n_chars``, where there is one, is counted anew.  Documents
-    without a span, null texts included, stay as they are; rows that repeat an id must have equal
-    texts or they share the spans of all.
+    without a span, null texts included, stay as they are; rows are told apart by a number of their
+    own, so null and repeated ids are treated like others.
     """
-    spans = scan(docs).where(F.size("found") > 0).groupBy("doc_id").agg(
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
-    pieces = F.aggregate(
-        "found", F.struct(F.lit(0).alias("at"), F.lit("").alias("text")),
-        lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(
-            s["end"].alias("at"),
-            F.concat(acc["text"], F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("text"),
-        )).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["text"].alias("text"))))
-    clean = docs.join(spans, "doc_id", "left").withColumn("done", F.when(F.col("found").isNotNull(), pieces)).withColumn(
-        "text", F.when(F.col("found").isNull(), F.col("text")).otherwise(
-            F.concat("done.text", F.expr("substring(text, done.at + 1)"))))
+    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    spans = scan(numbered, id_col="_row").where(F.size("found") > 0).select(F.col("doc_id").alias("_row"), "found")
+    text, found = F.col("text"), F.col("found")
+    last = lambda some: F.array_max(F.transform(some, lambda s: s["end"]))
+
+    def block(j: Column) -> Column:
+        """The text from the end of all earlier spans to that of this block's, spans replaced."""
+        own = F.slice(found, j * TOGETHER + 1, TOGETHER)
+
+        def filled(at: Column, part: Column) -> Column:
+            return F.aggregate(
+                own, F.struct(at.alias("at"), F.lit("").alias("text")),
+                lambda acc, s: F.struct(
+                    F.greatest(acc["at"], s["end"]).alias("at"),
+                    F.when(s["start"] >= acc["at"], F.concat(
+                        acc["text"], F.substring(part, acc["at"] - at + 1, s["start"] - acc["at"]), F.lit(mark))
+                    ).otherwise(acc["text"]).alias("text")), lambda acc: acc["text"])
+
+        return _named(F.coalesce(last(F.slice(found, 1, j * TOGETHER)), F.lit(0)), lambda at: _named(
+            F.substring(text, at + 1, last(own) - at), lambda part: filled(at, part)))
+
+    clean = numbered.join(spans, "_row", "left").withColumn("text", F.when(found.isNull(), text).otherwise(F.concat(
+        F.array_join(F.transform(_blocks(found), block), ""), F.substring(text, last(found) + 1, F.length(text)))))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(F.col("found").isNull(), F.col("n_chars")).otherwise(
             F.length("text").cast(docs.schema["n_chars"].dataType)))
