@@ -145,13 +145,6 @@ def test_glob(spark):
     assert match("") == names
 
 
-def test_order_prefix_follows_byte_order(spark):
-    words = ["", "a", "ab", "abcdefgh", "abcdefghi", "b", "z", "é", "日本", "~"]
-    df = spark.createDataFrame([(w,) for w in words], "w string").select(
-        "w", X.order_prefix(F.col("w")).alias("p"))
-    ordered = [r.p for r in df.orderBy("w").collect()]
-    assert ordered == sorted(ordered)
-
 
 def test_migration_keeps_state_and_merges_history(spark):
     from tests.test_study import attempts

@@ -1,7 +1,4 @@
-"""Registered queries against their check SQL.
-
-A spread of keys runs by default; TUTELAGE_ALL=1 runs every key.
-"""
+"""Every registered query against its check SQL; TUTELAGE_SPREAD=1 runs a spread of them only."""
 
 import glob
 import os
@@ -16,7 +13,7 @@ SF = os.environ.get("TUTELAGE_SF", "/root/testdata/sf0.001")
 SPREAD = ["item_state", "gaps", "next_question", "coverage", "mastery_summary", "extract_bank",
           "chunk_lessons", "lesson_documents", "course_findings", "parse_verdicts",
           "validate_catalog", "load_golden"]
-KEYS = list(registry.QUERIES) if os.environ.get("TUTELAGE_ALL") else SPREAD
+KEYS = SPREAD if os.environ.get("TUTELAGE_SPREAD") else list(registry.QUERIES)
 
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables absent")
 

@@ -50,12 +50,11 @@ def test_cards(spark, tmp_path):
         ("a.json", "k", 1), ("a.json", "m", 2), ("a.json", "l", 3), ("b.json", "z", 1), ("b.json", "k", 2)}
 
 
-@pytest.mark.parametrize("min_rows", [10**6, 2])
-def test_golden_names_bad_lines(spark, tmp_path, min_rows):
+def test_golden_names_bad_lines(spark, tmp_path):
     path = tmp_path / "g.jsonl"
     path.write_text('{"question_id":"a","expected_quality":3}\n\n{oops\n'
                     '{"expected_quality":1}\n{"question_id":"b","expected_quality":7}\n')
-    rows = files.load_golden(spark, str(path), min_rows).orderBy("line_no").collect()
+    rows = files.load_golden(spark, str(path)).orderBy("line_no").collect()
     assert [(r.line_no, r.reject) for r in rows] == [
         (1, None), (3, "not valid JSON"), (4, "question_id is required"),
         (5, "expected_quality 7 out of range 0-5")]
@@ -115,10 +114,10 @@ def tree(spark, names):
                                  "course string, dir string, lesson_dir string, n_bytes bigint")
 
 
-@pytest.mark.parametrize("min_rows", [10**6, 1])
-def test_lesson_order(spark, min_rows):
+@pytest.mark.parametrize("parts", [1, 5])
+def test_lesson_order(spark, in_range_parts, parts):
     def message(*names):
-        rows = lint.lesson_order(tree(spark, names), min_rows).collect()
+        rows = lint.lesson_order(tree(spark, names)).collect()
         return rows[0].message if rows else None
 
     assert message("Lesson_1", "Lesson_2", "Lesson_10").startswith(
@@ -134,17 +133,17 @@ def test_course_verdict_strict(spark):
     assert loose == {"a": True, "b": False, "(all)": False} and not strict["a"]
 
 
-@pytest.mark.parametrize("min_rows", [10**6, 3])
-def test_budget_and_passes(spark, min_rows):
+@pytest.mark.parametrize("parts", [1, 5])
+def test_budget_and_passes(spark, in_range_parts, parts):
     lessons = spark.createDataFrame(
         [("m", i, "T", "x" * 84, {}, []) for i in range(40)],
         "module string, lesson_index bigint, lesson string, lecture_content string, "
         "key_numbers map<string,string>, processes array<string>")
-    rows = flows.corpus_budget(lessons, 1000, min_rows).orderBy("lesson_index").collect()
+    rows = flows.corpus_budget(lessons, 1000).orderBy("lesson_index").collect()
     size = len("## T\n\n") + 84 + 2
     assert sum(len(r.text) for r in rows) == 1000
     assert len(rows) == 1000 // size + 1 and rows[-1].is_cut
     units = spark.createDataFrame([("m", 100)], "module string, minutes int")
     got = flows.split_passes(units, lessons.select("module", "lesson_index").where(
-        "lesson_index < 8"), ["module"], min_rows).orderBy("lesson_index").collect()
+        "lesson_index < 8"), ["module"]).orderBy("lesson_index").collect()
     assert [r.pass_no for r in got] == [1, 1, 1, 2, 2, 2, 3, 3]

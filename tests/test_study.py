@@ -1,4 +1,4 @@
-"""Study state against a plain sequential fold, with and without heavy-key cuts."""
+"""Study state against a plain sequential fold, with one key over few and over many parts."""
 
 import random
 from datetime import datetime, timedelta
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tutelage.functions import scoring as S
 from tutelage.operators import policy, reports, study
-from tutelage.operators.skew import SEG, position, running_sum, with_segments
+from tutelage.operators.ordered import PART, in_parts, position, running_sum, with_previous
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = ("learner_id bigint, topic string, ts timestamp_ntz, seq bigint, quality int, "
@@ -71,10 +71,11 @@ def expected(rows):
             for k, v in by_item.items()}
 
 
-@pytest.mark.parametrize("min_rows", [10**6, 20])
 @pytest.mark.parametrize("parts", [1, 16])
-def test_state_equals_fold(spark, log, min_rows, parts):
-    got = study.item_state(attempts(spark, log).repartition(parts), min_rows).collect()
+@pytest.mark.parametrize("days", [1, 30])
+def test_state_equals_fold(spark, log, monkeypatch, parts, days):
+    monkeypatch.setattr(study, "SLOT_DAYS", days)
+    got = study.item_state(attempts(spark, log).repartition(parts)).collect()
     want = expected(log)
     assert len(got) == len(want)
     for r in got:
@@ -84,39 +85,59 @@ def test_state_equals_fold(spark, log, min_rows, parts):
         assert r.created == marks[0][0] and r.last_reviewed == marks[-1][0]
 
 
-@pytest.mark.parametrize("min_rows", [10**6, 20])
-def test_history_equals_fold(spark, log, min_rows):
+@pytest.mark.parametrize("parts", [1, 13])
+def test_history_equals_fold(spark, log, in_range_parts, parts):
     want = expected(log)
-    rows = study.attempt_history(attempts(spark, log), min_rows).collect()
+    rows = study.attempt_history(attempts(spark, log)).collect()
     assert len(rows) == len(log)
     for r in rows:
         states = want[(r.learner_id, r.topic)][1]
         assert (r.reps, r.streak, r.lapses, r.mastered, r.due) == states[r.attempts - 1]
 
 
-def test_heavy_key_is_cut_and_ordinary_keys_are_not(spark, log):
-    seg = with_segments(attempts(spark, log), ["learner_id", "topic"], "ts", 200)
-    sizes = {(r.learner_id, r.topic, r[SEG]): r["count"] for r in seg.groupBy(
-        "learner_id", "topic", SEG).count().collect()}
-    hot = [n for k, n in sizes.items() if k[:2] == (1, "hot")]
-    assert len(hot) > 100 and max(hot) < 40
-    assert all(k[2] == -1 for k in sizes if k[:2] != (1, "hot"))
+def test_further_history_goes_on_from_the_last(spark, log):
+    """History of the later half, from the state after the earlier one, is that of the whole."""
+    rows = attempts(spark, log).where("ts < timestamp '2024-01-02 12:00'"), attempts(spark, log).where("ts >= timestamp '2024-01-02 12:00'")
+    first = study.attempt_history(rows[0])
+    last = first.groupBy(*study.KEY).agg(F.max_by(F.struct("attempts", "reps", "streak", "lapses", "mastered"), "attempts").alias("s")
+                                         ).select(*study.KEY, "s.*")
+    got = first.unionByName(study.history_after(rows[1], last))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, study.attempt_history(attempts(spark, log)).collect()))
 
 
-@pytest.mark.parametrize("min_rows", [10**6, 50])
-def test_running_sum_and_position(spark, min_rows):
-    rng = random.Random(3)
-    rows = [("big" if rng.random() < 0.5 else rng.choice("xyz"), rng.randint(0, 300), i,
-             rng.randint(0, 9)) for i in range(2000)]
+def test_state_reads_twice_without_windows(spark, log):
+    plan = study.item_state(attempts(spark, log))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 2
+
+
+def numbers(seed=3):
+    """One key holds half of all rows; many rows share their moment, some keys are null."""
+    rng = random.Random(seed)
+    return [("big" if rng.random() < 0.5 else rng.choice(["x", "y", None]), rng.randint(0, 30), i, rng.randint(0, 9))
+            for i in range(2000)]
+
+
+@pytest.mark.parametrize("parts", [1, 2, 16])
+def test_running_sum_position_and_previous(spark, in_range_parts, parts):
+    rows = numbers()
     df = spark.createDataFrame(rows, "k string, o bigint, i bigint, v bigint")
-    got = {r.i: r.s for r in running_sum(df, ["k"], ["o", "i"], F.col("v"), "s", min_rows).collect()}
-    places = {r.i: r.pos for r in position(df, ["k"], ["o", "i"], "pos", min_rows).collect()}
+    got = {r.i: r.s for r in running_sum(df, ["k"], ["o", "i"], F.col("v"), "s").collect()}
+    places = {r.i: r.pos for r in position(df, ["k"], ["o", "i"], "pos").collect()}
+    earlier = {r.i: r.b for r in with_previous(df, ["k"], ["o", "i"], F.col("v"), "b").collect()}
+    assert len(got) == len(places) == len(earlier) == len(rows)
     for key in {r[0] for r in rows}:
-        total = 0
-        for n, (_, _, i, v) in enumerate(sorted((r for r in rows if r[0] == key),
-                                                key=lambda r: (r[1], r[2])), 1):
+        total, last = 0, None
+        for n, (_, _, i, v) in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2])), 1):
             total += v
-            assert got[i] == total and places[i] == n
+            assert (got[i], places[i], earlier[i]) == (total, n, last)
+            last = v
+
+
+@pytest.mark.parametrize("parts", [16])
+def test_a_large_key_lies_over_many_parts(spark, in_range_parts, parts):
+    df = spark.createDataFrame(numbers(), "k string, o bigint, i bigint, v bigint")
+    sizes = {(r.k, r[PART]): r["count"] for r in in_parts(df, ["k"], ["o", "i"]).groupBy("k", PART).count().collect()}
+    assert max(sizes.values()) < 300 and len([k for k in sizes if k[0] == "big"]) > 6
 
 
 def test_mastery_needs_confidence_on_a_later_hit(spark):
@@ -225,7 +246,7 @@ def test_digest_splits_long_blindspot_lists(spark, monkeypatch):
     b = bank(spark)
     items = study.with_meta(study.item_state(attempts(spark, rows)), b)
     now = F.lit(T0).cast("timestamp_ntz")
-    parts = reports.mastery_digest(b, items, now, "s", min_rows=2).orderBy("part").collect()
+    parts = reports.mastery_digest(b, items, now, "s").orderBy("part").collect()
     assert [r.part for r in parts] == [0, 1, 2]
     assert sum(r.digest.count('"topic"') for r in parts) == 8
 

@@ -103,12 +103,6 @@ def heading_level(template: str) -> int:
     return len(template) - len(template.lstrip("#"))
 
 
-def order_prefix(text: Column) -> Column:
-    """First seven bytes as a number: never decreasing in byte order of the text."""
-    head = F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("bigint")
-
-
 def cut_bytes_at(text: Column, limit: Column) -> Column:
     """At most ``limit`` bytes without splitting a character.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tutelage.functions import text as X
-from tutelage.operators.skew import MIN_ROWS, position, running_sum
+from tutelage.operators.ordered import position, running_sum
 
 # Fixed values.
 CORPUS_BYTES = 220_000
@@ -63,14 +63,13 @@ def guide_sections(lessons: DataFrame, sections: DataFrame, figures: DataFrame)
     return body.unionByName(head).unionByName(lines)
 
 
-def split_passes(units: DataFrame, lessons: DataFrame, unit: Sequence[str],
-                 min_rows: int = MIN_ROWS) -> DataFrame:
+def split_passes(units: DataFrame, lessons: DataFrame, unit: Sequence[str]) -> DataFrame:
     """Lessons of each unit cut into one, two or three runs of near-equal length.
 
     ``units`` gives the minutes; the first runs get the extra lessons.
     """
     unit = list(unit)
-    placed = position(lessons, unit, ["lesson_index"], "pos", min_rows)
+    placed = position(lessons, unit, ["lesson_index"], "pos")
     sizes = lessons.groupBy(*unit).agg(F.count(F.lit(1)).alias("size"))
     passes = (F.when(F.col("minutes") <= PASS_MINUTES[0], 1)
               .when(F.col("minutes") <= PASS_MINUTES[1], 2).otherwise(3))
@@ -98,15 +97,14 @@ def corpus_text(lessons: DataFrame) -> DataFrame:
         steps, F.lit("\n")).alias("text"))
 
 
-def corpus_budget(lessons: DataFrame, budget: int = CORPUS_BYTES, min_rows: int = MIN_ROWS
-                  ) -> DataFrame:
+def corpus_budget(lessons: DataFrame, budget: int = CORPUS_BYTES) -> DataFrame:
     """Lessons in order until the byte budget is crossed, the crossing one cut.
 
     Lengths are summed without the texts; only kept lessons' texts are joined back.
     """
     texts = corpus_text(lessons)
     sized = texts.select("module", "lesson_index", F.octet_length("text").cast("bigint").alias("n"))
-    total = running_sum(sized, ["module"], ["lesson_index"], F.col("n"), "upto", min_rows)
+    total = running_sum(sized, ["module"], ["lesson_index"], F.col("n"), "upto")
     kept = total.withColumn("before", F.col("upto") - F.col("n")).where(F.col("before") <= budget)
     room = (F.lit(budget) - F.col("before")).cast("int")
     return kept.join(texts, ["module", "lesson_index"]).select(

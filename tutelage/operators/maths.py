@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tutelage.functions import numbers as N
 from tutelage.functions import text as X
 from tutelage.functions.formulas import evaluate, symbols
-from tutelage.operators.skew import MIN_ROWS, running_sum
+from tutelage.operators.ordered import running_sum
 from tutelage.session import stored
 
 # Fixed values.
@@ -110,7 +110,7 @@ def generate_problems(samples: DataFrame) -> DataFrame:
         "answer_text", answer).withColumn("steps", steps).drop("p", "error")
 
 
-def practice_set(equations: DataFrame, seed: int = 1, min_rows: int = MIN_ROWS) -> DataFrame:
+def practice_set(equations: DataFrame, seed: int = 1) -> DataFrame:
     """A numbered practice set per module: worked examples, practice P1.., and one
     multi-part problem C.. per topic of two or more equations.
 
@@ -140,9 +140,9 @@ def practice_set(equations: DataFrame, seed: int = 1, min_rows: int = MIN_ROWS)
     later = F.when(F.col("kind") == 2, 1).otherwise(0)
     numbered = running_sum(
         rows, ["module"],
-        [X.order_prefix(F.col("topic")), "topic", later, F.when(later == 1, F.col("slot")),
+        ["topic", later, F.when(later == 1, F.col("slot")),
          F.when(later == 1, F.col("part")), "name", "id", "kind", "slot"],
-        counted.cast("bigint"), "number", min_rows)
+        counted.cast("bigint"), "number")
     label = (
         F.when(F.col("kind") == 1, F.concat(F.lit("P"), F.col("number").cast("string")))
         .when(F.col("kind") == 2, F.concat(

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tutelage.functions import scoring as S
-from tutelage.functions.text import order_prefix
-from tutelage.operators.skew import position
+from tutelage.operators.ordered import position
 from tutelage.operators.study import calibrate, in_flow, in_module, risk_score
 from tutelage.session import stored
 
@@ -88,7 +87,7 @@ def _ranked(bank: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = questions.groupBy("unit_key").agg(F.count(F.lit(1)).alias("size"))
     units = stored(position(
         sizes.withColumn("_all", F.lit(0)), ["_all"],
-        [order_prefix(F.col("unit_key")), F.col("unit_key")], "u_rank").drop("_all"), "units")
+        ["unit_key"], "u_rank").drop("_all"), "units")
     return questions, units
 
 
@@ -145,7 +144,7 @@ def unseen_questions(bank: DataFrame, state: DataFrame) -> DataFrame:
     in the result are ever generated.
     """
     numbered = stored(position(
-        answered(bank), ["course"], [order_prefix(F.col("id")), F.col("id")], "pos"), "numbered")
+        answered(bank), ["course"], ["id"], "pos"), "numbered")
     sizes = numbered.groupBy("course").agg(F.count(F.lit(1)).alias("size"))
     seen = state.select("learner_id", "topic").join(
         numbered.select(F.col("id").alias("topic"), "course", "pos"), "topic")

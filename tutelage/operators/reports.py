@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tutelage.functions import scoring as S
 from tutelage.operators.policy import counts, gaps
-from tutelage.operators.skew import MIN_ROWS, position
+from tutelage.operators.ordered import position
 from tutelage.operators.study import in_flow, in_module, risk_score
 from tutelage.session import stored
 
@@ -78,12 +78,12 @@ def coverage(bank: DataFrame, state: DataFrame, module: str | None = None) -> Da
         "mastered_pct", percent(F.col("mastered"), F.col("questions")))
 
 
-def _blindspots(items: DataFrame, bank: DataFrame, min_rows: int) -> DataFrame:
+def _blindspots(items: DataFrame, bank: DataFrame) -> DataFrame:
     """Outstanding blindspots in risk order with the prompt a person recognises."""
     spots = risk_score(items).where(
         ~F.col("mastered") & (F.col("calibration") == "blindspot")
     ).select("learner_id", "topic", "note", (-F.col("risk")).alias("calm"))
-    ranked = stored(position(spots, ["learner_id"], ["calm", "topic"], "rank", min_rows), "spots")
+    ranked = stored(position(spots, ["learner_id"], ["calm", "topic"], "rank"), "spots")
     label = bank.select(F.col("id").alias("topic"), "prompt")
     return ranked.join(label, "topic", "left").select(
         "learner_id", "rank", F.coalesce("prompt", "topic").alias("topic"),
@@ -123,15 +123,14 @@ def _weak_units(bank: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def mastery_digest(bank: DataFrame, items: DataFrame, now: Column, slug: str,
-                   min_rows: int = MIN_ROWS) -> DataFrame:
+def mastery_digest(bank: DataFrame, items: DataFrame, now: Column, slug: str) -> DataFrame:
     """The mastery document per learner as JSON.
 
     Part 0 carries everything; a learner with more than 1000 blindspots gets the
     rest, in order, in parts 1, 2, ... so no array grows without bound.
     """
     spots = (
-        _blindspots(items, bank, min_rows)
+        _blindspots(items, bank)
         .withColumn("part", F.floor((F.col("rank") - 1) / BLINDSPOTS_PER_PART).cast("int"))
         .groupBy("learner_id", "part").agg(F.transform(
             F.array_sort(F.collect_list(F.struct("rank", "topic", "note"))),
@@ -161,11 +160,10 @@ def _short(text: Column, n: int) -> Column:
                   ).otherwise(text)
 
 
-def mastery_summary(bank: DataFrame, items: DataFrame, now: Column,
-                    min_rows: int = MIN_ROWS) -> DataFrame:
+def mastery_summary(bank: DataFrame, items: DataFrame, now: Column) -> DataFrame:
     """The digest as at most three lines of text per learner."""
     spots = (
-        _blindspots(items, bank, min_rows).groupBy("learner_id").agg(
+        _blindspots(items, bank).groupBy("learner_id").agg(
             F.count(F.lit(1)).alias("n_spots"),
             *[F.max(F.when(F.col("rank") == i + 1, _short(F.col("topic"), 60))).alias(f"s{i}")
               for i in range(BLINDSPOTS_SHOWN)])

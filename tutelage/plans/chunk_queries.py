@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tutelage.operators import aids as A
 from tutelage.operators import chunks as C
-from tutelage.operators.skew import position
+from tutelage.operators.ordered import position
 from tutelage.plans import fixtures as fx
 from tutelage.session import stored
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tutelage.functions import scoring as S
 from tutelage.operators.chunks import chunk_lessons, parse_enrichment
-from tutelage.operators.skew import position
+from tutelage.operators.ordered import position
 from tutelage.session import stored
 
 # "Now" for every schedule question; fixed so results are repeatable.

@@ -21,17 +21,21 @@ def on_events(body: str, **extra: str) -> str:
 
 ORACLES = {
     "stream_item_state": on_events(f"SELECT {STATE_COLS} FROM state"),
+    # counters as of each attempt: running sums of what it changes about its item
     "stream_digest": on_events("""
-      SELECT c.learner_id, c.tracked, c.mastered, c.due, c.blindspots, n.n
-      FROM (SELECT learner_id, count(*) AS tracked, count(*) FILTER (WHERE mastered) AS mastered,
-              count(*) FILTER (WHERE NOT mastered
-                AND due <= TIMESTAMP '2024-01-30 12:00:00') AS due,
-              count(*) FILTER (WHERE NOT mastered AND calibration = 'blindspot') AS blindspots
-            FROM state GROUP BY learner_id) c
-      JOIN (SELECT learner_id, total // 5 * 5 AS n FROM totals WHERE total >= 5
-            UNION ALL SELECT learner_id, total FROM totals WHERE total % 5 <> 0) n
-        USING (learner_id)""",
-                               totals="SELECT learner_id, count(*) AS total FROM attempts GROUP BY 1"),
+      SELECT learner_id, n, tracked, mastered, due, blindspots FROM (
+        SELECT learner_id, row_number() OVER w AS n, count(*) OVER (PARTITION BY learner_id) AS total,
+               sum(CASE WHEN prior IS NULL THEN 1 ELSE 0 END) OVER w AS tracked,
+               sum(m - coalesce(prior.m, 0)) OVER w AS mastered, sum(d - coalesce(prior.d, 0)) OVER w AS due,
+               sum(b - coalesce(prior.b, 0)) OVER w AS blindspots
+        FROM changes WINDOW w AS (PARTITION BY learner_id ORDER BY ts, seq, topic ROWS UNBOUNDED PRECEDING))
+      WHERE n % 5 = 0 OR n = total""", flags="""
+        SELECT learner_id, topic, ts, seq, CAST(mastered AS INT) AS m,
+               CAST(NOT mastered AND due <= TIMESTAMP '2024-01-30 12:00:00' AS INT) AS d,
+               CAST(NOT mastered AND calibration = 'blindspot' AS INT) AS b FROM dues""",
+                               changes="""
+        SELECT *, lag({'m': m, 'd': d, 'b': b}) OVER (PARTITION BY learner_id, topic ORDER BY ts, seq) AS prior
+        FROM flags"""),
     "stream_resume": q("""
       SELECT id, sha256(text) AS text_hash, length(text) AS chars, 'ok' AS status FROM chunks
       UNION ALL

@@ -6,31 +6,36 @@ from pyspark.sql import functions as F
 
 from tutelage.operators import grading
 from tutelage.plans import fixtures as fx
-from tutelage.session import SETTINGS, shared_dir
+from tutelage.session import shared_dir
 from tutelage.sources.attempts import BATCH_BYTES
 from tutelage.streaming import jobs
 from tutelage.streaming.state import current_state
 
-STORE = "spark.sql.streaming.stateStore.providerClass"
-
-
-def _events(s, d):
-    schema = fx.table(s, d, "events").schema
-    stream = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option(
-        "maxBytesPerTrigger", BATCH_BYTES).parquet(d)
-    return fx.event_attempts(stream)
+def _delivered(s, d, root, parts, job):
+    """``events`` as attempts, delivered in ``parts``: each is written as it comes and drained by ``job``."""
+    events = fx.table(s, d, "events")
+    stream = fx.event_attempts(s.readStream.schema(events.schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(f"{root}/in/*"))
+    for number, part in enumerate(parts):
+        events.where(part).write.parquet(f"{root}/in/{number}")
+        job(stream)
 
 
 def _state(s, d):
-    s.conf.set(STORE, SETTINGS[STORE])
-    out = shared_dir(s, "stream-state")
-    jobs.run_item_state(_events(s, d), f"{out}/state", f"{out}/checkpoint")
-    return current_state(s.read.parquet(f"{out}/state"))
+    """Four deliveries without any order of time, so most attempts come late; some come twice."""
+    root = shared_dir(s, "stream-state")
+    drawn = F.pmod(F.xxhash64("event_id"), F.lit(4))
+    parts = [(drawn == i) | ((drawn == i - 1) & (F.col("event_id") % 5 == 0)) for i in range(4)]
+    _delivered(s, d, root, parts, lambda stream: jobs.run_item_state(stream, root))
+    return current_state(s, root)
 
 
 def _digest(s, d):
+    """Four deliveries in order of time."""
     root = shared_dir(s, "stream-digest")
-    jobs.run_digests(_events(s, d), root, F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"))
+    week = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3))
+    parts = [week == i for i in range(4)]
+    _delivered(s, d, root, parts, lambda stream: jobs.run_digests(
+        stream, root, F.lit("2024-01-30 12:00:00").cast("timestamp_ntz")))
     return s.read.parquet(f"{root}/digests").drop("batch")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from tutelage import schemas
 from tutelage.functions import text as X
-from tutelage.operators.skew import MIN_ROWS, position
+from tutelage.operators.ordered import position
 
 # Fixed value: image types the vision stage accepts.
 IMAGE_TYPES = ["png", "jpg", "jpeg", "gif", "webp", "bmp", "svg"]
@@ -87,7 +87,7 @@ def load_cards(spark: SparkSession, path: str, deck_per_line: bool = False) -> D
     return first.select("id", "c.*", "file")
 
 
-def load_golden(spark: SparkSession, path: str, min_rows: int = MIN_ROWS) -> DataFrame:
+def load_golden(spark: SparkSession, path: str) -> DataFrame:
     """Golden grades with a reject reason and the line number in their file.
 
     Blank lines are skipped but count as lines.
@@ -96,7 +96,7 @@ def load_golden(spark: SparkSession, path: str, min_rows: int = MIN_ROWS) -> Dat
         "value", F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("n"))
-    numbered = position(lines, ["file"], ["block", "n"], "line_no", min_rows)
+    numbered = position(lines, ["file"], ["block", "n"], "line_no")
     rows = (
         numbered.where(F.col("value").rlike(r"\S"))
         .withColumn("v", F.try_parse_json("value"))

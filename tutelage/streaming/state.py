@@ -1,109 +1,53 @@
-"""Item state kept up to date by a stream of attempts."""
+"""Item state kept up to date by a stream of attempts, late and repeated ones included.
 
-from __future__ import annotations
+An item's past is cut into slots of time, each kept as the associative summary of
+``study.summaries``.  A batch recomputes the summaries of the slots it touches from the log, which
+is laid out by slot, so an attempt that comes late is simply put in its place; the summaries of an
+item are merged when its state is asked for.
+"""
 
-import sys
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from tutelage.functions.scoring import (
-    CORRECT_FROM,
-    LAPSE_BELOW,
-    STREAK_TO_MASTER,
-    SURE_FROM,
-    add_minutes,
-    due_minutes,
-)
-from tutelage.operators.study import KEY
-
-# The streaming runner starts Python without the files sent to the executors, so the
-# processor travels whole instead of by its module name.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Times travel as microseconds, so no session or machine time zone touches them.
-_INT, _LONG = T.IntegerType(), T.LongType()
-STATE = T.StructType([
-    T.StructField("attempts", _INT), T.StructField("reps", _INT), T.StructField("streak", _INT),
-    T.StructField("lapses", _INT), T.StructField("mastered", T.BooleanType()),
-    T.StructField("created_us", _LONG), T.StructField("last_us", _LONG),
-    T.StructField("last_seq", _LONG), T.StructField("last_quality", _INT),
-    T.StructField("last_confidence", _INT), T.StructField("note", T.StringType())])
-OUTPUT = T.StructType([
-    T.StructField("learner_id", _LONG), T.StructField("topic", T.StringType()),
-    *STATE.fields, T.StructField("late", T.BooleanType())])
-EMPTY = (0, 0, 0, 0, False, None, None, None, None, None, None)
+from tutelage.operators.study import ATTEMPT, KEY, merged, slot, summaries
+from tutelage.session import discard, stored
+from tutelage.sources.keyed import KeyedTable
 
+#: What makes two log rows the same attempt.
+ATTEMPT_ID = [*KEY, "ts", "seq"]
 
-class ItemFold(StatefulProcessor):
-    """Applies a micro-batch of one item's attempts in time order.
-
-    An attempt at or before the last applied one cannot be folded in any more; it
-    is passed on marked late, and the batch job over the log repairs that item.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("item", STATE)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        waiting = sorted(
-            (r for part in rows for r in zip(
-                part["us"].tolist(), part["seq"].tolist(), part["quality"].tolist(),
-                part["confidence"].tolist(), part["note"].tolist())),
-            key=lambda r: r[:2])
-        state = tuple(self._state.get()) if self._state.exists() else EMPTY
-        before, out = state, []
-        for row in waiting:
-            if state[6] is not None and row[:2] <= state[6:8]:
-                out.append((*key, 0, 0, 0, 0, False, row[0], *row, True))
-            else:
-                state = self._apply(state, *row)
-        if state is not before:
-            self._state.update(state)
-            out.append((*key, *state, False))
-        yield pd.DataFrame(out, columns=OUTPUT.names)
+def slots_of(spark: SparkSession, root: str) -> KeyedTable:
+    return KeyedTable(spark, f"{root}/slots", KEY)
 
-    @staticmethod
-    def _apply(state, us, seq, quality, confidence, note):
-        attempts, reps, streak, lapses, mastered, created = state[:6]
-        hit = quality >= CORRECT_FROM
-        streak = streak + 1 if hit else 0
-        earned = confidence >= SURE_FROM and streak >= STREAK_TO_MASTER
-        return (attempts + 1, reps + hit, streak, lapses + (quality < LAPSE_BELOW),
-                hit and (mastered or earned), us if created is None else created,
-                us, seq, quality, confidence, note)
 
-    def close(self) -> None:
-        pass
+def take_in(batch: DataFrame, number: int, root: str) -> None:
+    """Put a micro-batch of attempts into the log and its items' summaries under ``root``.
 
-
-def _time(us: str) -> Column:
-    return F.timestamp_micros(us).cast("timestamp_ntz")
-
-
-def stream_item_state(attempts: DataFrame) -> DataFrame:
-    """Streaming state rows: one per touched item and micro-batch, plus late rows."""
-    typed = attempts.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    folded = typed.select(*KEY, "us", "seq", "quality", "confidence", "note").groupBy(
-        *KEY).transformWithStateInPandas(
-        statefulProcessor=ItemFold(), outputStructType=OUTPUT, outputMode="Append",
-        timeMode="None")
-    wait = due_minutes(F.col("mastered"), F.col("streak"), F.col("last_quality"),
-                         F.col("last_confidence"))
-    return folded.select(
-        *KEY, "attempts", "reps", "streak", "lapses", "mastered",
-        F.when(~F.col("late"), add_minutes(_time("last_us"), wait)).alias("due"),
-        _time("created_us").alias("created"), _time("last_us").alias("last_reviewed"),
-        "last_quality", "last_confidence", "note", "late")
-
-
-def current_state(emitted: DataFrame) -> DataFrame:
-    """Latest state per item from everything the stream has written."""
-    rest = [c for c in emitted.columns if c not in (*KEY, "late")]
-    return emitted.where(~F.col("late")).groupBy(*KEY).agg(
-        F.max_by(F.struct(*rest), "attempts").alias("s")).select(*KEY, "s.*")
+    Reads of the log are those slots that the batch has attempts in.  The batch's own folder is
+    replaced as a whole, so taking it in again after a failure changes nothing.
+    """
+    spark = batch.sparkSession
+    log = f"{root}/log"
+    batch.select(*ATTEMPT, slot(F.col("ts")).alias("slot")).repartition("slot").write.mode("overwrite").partitionBy(
+        "slot").parquet(f"{log}/batch={number}")
+    fresh = spark.read.option("basePath", log).parquet(f"{log}/batch={number}")
+    if fresh.isEmpty():
+        return
+    # as many numbers as there are slots in the calendar
+    slots = [r.slot for r in fresh.select("slot").distinct().collect()]
+    rows = (
+        spark.read.parquet(log).where((F.col("batch") <= number) & F.col("slot").isin(slots))
+        .join(fresh.select(*KEY, "slot").distinct(), [*KEY, "slot"], "left_semi").dropDuplicates(ATTEMPT_ID)
+    )
+    fresh_slots = stored(summaries(rows), "slots")
+    slots_of(spark, root).upsert(fresh_slots, number, [*KEY, "slot"])
+    discard(fresh_slots)
+
+
+def current_state(spark: SparkSession, root: str) -> DataFrame | None:
+    """State per item from all batches so far: the rows of ``study.item_state`` over the log's attempts."""
+    slots = slots_of(spark, root).read()
+    return None if slots is None else merged(slots)
