@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tutelage.operators import flows, grading, lint
+from tutelage.operators import wording, flows, grading, lint
 from tutelage.sources import files, sinks
 
 
@@ -116,14 +116,20 @@ def tree(spark, names):
 
 @pytest.mark.parametrize("parts", [1, 5])
 def test_lesson_order(spark, in_range_parts, parts):
-    def message(*names):
+    def finding(*names):
         rows = lint.lesson_order(tree(spark, names)).collect()
-        return rows[0].message if rows else None
+        return (rows[0].code, rows[0].detail) if rows else None
 
-    assert message("Lesson_1", "Lesson_2", "Lesson_10").startswith(
-        "lesson order is lexical, so Lesson_10 builds before Lesson_2")
-    assert message("Lesson_01", "Lesson_02", "Lesson_10") is None
-    assert message("Lesson_1_a", "Lesson_1_b", "Lesson_2").startswith("1 lesson number(s) repeat")
+    assert finding("Lesson_1", "Lesson_2", "Lesson_10") == ("order_lexical", "Lesson_10|Lesson_2")
+    assert finding("Lesson_01", "Lesson_02", "Lesson_10") is None
+    assert finding("Lesson_1_a", "Lesson_1_b", "Lesson_2") == ("numbers_repeat", "1")
+
+
+def test_findings_have_a_sentence(spark):
+    rows = spark.createDataFrame([(c, "a$1|b|c") for c in wording.SENTENCES], "code string, detail string")
+    got = {r.code: r.message for r in wording.worded(rows).collect()}
+    assert got["order_lexical"].startswith("By name, a$1 is put ahead of b,")
+    assert not [m for m in got.values() if not m or "{" in m]
 
 
 def test_course_verdict_strict(spark):

@@ -1,8 +1,8 @@
 """Formula reading, catalog checks and generated problems."""
 
 import math
+import random
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,36 +12,55 @@ from tutelage.functions import numbers as N
 from tutelage.operators import maths as M
 
 
-def value(formula, **env):
-    tree = fm.read(formula)
-    assert tree is not None, formula
-    got, err = fm.compute(tree, {k: np.array([float(v)]) for k, v in env.items()}, 1)
-    return err[0] or got[0]
+def values(spark, cases):
+    """Value or error of each (formula, variables)."""
+    rows = [(i, f, list(env), [float(v) for v in env.values()]) for i, (f, env) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "i int, expr string, names array<string>, values array<double>")
+    return [r.error or r.value for r in M.eval_formulas(df).orderBy("i").collect()]
 
 
-@pytest.mark.parametrize("formula,want", [
-    ("-2^2", -4), ("(-2)^2", 4), ("2^3^2", 512), ("2^-1", 0.5), ("1+2*3", 7), ("007 + .5", 7.5),
-    ("log(1000)", 3), ("ln(e)", 1), ("round(2.5)", 3), ("round(-2.5)", -3), ("min(2, 1)", 1),
-    ("2.5e-1 * 4", 1), ("pi", math.pi), ("8/2/2", 2), ("--3", 3)])
-def test_arithmetic(formula, want):
-    assert value(formula) == pytest.approx(want)
+def test_arithmetic(spark):
+    cases = {"-2^2": -4, "(-2)^2": 4, "2^3^2": 512, "2^-1": 0.5, "1+2*3": 7, "007 + .5": 7.5, "log(1000)": 3, "ln(e)": 1,
+             "round(2.5)": 3, "round(-2.5)": -3, "min(2, 1)": 1, "2.5e-1 * 4": 1, "pi": math.pi, "8/2/2": 2, "--3": 3,
+             "floor(-1.5) + ceil(1.2)": 0, "max(2, 3) - abs(-4)": -1, "floor(2^60)": 2.0**60, "10 - 4 - 3": 3, "pow(2, 10)": 1024,
+             "sqrt(16) * exp(0) / cos(0)": 4, "log2(8) + log10(100) + sin(0) + tan(0)": 5}
+    assert values(spark, [(f, {}) for f in cases]) == pytest.approx(list(cases.values()))
 
 
 @pytest.mark.parametrize("formula", ["", "1 +", "2x", "a b", "a ** b", "a // b", "x = 1", "a.b",
                                      "[1]", "'s'", "f(a,)", "1_0", "2j", "a if b else c",
-                                     "lambda: 0", "(1"])
+                                     "lambda: 0", "(1", "(" * 5000 + "1" + ")" * 5000])
 def test_not_arithmetic(formula):
-    assert fm.read(formula) is None
-
-
-def test_errors_and_reserved_words():
-    assert value("1 / (x - x)", x=1) == "division by zero"
-    assert value("sqrt(0 - 1)") == "not finite"
-    assert value("y + 1", x=1) == 'undefined variable "y"'
-    assert value("nope(1)") == 'unknown function "nope"'
-    assert value("min(1)") == 'function "min" takes 2 argument(s)'
-    assert value("lambda + in", **{"lambda": 1, "in": 2}) == 3
-    assert fm.names_in(fm.read("b * a + sqrt(b) - e")) == ["b", "a"]
+    assert fm.read(formula) == (False, [], [])
+
+
+def test_errors_and_reserved_words(spark):
+    cases = {
+        "1 / (x - x)": "division by zero", "sqrt(0 - 1)": "not finite", "y + 1": 'undefined variable "y"', "nope(1)": 'unknown function "nope"',
+        "min(1)": 'function "min" takes 2 argument(s)', "nope(y)": 'unknown function "nope"', "y + nope(1)": 'undefined variable "y"',
+        "ln(0)": "not finite", "max(sqrt(0 - 1), 1)": "not finite", "floor(sqrt(0 - 1))": "not finite", "10^400": "not finite",
+        "1/0 + y": 'undefined variable "y"', "2 x": "does not parse", "": "does not parse"}
+    assert values(spark, [(f, {"x": 1}) for f in cases]) == list(cases.values())
+    assert values(spark, [("lambda + in", {"lambda": 1, "in": 2}), ("x * y", {"x": 2, "y": 4}), ("x * y", {"y": 3, "x": 5})]) == [3, 8, 15]
+    assert fm.read("b * a + sqrt(b) - e")[1] == ["b", "a"]
+
+
+def test_formulas_equal_plain_evaluation(spark):
+    """Random expressions, against Python's own arithmetic."""
+    rng = random.Random(4)
+
+    def grow(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return rng.choice(["x", "y", "2", "0.5", "3"])
+        kind = rng.random()
+        if kind < 0.15:
+            return f"-({grow(depth - 1)})"
+        if kind < 0.3:
+            return f"{rng.choice(['min', 'max'])}({grow(depth - 1)}, {grow(depth - 1)})"
+        return f"({grow(depth - 1)} {rng.choice('+-*')} {grow(depth - 1)})"
+
+    cases = [(grow(4), {"x": rng.randint(-4, 4), "y": rng.randint(-4, 4)}) for _ in range(200)]
+    assert values(spark, cases) == pytest.approx([float(eval(f, {"min": min, "max": max}, env)) for f, env in cases])
 
 
 def test_number_texts(spark):

@@ -1,157 +1,147 @@
-"""Formula text evaluated over batches of rows.
+"""Formula text as postfix tokens, and their value by a fold in the JVM.
 
-Formulas are data: they arrive as a column, so no fixed set of column expressions
-can cover them.  Each Arrow batch is split by formula, every formula is read once
-with Python's own grammar (``^`` as ``**``, same precedence), checked against a
-whitelist, and computed on whole numpy columns.
+Formulas are data: they arrive as a column, so no fixed set of column expressions can cover them.
+Every distinct formula is read once, with Python's own grammar (``^`` as ``**``, same precedence)
+behind a whitelist, into an array of tokens.  All rows are then computed by one column expression,
+a fold of the tokens over a stack.
 """
 
 from __future__ import annotations
 
 import ast
+import math
 import re
-from functools import lru_cache
 
-import numpy as np
-import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-RESULT = T.StructType([T.StructField("value", T.DoubleType()),
-                       T.StructField("error", T.StringType())])
-SYMBOLS = T.StructType([T.StructField("parses", T.BooleanType()),
-                        T.StructField("names", T.ArrayType(T.StringType()))])
-
-CONSTANTS = {"pi": np.pi, "e": np.e}
-
-
-def _half_away(x):
-    return np.sign(x) * np.floor(np.abs(x) + 0.5)
 
+from tutelage.session import stored
 
+CONSTANTS = {"pi": math.pi, "e": math.e}
 # Callable names with their argument counts.
-FUNCTIONS = {
-    "sqrt": (1, np.sqrt), "abs": (1, np.abs), "exp": (1, np.exp), "ln": (1, np.log),
-    "log": (1, np.log10), "log2": (1, np.log2), "log10": (1, np.log10), "sin": (1, np.sin),
-    "cos": (1, np.cos), "tan": (1, np.tan), "floor": (1, np.floor), "ceil": (1, np.ceil),
-    "round": (1, _half_away), "pow": (2, np.power), "min": (2, np.minimum),
-    "max": (2, np.maximum),
-}
-BINARY = {ast.Add: np.add, ast.Sub: np.subtract, ast.Mult: np.multiply, ast.Pow: np.power}
+ARITY = {**dict.fromkeys(("sqrt", "abs", "exp", "ln", "log", "log2", "log10", "sin", "cos", "tan", "floor", "ceil", "round"), 1),
+         **dict.fromkeys(("pow", "min", "max"), 2)}
+BINARY = {ast.Add: "+", ast.Sub: "-", ast.Mult: "*", ast.Div: "/", ast.Pow: "pow"}
 
 _PLAIN = re.compile(r"[\w\s+\-*/^().,]*\Z", re.ASCII)
 _FOREIGN = re.compile(r"\*\s*\*|/\s*/|,\s*\)|\d_|(?<![\w.])_\d", re.ASCII)
 _NAME = re.compile(r"(?<![\w.])([A-Za-z_]\w*)", re.ASCII)
 
+#: op, how many values it takes off the stack, the number of a ``number``, the text of a ``name`` or ``fail``.
+TOKENS = "array<struct<op:string,pops:int,number:double,text:string>>"
+READ = f"struct<parses:boolean,names:array<string>,tokens:{TOKENS}>"
+
 
-@lru_cache(maxsize=4096)
-def read(formula: str):
-    """Expression tree of a formula, or None when it is not plain arithmetic.
+def read(formula: str) -> tuple[bool, list[str], list[tuple]]:
+    """(parses, variables in the order they appear, tokens) of a formula.
 
     Names get a prefix first, so that words Python reserves stay usable.
     """
+    nothing = (False, [], [])
     if not _PLAIN.match(formula) or _FOREIGN.search(formula):
-        return None
+        return nothing
     text = re.sub(r"(?<![\w.])0+(?=\d)", "", formula, flags=re.ASCII)
     text = _NAME.sub(r"n_\1", text).replace("^", "**")
+    tokens: list[tuple] = []
     try:
         tree = ast.parse(" ".join(text.split()), mode="eval").body
-    except (SyntaxError, ValueError):
-        return None
-    return tree if _allowed(tree) else None
-
-
-def _allowed(node) -> bool:
-    if isinstance(node, ast.BinOp):
-        return type(node.op) in (*BINARY, ast.Div) and _allowed(node.left) and _allowed(node.right)
-    if isinstance(node, ast.UnaryOp):
-        return isinstance(node.op, (ast.UAdd, ast.USub)) and _allowed(node.operand)
-    if isinstance(node, ast.Call):
-        return isinstance(node.func, ast.Name) and not node.keywords and all(
-            _allowed(a) for a in node.args)
-    if isinstance(node, ast.Constant):
-        return type(node.value) in (int, float)
-    return isinstance(node, ast.Name)
-
-
-def names_in(tree) -> list[str]:
-    """Variables in the order they appear; constants and function names left out."""
+        if not _postfix(tree, tokens):
+            return nothing
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return nothing
     called = {id(n.func) for n in ast.walk(tree) if isinstance(n, ast.Call)}
-    found = sorted(
-        (n for n in ast.walk(tree) if isinstance(n, ast.Name) and id(n) not in called),
-        key=lambda n: n.col_offset)
-    return [n for n in dict.fromkeys(n.id[2:] for n in found) if n not in CONSTANTS]
-
-
-class _Stop(Exception):
-    pass
-
-
-def compute(tree, env: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Values and error texts (None where fine) for ``n`` rows."""
-    by_zero = np.zeros(n, dtype=bool)
-
-    def go(node):
-        if isinstance(node, ast.Constant):
-            return float(node.value)
-        if isinstance(node, ast.Name):
-            name = node.id[2:]
-            if name in CONSTANTS:
-                return CONSTANTS[name]
-            if name not in env:
-                raise _Stop(f'undefined variable "{name}"')
-            return env[name]
-        if isinstance(node, ast.UnaryOp):
-            value = go(node.operand)
-            return -value if isinstance(node.op, ast.USub) else value
-        if isinstance(node, ast.BinOp):
-            left, right = go(node.left), go(node.right)
-            if isinstance(node.op, ast.Div):
-                by_zero[:] |= np.broadcast_to(np.equal(right, 0), (n,))
-                return np.divide(left, right)
-            return BINARY[type(node.op)](np.asarray(left, dtype=float), right)
-        name = node.func.id[2:]
-        if name not in FUNCTIONS:
-            raise _Stop(f'unknown function "{name}"')
-        arity, fn = FUNCTIONS[name]
-        if len(node.args) != arity:
-            raise _Stop(f'function "{name}" takes {arity} argument(s)')
-        return fn(*(go(a) for a in node.args))
-
-    errors = np.full(n, None, dtype=object)
-    try:
-        with np.errstate(all="ignore"):
-            values = np.array(np.broadcast_to(go(tree), (n,)), dtype=float)
-    except _Stop as stop:
-        errors[:] = str(stop)
-        return np.full(n, np.nan), errors
-    errors[~np.isfinite(values)] = "not finite"
-    errors[by_zero] = "division by zero"
-    return values, errors
-
-
-@F.pandas_udf(RESULT)
-def evaluate(formula: pd.Series, names: pd.Series, values: pd.Series) -> pd.DataFrame:
-    """Value or error of each row's formula over its own named values."""
-    out = pd.DataFrame({"value": np.nan, "error": None}, index=formula.index, dtype=object)
-    keys = pd.Series(["\0".join([f, *ns]) for f, ns in zip(formula, names)], index=formula.index)
-    for _, rows in keys.groupby(keys, sort=False).groups.items():
-        first = rows[0]
-        tree = read(formula[first])
-        if tree is None:
-            out.loc[rows, "error"] = "does not parse"
-            continue
-        table = np.array([np.asarray(values[i], dtype=float) for i in rows]).reshape(len(rows), -1)
-        env = {name: table[:, j] for j, name in enumerate(names[first])}
-        out.loc[rows, "value"], out.loc[rows, "error"] = compute(tree, env, len(rows))
-    value = out["value"].astype(float)
-    return pd.DataFrame({"value": value.where(out["error"].isna(), None), "error": out["error"]})
-
-
-@F.pandas_udf(SYMBOLS)
-def symbols(formula: pd.Series) -> pd.DataFrame:
-    """Whether a formula reads, and the variables it uses."""
-    trees = [read(f) for f in formula]
-    return pd.DataFrame({
-        "parses": [t is not None for t in trees],
-        "names": [[] if t is None else names_in(t) for t in trees]})
+    found = sorted((n.col_offset, n.id[2:]) for n in ast.walk(tree) if isinstance(n, ast.Name) and id(n) not in called)
+    return True, [n for n in dict.fromkeys(n for _, n in found) if n not in CONSTANTS], tokens
+
+
+def _postfix(node: ast.AST, out: list[tuple]) -> bool:
+    """Append the tokens of an expression; False where it is more than plain arithmetic.
+
+    A call that cannot work fails before its arguments are looked at.
+    """
+    match node:
+        case ast.Constant(value=int() | float() as value) if not isinstance(value, bool):
+            out.append(("number", 0, float(value), None))
+        case ast.Name(id=name):
+            known = CONSTANTS.get(name[2:])
+            out.append(("name", 0, None, name[2:]) if known is None else ("number", 0, known, None))
+        case ast.UnaryOp(op=ast.UAdd() | ast.USub() as op, operand=operand):
+            if not _postfix(operand, out):
+                return False
+            if isinstance(op, ast.USub):
+                out.append(("negative", 1, None, None))
+        case ast.BinOp(left=left, op=op, right=right) if type(op) in BINARY:
+            if not (_postfix(left, out) and _postfix(right, out)):
+                return False
+            out.append((BINARY[type(op)], 2, None, None))
+        case ast.Call(func=ast.Name(id=name), args=args, keywords=[]):
+            name = name[2:]
+            if name not in ARITY:
+                out.append(("fail", 0, None, f'unknown function "{name}"'))
+            elif len(args) != ARITY[name]:
+                out.append(("fail", 0, None, f'function "{name}" takes {ARITY[name]} argument(s)'))
+            if not all([_postfix(a, out) for a in args]):
+                return False
+            out.append((name if len(args) == ARITY.get(name) else "none", len(args), None, None))
+        case _:
+            return False
+    return True
+
+
+def with_tokens(rows: DataFrame, expr: str = "expr") -> DataFrame:
+    """``rows`` with the column ``read`` (parses, names, tokens) of their formula; null reads as ''.
+
+    Distinct formulas are read and written, so Spark knows how few they are before it joins.
+    """
+    text = F.coalesce(expr, F.lit(""))
+    table = stored(rows.select(text.alias("_formula")).distinct().withColumn("read", F.udf(read, READ, useArrow=False)("_formula")), "formulas")
+    return rows.withColumn("_formula", text).join(table, "_formula").drop("_formula")
+
+
+def _applied(op: Column, x: Column, y: Column) -> Column:
+    """Value of an operation; ``x`` is the last operand, ``y`` the one before."""
+    nan = F.lit(float("nan"))
+
+    def whole(value: Column, rounded: Column) -> Column:
+        # from 2**52 on every number is whole already
+        return F.when(F.isnan(value) | (F.abs(value) >= 2.0**52), value).otherwise(rounded.cast("double"))
+
+    either = F.isnan(x) | F.isnan(y)
+    cases = {
+        "+": y + x, "-": y - x, "*": y * x, "/": F.try_divide(y, x), "pow": F.pow(y, x), "negative": -x,
+        "min": F.when(either, nan).otherwise(F.least(y, x)), "max": F.when(either, nan).otherwise(F.greatest(y, x)),
+        "sqrt": F.sqrt(x), "abs": F.abs(x), "exp": F.exp(x), "ln": F.ln(x), "log": F.log10(x), "log2": F.log2(x),
+        "log10": F.log10(x), "sin": F.sin(x), "cos": F.cos(x), "tan": F.tan(x), "floor": whole(x, F.floor(x)),
+        "ceil": whole(x, F.ceil(x)), "round": whole(x, F.signum(x) * F.floor(F.abs(x) + 0.5)),
+    }
+    out = F.lit(None).cast("double")
+    for name, value in cases.items():
+        out = F.when(op == name, value).otherwise(out)
+    return F.coalesce(out, nan)
+
+
+def value_of(tokens: Column, names: Column, values: Column) -> Column:
+    """struct(value, error) of a formula over the row's own named values."""
+    def step(acc: Column, token: Column) -> Column:
+        stack, op = acc["stack"], token["op"]
+        x, y = F.try_element_at(stack, F.lit(-1)), F.try_element_at(stack, F.lit(-2))
+        at = F.array_position(names, token["text"]).cast("int")
+        missing = (op == "name") & (F.coalesce(at, F.lit(0)) == 0)
+        pushed = F.when(op == "number", token["number"]).when(op == "name", F.coalesce(
+            F.get(values, at - 1).cast("double"), F.lit(float("nan")))).otherwise(_applied(op, x, y))
+        return F.struct(
+            F.concat(F.slice(stack, 1, F.size(stack) - token["pops"]), F.array(pushed)).alias("stack"),
+            F.coalesce(acc["error"], F.when(op == "fail", token["text"]).when(
+                missing, F.concat(F.lit('undefined variable "'), token["text"], F.lit('"')))).alias("error"),
+            (acc["by_zero"] | ((op == "/") & F.coalesce(x == 0, F.lit(False)))).alias("by_zero"))
+
+    def settled(acc: Column) -> Column:
+        value = F.get(acc["stack"], F.size(acc["stack"]) - 1)
+        error = F.coalesce(acc["error"], F.when(acc["by_zero"], "division by zero").when(
+            value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), "not finite"))
+        return F.struct(F.when(error.isNull(), value).alias("value"), error.alias("error"))
+
+    empty = F.struct(F.array().cast("array<double>").alias("stack"), F.lit(None).cast("string").alias("error"),
+                     F.lit(False).alias("by_zero"))
+    return F.when(F.size(tokens) > 0, F.aggregate(tokens, empty, step, settled)).otherwise(
+        F.struct(F.lit(None).cast("double").alias("value"), F.lit("does not parse").alias("error")))

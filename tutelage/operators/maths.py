@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tutelage.functions import numbers as N
 from tutelage.functions import text as X
-from tutelage.functions.formulas import evaluate, symbols
+from tutelage.functions.formulas import value_of, with_tokens
 from tutelage.operators.ordered import running_sum
 from tutelage.session import stored
 
@@ -31,7 +31,11 @@ def catalog_order(equations: DataFrame, module: str | None = None) -> DataFrame:
 
 def eval_formulas(rows: DataFrame) -> DataFrame:
     """Value or error of ``expr`` over (``names``, ``values``) of each row."""
-    r = evaluate(F.col("expr"), F.col("names"), F.col("values"))
+    return _evaluated(with_tokens(rows)).drop("read")
+
+
+def _evaluated(rows: DataFrame) -> DataFrame:
+    r = value_of(F.col("read.tokens"), F.col("names"), F.col("values"))
     return rows.withColumn("_r", r).select(
         *rows.columns, F.col("_r.value").alias("value"), F.col("_r.error").alias("error"))
 
@@ -166,14 +170,13 @@ def validate_catalog(equations: DataFrame) -> DataFrame:
     named = F.filter("vars", lambda v: F.coalesce(v["name"], F.lit("")) != "")
     rows = (
         equations.join(first, "id", "left").withColumn("has_expr", has_expr)
-        .withColumn("sym", symbols(F.coalesce("expr", F.lit(""))))
-        .withColumn("named", named)
-        .withColumn("mid", evaluate(
-            F.coalesce("expr", F.lit("")), F.transform(named, lambda v: v["name"]),
+        .transform(with_tokens).withColumn("named", named)
+        .withColumn("mid", value_of(
+            F.col("read.tokens"), F.transform(named, lambda v: v["name"]),
             F.transform(named, lambda v: F.when(_is_constant(v), v.value).otherwise(
                 (v.min + v.max) / 2))))
     )
-    reads = F.col("has_expr") & F.col("sym.parses")
+    reads = F.col("has_expr") & F.col("read.parses")
     declared = F.transform("named", lambda v: v["name"])
 
     def some(when: Column, reason: Column | str) -> Column:
@@ -200,10 +203,10 @@ def validate_catalog(equations: DataFrame) -> DataFrame:
         some((F.col("id") != "") & (F.col("pos") > F.col("first_pos")), "duplicate id"),
         some(F.coalesce("name", F.lit("")) == "", "missing name"),
         some(~F.col("has_expr"), "missing expr"),
-        some(F.col("has_expr") & ~F.col("sym.parses"), "expr does not parse"))
+        some(F.col("has_expr") & ~F.col("read.parses"), "expr does not parse"))
     deep = F.when(reads, F.concat(
         F.flatten(F.transform("vars", per_variable)),
-        missing(F.col("sym.names"), lambda n: quoted("undeclared variable ", n, "")),
+        missing(F.col("read.names"), lambda n: quoted("undeclared variable ", n, "")),
         missing(F.regexp_extract_all(F.coalesce("prompt", F.lit("")), F.lit(PLACEHOLDER),
                                      F.lit(1)), lambda n: quoted("undeclared placeholder ", n, "")),
         F.array(some(F.col("mid.error").isNotNull(), F.concat(
@@ -220,10 +223,10 @@ def _failed_examples(rows: DataFrame) -> DataFrame:
         F.filter("named", _is_constant), lambda v: F.struct(v["name"], v.value)))
     given = F.map_filter(fixed, lambda k, _: ~F.map_contains_key(F.col("x.inputs"), k))
     examples = (
-        rows.select("id", "pos", "expr", fixed.alias("fixed"), "named",
+        rows.select("id", "pos", "read", fixed.alias("fixed"), "named",
                     F.posexplode("examples").alias("i", "x"))
         .withColumn("env", F.map_concat(given, F.col("x.inputs")))
-        .select("id", "pos", "expr", "i", "x", F.map_keys("env").alias("names"),
+        .select("id", "pos", "read", "i", "x", F.map_keys("env").alias("names"),
                 F.map_values("env").alias("values"))
     )
     relative = F.coalesce("x.tol", F.lit(0.0)) == 0
@@ -234,13 +237,13 @@ def _failed_examples(rows: DataFrame) -> DataFrame:
     reason = F.when(F.col("error").isNotNull(), F.concat(label, F.lit(": "), "error")).when(
         F.abs(F.col("value") - F.col("x.expected")) > bound,
         F.concat(label, F.lit(": formula disagrees with the source")))
-    return eval_formulas(examples).select("id", "pos", reason.alias("reason")).where(
+    return _evaluated(examples).select("id", "pos", reason.alias("reason")).where(
         F.col("reason").isNotNull())
 
 
 def filter_catalog(equations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(usable, rejected) equations: one problem anywhere rejects every entry of that id."""
-    bad = validate_catalog(equations).select(F.col("equation_id").alias("id")).distinct()
+    bad = stored(validate_catalog(equations).select(F.col("equation_id").alias("id")).distinct(), "rejected")
     verified = F.coalesce(F.size("examples"), F.lit(0)) > 0
     marked = equations.withColumn("verified", verified)
     return marked.join(bad, "id", "left_anti"), marked.join(bad, "id", "left_semi")

@@ -382,15 +382,15 @@ def equations(spark: SparkSession, sf: str) -> DataFrame:
                 out = F.when(shape == i, value).otherwise(out)
         return out
 
-    acid = [_var("V_NaOH", lo=5, hi=20, step=0.1, decimals=1, unit="mL"),
-            _var("N", "constant", value=0.1, unit="N"),
-            _var("V_sample", lo=10, hi=50, step=5, unit="mL")]
+    lap = [_var("d_lap", lo=200, hi=800, step=12.5, decimals=1, unit="m"),
+            _var("k", "constant", value=0.25),
+            _var("t_lap", lo=30, hi=90, step=2, unit="s")]
     span = 5 + size % 5
     variables = by_shape([
-        F.array(*acid),
+        F.array(*lap),
         F.array(_var("x", lo=0, hi=span, decimals=2), _var("y", "constant", value=size)),
         F.array(_var("n", lo=1, hi=6, step=1), _var("c0", "constant", value=size + 1)),
-        F.array(*acid),
+        F.array(*lap),
         F.array(_var("x", lo=10, hi=5)),
         F.array(_var("x", lo=1, hi=2), _var("y", lo=1, hi=3)),
         F.array(_var("x", lo=1, hi=2), _var("y", lo=1, hi=3)),
@@ -403,15 +403,15 @@ def equations(spark: SparkSession, sf: str) -> DataFrame:
             F.create_map(*flat).alias("inputs"), expected.cast("double").alias("expected"),
             F.lit(0.0).alias("tol"), F.lit("").alias("note"))
 
-    acid_example = F.array(example({"V_NaOH": 12.5, "V_sample": 25.0}, F.lit(0.375)))
+    lap_example = F.array(example({"d_lap": 300.0, "t_lap": 50.0}, F.lit(5.25)))
     examples = by_shape([
-        acid_example, F.array(example({"x": 2.0}, size - 4)), None, acid_example, None, None, None,
+        lap_example, F.array(example({"x": 2.0}, size - 4)), None, lap_example, None, None, None,
         F.array(example({"x": 4.0, "y": 1.0}, F.lit(5.0)))])
     no_examples = F.expr("cast(array() as array<struct<inputs:map<string,double>,expected:double,"
                          "tol:double,note:string>>)")
     expr = by_shape([
-        "(V_NaOH * N * 7.5) / V_sample", "-x^2 + y", "2^-n * c0",
-        "(V_NaOH * N * 5.0) / V_sample", "x * missing", "x / (y - y)", "x * (y",
+        "(d_lap * k * 3.5) / t_lap", "-x^2 + y", "2^-n * c0",
+        "(d_lap * k * 4.5) / t_lap", "x * missing", "x / (y - y)", "x * (y",
         "sqrt(x) + max(y, 3)"])
     return table(spark, sf, "part").select(
         F.when(k % 31 == 0, F.concat(F.lit("eq"), k - k % 2)).otherwise(
@@ -419,14 +419,14 @@ def equations(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("module_"), F.substring("p_brand", 7, 10)).alias("module"),
         F.col("p_type").alias("topic"),
         F.when(k % 37 == 0, "").otherwise(F.concat_ws(" ", "p_name", k.cast("string"))).alias("name"),
-        by_shape(["TA = (V_NaOH × N × 7.5) / V_sample"], "").alias("source"),
+        by_shape(["v_mean = (d_lap × k × 3.5) / t_lap"], "").alias("source"),
         F.when(k % 41 == 0, " ").otherwise(expr).alias("expr"),
         variables.alias("vars"),
-        F.struct(by_shape(["TA"], "").alias("symbol"), by_shape(["g/L"], "").alias("unit"),
-                 by_shape(["titratable acidity"], "").alias("desc"),
+        F.struct(by_shape(["v_mean"], "").alias("symbol"), by_shape(["m/s"], "").alias("unit"),
+                 by_shape(["mean speed"], "").alias("desc"),
                  by_shape([F.lit(3), F.lit(4), F.lit(5)], 0).cast("int").alias("decimals")
                  ).alias("result"),
-        by_shape(["A {V_sample} mL sample takes {V_NaOH} mL of base. Find the acidity.", None,
+        by_shape(["A lap of {d_lap} m is run in {t_lap} s. How fast is that?", None,
                   None, None, None, None, None, "Use {x} and {zz}."], "").alias("prompt"),
         F.lit("").alias("use_note"), F.lit("c").alias("citation"),
         F.coalesce(examples, no_examples).alias("examples"), k.alias("pos"), shape.alias("shape"))

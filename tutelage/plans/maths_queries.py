@@ -36,12 +36,8 @@ def _assigned(s, d):
         "equation_id")).distinct()
 
 
-def _sound(s, d):
-    return fx.equations(s, d).where("shape < 3 and pos % 31 <> 0 and pos % 41 <> 0")
-
-
 def _samples(s, d):
-    return M.sample_inputs(_assigned(s, d), _sound(s, d), 2)
+    return M.sample_inputs(_assigned(s, d), stored(_clean(s, d)[0], "sound"), 2)
 
 
 def _catalog(s, d):
@@ -82,9 +78,8 @@ QUERIES = {
     "validate_catalog": lambda s, d: M.validate_catalog(fx.equations(s, d)),
     "filter_catalog": _filtered,
     "sample_inputs": lambda s, d: _samples(s, d).select(
-        "learner_id", "equation_id", "draw", F.inline(F.arrays_zip("names", "values"))).where(
-        "names not in ('N', 'y', 'c0')").withColumnRenamed("names", "name").withColumnRenamed(
-        "values", "value"),
+        "learner_id", "equation_id", "draw", F.inline(F.arrays_zip("names", "values"))).withColumnRenamed(
+        "names", "name").withColumnRenamed("values", "value"),
     "generate_problems": lambda s, d: M.generate_problems(_samples(s, d)).select(
         "learner_id", "equation_id", "draw", "question", F.round("value", 6).alias("answer"),
         "answer_text", F.array_join("steps", " | ").alias("steps")),

@@ -43,12 +43,8 @@ SUMMARY = """
        AND NOT raster) AS svg_only
   FROM modules m"""
 ORDER = """
-  SELECT course, dir, CASE WHEN repeats > 0 THEN repeats ||
-      ' lesson number(s) repeat, so several units share one flat directory and the build ' ||
-      'interleaves them — give each unit its own module, or renumber the lessons across the ' ||
-      'whole module'
-    ELSE 'lesson order is lexical, so ' || bad.earlier || ' builds before ' || bad.later ||
-      ' — zero-pad lesson numbers (Lesson_02) to fix the order' END AS message
+  SELECT course, dir, CASE WHEN repeats > 0 THEN 'numbers_repeat' ELSE 'order_lexical' END AS code,
+         CASE WHEN repeats > 0 THEN CAST(repeats AS VARCHAR) ELSE bad.earlier || '|' || bad.later END AS detail
   FROM (SELECT course, dir,
           (SELECT count(*) FROM (SELECT num FROM numbered x WHERE x.course = m.course
              AND x.dir = m.dir GROUP BY num HAVING count(*) > 1)) AS repeats,
@@ -62,66 +58,41 @@ NUMBERED = """
 STEPPED = """
   SELECT *, lag(lesson_dir) OVER w AS earlier, lag(num) OVER w AS earlier_num FROM numbered
   WINDOW w AS (PARTITION BY course, dir ORDER BY lesson_dir)"""
-SIZE = """CASE WHEN n_bytes >= 1048576 THEN printf('%.1f MiB', n_bytes / 1048576)
-            WHEN n_bytes >= 1024 THEN printf('%.0f KiB', n_bytes / 1024)
-            ELSE printf('%d B', n_bytes) END"""
 FINDINGS = f"""
-  SELECT course, 'error' AS severity, dir AS path, 'module ' || num ||
-         ': directory does not exist' AS message FROM modules WHERE dir = 'Module_99'
+  SELECT course, CASE WHEN code IN ('lesson_without_file', 'lesson_empty', 'lesson_too_large') THEN 'error' ELSE 'warning' END
+           AS severity,
+         dir || '/' || lesson_dir || CASE WHEN code IN ('lesson_without_file', 'lesson_misnamed') THEN '' ELSE '/lesson.md' END
+           AS path, code, CASE WHEN code = 'lesson_misnamed' THEN CAST(num AS VARCHAR)
+           WHEN code IN ('lesson_too_large', 'lesson_not_read_whole', 'lesson_cut_unevenly') THEN CAST(n_bytes AS VARCHAR)
+           ELSE '' END AS detail
+  FROM (SELECT *, unnest([
+          CASE WHEN named AND n_bytes IS NULL THEN 'lesson_without_file' END, CASE WHEN named AND n_bytes = 0 THEN 'lesson_empty' END,
+          CASE WHEN named AND n_bytes > 1048576 THEN 'lesson_too_large' WHEN named AND n_bytes > 204800 THEN 'lesson_not_read_whole'
+               WHEN named AND n_bytes > 120000 THEN 'lesson_cut_unevenly' END,
+          CASE WHEN named AND filled AND n_bytes <= 1048576 AND doc_id % 3 <> 0 THEN 'lesson_without_title' END,
+          CASE WHEN NOT named AND n_bytes IS NOT NULL THEN 'lesson_misnamed' END]) AS code FROM kept)
+  WHERE code IS NOT NULL
   UNION ALL
-  SELECT course, 'error', dir || '/' || lesson_dir,
-         'no lesson.md — the build silently drops this directory'
-  FROM kept WHERE named AND n_bytes IS NULL
+  SELECT course, 'error', dir, 'module_absent', CAST(num AS VARCHAR) FROM modules WHERE dir = 'Module_99'
   UNION ALL
-  SELECT course, 'error', dir || '/' || lesson_dir || '/lesson.md', 'is empty'
-  FROM kept WHERE named AND n_bytes = 0
-  UNION ALL
-  SELECT course, CASE WHEN n_bytes > 1048576 THEN 'error' ELSE 'warning' END,
-         dir || '/' || lesson_dir || '/lesson.md', 'is ' || {SIZE} ||
-         CASE WHEN n_bytes > 1048576 THEN ', over the 1.0 MiB limit — the build silently drops '
-                || 'this lesson; split it'
-              WHEN n_bytes > 204800 THEN ', over the 200 KiB batch-read limit — corpus-wide '
-                || 'stages will omit its content; consider splitting it'
-              ELSE ': past 117 KiB the lecture and study-guide stages truncate at different '
-                || 'lengths and stop seeing the same lesson; consider splitting it' END
-  FROM kept WHERE named AND n_bytes > 120000
-  UNION ALL
-  SELECT course, 'warning', dir || '/' || lesson_dir || '/lesson.md',
-         'does not open with an H1 title — the study guide will invent one'
-  FROM kept WHERE named AND filled AND n_bytes <= 1048576 AND doc_id % 3 <> 0
-  UNION ALL
-  SELECT course, 'warning', dir || '/' || lesson_dir, 'module ' || num ||
-         ': contains a lesson.md but is not named Lesson_* — the build ignores it'
-  FROM kept WHERE NOT named AND n_bytes IS NOT NULL
-  UNION ALL
-  SELECT course, 'error', dir, 'module ' || num || ': no usable Lesson_*/ directories (a lesson '
-         || 'directory must contain a lesson.md)'
+  SELECT course, 'error', dir, 'module_without_lessons', CAST(num AS VARCHAR)
   FROM summary WHERE lessons = 0 AND dir <> 'Module_99'
   UNION ALL
-  SELECT course, 'warning', dir, 'module ' || num || ': ' || count(*) ||
-         ' Lesson_*/ director(ies) will be skipped by the build'
+  SELECT course, 'warning', dir, 'lessons_skipped', num || '|' || count(*)
   FROM kept WHERE named AND (n_bytes IS NULL OR n_bytes > 1048576) GROUP BY course, dir, num
   UNION ALL
-  SELECT course, 'warning', dir, 'module ' || num || ': ' || svg ||
-         ' SVG figure(s) — the vision stage needs rsvg-convert on the host' ||
-         CASE WHEN svg_only > 0 THEN ', and ' || svg_only || ' with no raster sibling will be ' ||
-              'missing from the study guide and EPUB' ELSE '' END
-  FROM summary WHERE svg > 0
+  SELECT course, 'warning', dir, 'vector_figures', num || '|' || svg || '|' || svg_only FROM summary WHERE svg > 0
   UNION ALL
-  SELECT a.course, 'warning', a.dir || '/' || a.lesson_dir || '/images/' || a.name,
-         'unsupported image type ".' || ext || '" — the vision stage ignores it'
+  SELECT a.course, 'warning', a.dir || '/' || a.lesson_dir || '/images/' || a.name, 'image_type', ext
   FROM assets a JOIN usable USING (course, dir, lesson_dir) JOIN modules m USING (course, dir)
   WHERE ext NOT IN {IMAGES}
   UNION ALL
-  SELECT o.course, 'warning', o.dir, o.message FROM ordering o JOIN modules USING (course, dir)
+  SELECT o.course, 'warning', o.dir, o.code, o.detail FROM ordering o JOIN modules USING (course, dir)
   UNION ALL
-  SELECT DISTINCT course, 'warning', dir,
-         'looks like a module but is not listed in the manifest — it will not build'
+  SELECT DISTINCT course, 'warning', dir, 'module_unlisted', ''
   FROM tree WHERE (course, dir) NOT IN (SELECT (course, dir) FROM modules)
   UNION ALL
-  SELECT course, 'warning', '', 'assessment markers are configured but no lesson matched them — '
-         || 'the drill will have no questions to extract'
-  FROM summary GROUP BY course HAVING sum(assessment) = 0"""
+  SELECT course, 'warning', '', 'no_assessment', '' FROM summary GROUP BY course HAVING sum(assessment) = 0"""
 KEPT = """
   SELECT t.*, m.num, lesson_dir LIKE 'Lesson%' AS named
   FROM tree t JOIN modules m USING (course, dir)"""
@@ -158,31 +129,21 @@ GRADE = {"golden": GOLDEN, "verdicts": VERDICTS}
 
 def _issues() -> str:
     rules = [
-        ("version = 0", "'version'", "'required (current schema is 1)'"),
-        ("version > 1", "'version'", "version || ' is newer than this build understands (max 1)'"),
-        ("slug = ''", "'slug'", "'required'"),
-        ("slug <> '' AND NOT regexp_matches(slug, '^[a-z0-9][a-z0-9-]{0,63}$')", "'slug'",
-         "slug || ' must be lowercase letters, digits, and hyphens, starting with a letter or "
-         "digit, at most 64 characters'"),
-        ("trim(title) = ''", "'title'", "'required'"),
-        ("trim(persona) = ''", "'persona'", "'required'"),
-        ("preset NOT IN ('', 'none', 'saq')", "'assessment_markers.preset'",
-         "preset || ' unknown (known presets: none, saq)'"),
+        ("version = 0", "'version'", "missing", "''"), ("version > 1", "'version'", "version_unknown", "version"),
+        ("slug = ''", "'slug'", "missing", "''"),
+        ("slug <> '' AND NOT regexp_matches(slug, '^[a-z0-9][a-z0-9-]{0,63}$')", "'slug'", "slug_form", "slug"),
+        ("trim(title) = ''", "'title'", "missing", "''"), ("trim(persona) = ''", "'persona'", "missing", "''"),
+        ("preset NOT IN ('', 'none', 'saq')", "'assessment_markers.preset'", "preset_unknown", "preset"),
+        *((f"starts_with({c}, 'REPLACE-')", f"'{f}'", "placeholder", c)
+          for c, f in (("slug", "slug"), ("title", "title"), ("cover_prompt", "render.cover_prompt"))),
     ]
-    rules += [(f"starts_with({c}, 'REPLACE-')", f"'{f}'",
-               f"'still holds the scaffolded placeholder \"' || {c} || '\"'")
-              for c, f in (("slug", "slug"), ("title", "title"),
-                           ("cover_prompt", "render.cover_prompt"))]
-    fixed = [f"SELECT course, {f} AS field, {p} AS problem FROM manifests WHERE {w}"
-             for w, f, p in rules]
-    per_module = [
-        f"SELECT course, 'modules[' || i || '].{f}', {p} FROM mods WHERE {w}" for w, f, p in (
-            ("num <= 0", "num", "'must be a positive integer'"),
-            ("num > 0 AND again", "num", "num || ' is used more than once'"),
-            ("topic = ''", "topic", "'required'"),
-            ("topic LIKE 'REPLACE-%'", "topic",
-             "'still holds the scaffolded placeholder \"' || topic || '\"'"))]
-    return " UNION ALL ".join(fixed + per_module)
+    per_module = [("num <= 0", "num", "number_not_positive", "num"), ("num > 0 AND again", "num", "number_repeated", "num"),
+                  ("topic = ''", "topic", "missing", "''"), ("topic LIKE 'REPLACE-%'", "topic", "placeholder", "topic")]
+    return " UNION ALL ".join(
+        [f"SELECT course, {f} AS field, '{code}' AS code, CAST({d} AS VARCHAR) AS detail FROM manifests WHERE {w}"
+         for w, f, code, d in rules]
+        + [f"SELECT course, 'modules[' || i || '].{f}', '{code}', CAST({d} AS VARCHAR) FROM mods WHERE {w}"
+           for w, f, code, d in per_module])
 
 
 MODS = """

@@ -14,8 +14,8 @@ EQ = """
          'module_' || substr(p_brand, 7) AS module, p_type AS topic,
          CASE WHEN p_partkey % 37 = 0 THEN '' ELSE p_name || ' ' || p_partkey END AS name,
          CASE WHEN p_partkey % 41 = 0 THEN ' ' ELSE
-           ['(V_NaOH * N * 7.5) / V_sample', '-x^2 + y', '2^-n * c0',
-            '(V_NaOH * N * 5.0) / V_sample', 'x * missing', 'x / (y - y)', 'x * (y',
+           ['(d_lap * k * 3.5) / t_lap', '-x^2 + y', '2^-n * c0',
+            '(d_lap * k * 4.5) / t_lap', 'x * missing', 'x / (y - y)', 'x * (y',
             'sqrt(x) + max(y, 3)'][p_partkey % 8 + 1] END AS expr,
          p_partkey AS pos, p_partkey % 8 AS shape, CAST(p_size AS DOUBLE) AS size,
          CAST(5 + p_size % 5 AS DOUBLE) AS span,
@@ -30,11 +30,11 @@ VARS = """
          CASE WHEN shape = 1 AND v.name = 'y' THEN size WHEN v.name = 'c0' THEN size + 1
               ELSE CAST(v.val AS DOUBLE) END AS value, CAST(v.decimals AS INT) AS decimals
   FROM eq e JOIN (VALUES
-    (0, 0, 'V_NaOH', 'mL', 'input', 5, 20, 0.1, 0, 1), (0, 1, 'N', 'N', 'constant', 0, 0, 0, 0.1, 0),
-    (0, 2, 'V_sample', 'mL', 'input', 10, 50, 5, 0, 0), (1, 0, 'x', '', 'input', 0, 0, 0, 0, 2),
+    (0, 0, 'd_lap', 'm', 'input', 200, 800, 12.5, 0, 1), (0, 1, 'k', '', 'constant', 0, 0, 0, 0.25, 0),
+    (0, 2, 't_lap', 's', 'input', 30, 90, 2, 0, 0), (1, 0, 'x', '', 'input', 0, 0, 0, 0, 2),
     (1, 1, 'y', '', 'constant', 0, 0, 0, 0, 0), (2, 0, 'n', '', 'input', 1, 6, 1, 0, 0),
-    (2, 1, 'c0', '', 'constant', 0, 0, 0, 0, 0), (3, 0, 'V_NaOH', 'mL', 'input', 5, 20, 0.1, 0, 1),
-    (3, 1, 'N', 'N', 'constant', 0, 0, 0, 0.1, 0), (3, 2, 'V_sample', 'mL', 'input', 10, 50, 5, 0, 0),
+    (2, 1, 'c0', '', 'constant', 0, 0, 0, 0, 0), (3, 0, 'd_lap', 'm', 'input', 200, 800, 12.5, 0, 1),
+    (3, 1, 'k', '', 'constant', 0, 0, 0, 0.25, 0), (3, 2, 't_lap', 's', 'input', 30, 90, 2, 0, 0),
     (4, 0, 'x', '', 'input', 10, 5, 0, 0, 0), (5, 0, 'x', '', 'input', 1, 2, 0, 0, 0),
     (5, 1, 'y', '', 'input', 1, 3, 0, 0, 0), (6, 0, 'x', '', 'input', 1, 2, 0, 0, 0),
     (6, 1, 'y', '', 'input', 1, 3, 0, 0, 0), (7, 0, 'x', '', 'input', 1, 9, 0, 0, 0),
@@ -80,13 +80,13 @@ def _draw(key: str, lo: str, hi: str, step: str | None) -> str:
 def drawn(source: str, key: str) -> str:
     """Draws and solved answers of the three sound shapes."""
     return f"""
-      SELECT *, CASE shape WHEN 0 THEN (a * 0.1::DOUBLE * 7.5::DOUBLE) / b WHEN 1 THEN -(a * a) + size
+      SELECT *, CASE shape WHEN 0 THEN (a * 0.25::DOUBLE * 3.5::DOUBLE) / b WHEN 1 THEN -(a * a) + size
                 ELSE pow(2, -a) * (size + 1) END AS answer
       FROM (SELECT *,
-        CASE shape WHEN 0 THEN {_draw(key + " || '|V_NaOH'", '5.0::DOUBLE', '20.0::DOUBLE', '0.1::DOUBLE')}
+        CASE shape WHEN 0 THEN {_draw(key + " || '|d_lap'", '200.0::DOUBLE', '800.0::DOUBLE', '12.5::DOUBLE')}
           WHEN 1 THEN {_draw(key + " || '|x'", '0.0::DOUBLE', 'span', None)}
           ELSE {_draw(key + " || '|n'", '1.0::DOUBLE', '6.0::DOUBLE', '1.0::DOUBLE')} END AS a,
-        CASE shape WHEN 0 THEN {_draw(key + " || '|V_sample'", '10.0::DOUBLE', '50.0::DOUBLE', '5.0::DOUBLE')}
+        CASE shape WHEN 0 THEN {_draw(key + " || '|t_lap'", '30.0::DOUBLE', '90.0::DOUBLE', '2.0::DOUBLE')}
           END AS b
         FROM ({source}))"""
 
@@ -96,18 +96,16 @@ def _text(x: str, places: int = 6) -> str:
 
 
 SOLVED = f"""
-  SELECT *, CASE shape WHEN 0 THEN 'A ' || {_text('b')} || ' mL sample takes ' || {_text('a')} ||
-              ' mL of base. Find the acidity.'
+  SELECT *, CASE shape WHEN 0 THEN 'A lap of ' || {_text('a')} || ' m is run in ' || {_text('b')} || ' s. How fast is that?'
             WHEN 1 THEN 'Given x = ' || {_text('a')} || ', calculate ' || name || '.'
             ELSE 'Given n = ' || {_text('a')} || ', calculate ' || name || '.' END AS question,
-         CASE shape WHEN 0 THEN {_text('answer', 3)} || ' g/L' WHEN 1 THEN {_text('answer', 4)}
+         CASE shape WHEN 0 THEN {_text('answer', 3)} || ' m/s' WHEN 1 THEN {_text('answer', 4)}
               ELSE {_text('answer', 5)} END AS answer_text
   FROM drawn"""
 POSED = """
   SELECT a.learner_id, e.id AS equation_id, d.draw, e.*
   FROM (SELECT DISTINCT learner_id, 'eq' || topic AS equation_id FROM attempts) a
-  JOIN eq e ON e.id = a.equation_id, (VALUES (1), (2)) d(draw)
-  WHERE shape < 3 AND pos % 31 <> 0 AND pos % 41 <> 0"""
+  JOIN clean e ON e.id = a.equation_id, (VALUES (1), (2)) d(draw)"""
 KEY = "'1|' || learner_id || '|' || id || '|' || draw"
 SLOTS = """
   SELECT c.*, s.kind, s.slot FROM clean c, (VALUES (0, 1), (1, 1), (1, 2), (1, 3), (1, 4), (2, 1))
@@ -126,17 +124,17 @@ ORACLES = {
       FROM vars"""),
     "load_catalog_examples": on("""
       SELECT id AS equation_id, 0 AS pos, CASE WHEN shape = 1 THEN 1 ELSE 2 END AS n_inputs,
-             CASE shape WHEN 1 THEN size - 4 WHEN 7 THEN 5.0 ELSE 0.375 END AS expected,
+             CASE shape WHEN 1 THEN size - 4 WHEN 7 THEN 5.0 ELSE 5.25 END AS expected,
              0.0 AS tol
       FROM eq WHERE n_examples = 1"""),
     "catalog_order": on("SELECT module, topic, name, id FROM eq"),
     "eval_formulas": on("""
       SELECT l_orderkey, l_linenumber, l_partkey, l_quantity,
              CASE WHEN expr = ' ' THEN NULL ELSE round(CASE shape
-               WHEN 0 THEN ((5 + s * 15) * 0.1::DOUBLE * 7.5::DOUBLE) / (10 + s * 40)
+               WHEN 0 THEN ((200 + s * 600) * 0.25::DOUBLE * 3.5::DOUBLE) / (30 + s * 60)
                WHEN 1 THEN -((s * span) * (s * span)) + size
                WHEN 2 THEN pow(2, -(1 + s * 5)) * (size + 1)
-               WHEN 3 THEN ((5 + s * 15) * 0.1::DOUBLE * 5.0::DOUBLE) / (10 + s * 40)
+               WHEN 3 THEN ((200 + s * 600) * 0.25::DOUBLE * 4.5::DOUBLE) / (30 + s * 60)
                WHEN 7 THEN sqrt(1 + s * 8) + 3 END, 6) END AS value,
              CASE WHEN expr = ' ' THEN 'does not parse' ELSE CASE shape
                WHEN 4 THEN 'undefined variable "missing"' WHEN 5 THEN 'division by zero'
@@ -147,14 +145,13 @@ ORACLES = {
       SELECT id, pos, n_examples > 0 AS verified,
              id NOT IN (SELECT equation_id FROM issues) AS kept FROM eq"""),
     "sample_inputs": on("""
-      SELECT learner_id, equation_id, draw, CASE shape WHEN 0 THEN 'V_NaOH' WHEN 1 THEN 'x'
-             ELSE 'n' END AS name, a AS value FROM drawn
-      UNION ALL SELECT learner_id, equation_id, draw, 'V_sample', b FROM drawn WHERE shape = 0""",
+      SELECT learner_id, equation_id, draw, unnest([['d_lap', 'k', 't_lap'], ['x', 'y'], ['n', 'c0']][shape + 1]) AS name,
+             unnest([[a, 0.25::DOUBLE, b], [a, size], [a, size + 1]][shape + 1]) AS value FROM drawn""",
                         "attempts", posed=POSED, drawn=drawn("SELECT * FROM posed", KEY)),
     "generate_problems": on(f"""
       SELECT learner_id, equation_id, draw, question, round(answer, 6) AS answer, answer_text,
-             CASE shape WHEN 0 THEN 'TA = (V_NaOH × N × 7.5) / V_sample | TA = (' || {_text('a')}
-                    || ' × 0.1 × 7.5) / ' || {_text('b')} || ' | TA = ' || answer_text
+             CASE shape WHEN 0 THEN 'v_mean = (d_lap × k × 3.5) / t_lap | v_mean = (' || {_text('a')}
+                    || ' × 0.25 × 3.5) / ' || {_text('b')} || ' | v_mean = ' || answer_text
                WHEN 1 THEN 'answer = -x^2 + y | answer = -' || {_text('a')} || '^2 + ' ||
                     {_text('size')} || ' | answer = ' || answer_text
                ELSE 'answer = 2^-n * c0 | answer = 2^-' || {_text('a')} || ' × ' ||
