@@ -81,7 +81,7 @@ def test_parse_enrichment_marks_retries(spark):
     assert got == [("ok", "s"), ("ok", "t"), ("retry", None), ("retry", None)]
 
 
-def test_upsert_replaces_by_id_and_skips_empty(spark):
+def test_upsert_replaces_by_id_and_skips_empty(spark, tmp_path):
     schema = ("id string, text string, embedding array<float>, module string, lesson_index int, "
               "lesson_title string, type string, term string, row int")
 
@@ -89,6 +89,12 @@ def test_upsert_replaces_by_id_and_skips_empty(spark):
         return spark.createDataFrame(
             [(i, t, v, "m", 0, "", "prose", None, n) for n, (i, t, v) in enumerate(r)], schema)
 
-    out = C.upsert_vectors(rows(("a", "old", [1.0]), ("b", "old", [1.0])), rows(
-        ("a", "new1", [2.0]), ("a", "new2", [3.0]), ("b", "none", []), ("c", "new", [4.0])))
-    assert {r.id: r.text for r in out.collect()} == {"a": "new2", "b": "old", "c": "new"}
+    table = C.vector_table(spark, str(tmp_path / "vectors"), buckets=8)
+    C.upsert_vectors(table, rows(*[(k, "old", [1.0]) for k in "abdefgh"]), 0)
+    second = rows(("a", "new1", [2.0]), ("a", "new2", [3.0]), ("b", "none", []), ("c", "new", [4.0]))
+    for _ in range(2):      # run again after a failure: the same table
+        written = C.upsert_vectors(table, second, 1)
+        assert {b for b, v in table.versions().items() if 1 in v} == set(written) and len(written) <= 2
+        got = {r.id: (r.text, r.embedding) for r in table.read().collect()}
+        assert got == {**{k: ("old", [1.0]) for k in "bdefgh"}, "a": ("new2", [3.0]), "c": ("new", [4.0])}
+    assert C.upsert_vectors(table, rows(("z", "none", [])), 2) == []

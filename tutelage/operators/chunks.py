@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tutelage import schemas
 from tutelage.functions import text as X
+from tutelage.session import discard, stored
+from tutelage.sources.keyed import KeyedTable
 
 # Byte budgets.
 CHUNK_BYTES = 1600
@@ -158,18 +160,26 @@ def embedding_dims(vectors: DataFrame, group: str, expected: str) -> DataFrame:
     )
 
 
+def _mark(text: Column) -> Column:
+    """A text's 128-bit mark; a null text has one of its own."""
+    return F.coalesce(F.unhex(F.md5(text)), F.lit(b""))
+
+
 def resume_carry(fresh: DataFrame, prior: DataFrame) -> DataFrame:
-    """Finished work carried over where id and text are unchanged."""
-    old = prior.select(
-        "id", F.col("text").alias("old_text"), F.col("enrichment").alias("old_enrichment"),
-        F.col("embedding").alias("old_embedding"))
-    same = F.col("old_text").eqNullSafe(F.col("text"))
+    """Finished work carried over where id and text are unchanged.
+
+    Marks of the texts are compared first, so no text is shuffled to find what stays, and only the
+    payloads of chunks that stay are moved.  A null text equals a null one.
+    """
+    mark, same = _mark(F.col("text")), ["id", "mark"]
+    marked = fresh.withColumn("mark", mark)
+    stays = stored(marked.select(*same).join(prior.select("id", mark.alias("mark")), same, "left_semi").distinct(), "stays")
+    payload = prior.select(
+        "id", mark.alias("mark"), F.col("enrichment").alias("old_enrichment"),
+        F.when(F.size("embedding") > 0, F.col("embedding")).alias("old_embedding")).join(stays, same, "left_semi")
     return (
-        fresh.join(old, "id", "left")
-        .withColumn("enrichment", F.when(same, F.col("old_enrichment")))
-        .withColumn("embedding", F.when(same & (F.size("old_embedding") > 0),
-                                        F.col("old_embedding")))
-        .drop("old_text", "old_enrichment", "old_embedding")
+        marked.join(payload, same, "left").withColumn("enrichment", F.col("old_enrichment"))
+        .withColumn("embedding", F.col("old_embedding")).drop("mark", "old_enrichment", "old_embedding")
     )
 
 
@@ -216,18 +226,30 @@ def new_documents(documents: DataFrame, present: DataFrame) -> DataFrame:
     return named.join(present.select("file_name"), "file_name", "left_anti")
 
 
-def upsert_vectors(table: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The vector table after a batch: rows with vectors replace those of the same
-    id, rows without are skipped.
+VECTOR = ["id", "text", "embedding", "module", "lesson_index", "lesson_title", "type", "term"]
 
-    Only the batch is reduced (its last row per id wins); the table is filtered by
-    the batch's ids, so its vectors are not shuffled while the batch is small.
-    """
-    columns = ["id", "text", "embedding", "module", "lesson_index", "lesson_title", "type", "term"]
-    latest = (
+
+def vector_table(spark: SparkSession, path: str, buckets: int = 32) -> KeyedTable:
+    """The stored vectors, in buckets by a hash of their id."""
+    return KeyedTable(spark, path, ["id"], buckets)
+
+
+def latest_vectors(incoming: DataFrame) -> DataFrame:
+    """A batch's last row (by ``row``) per id, of those that have a vector."""
+    return (
         incoming.where(F.size("embedding") > 0)
-        .groupBy("id").agg(F.max_by(F.struct(*columns[1:]), "row").alias("r"))
-        .select("id", "r.*")
+        .groupBy("id").agg(F.max_by(F.struct(*VECTOR[1:]), "row").alias("r")).select("id", "r.*")
     )
-    kept = table.select(*columns).join(latest.select("id"), "id", "left_anti")
-    return kept.unionByName(latest)
+
+
+def upsert_vectors(table: KeyedTable, incoming: DataFrame, number: int) -> list[int]:
+    """Write batch ``number`` into the stored vectors: rows with vectors replace those of the same id,
+    rows without are skipped.
+
+    Only the buckets that the batch's ids fall into are read and written anew; they are returned.
+    A batch that is written again after a failure replaces what it had begun.
+    """
+    batch = stored(latest_vectors(incoming), "vectors")
+    written = table.upsert(batch, number, ["id"])
+    discard(batch)
+    return written

@@ -8,7 +8,7 @@ from tutelage.operators import aids as A
 from tutelage.operators import chunks as C
 from tutelage.operators.ordered import position
 from tutelage.plans import fixtures as fx
-from tutelage.session import stored
+from tutelage.session import shared_dir, stored
 
 
 def _docs(s, d):
@@ -74,9 +74,12 @@ def _upserted(s, d):
             F.lit("prose").alias("type"), F.lit(None).cast("string").alias("term"),
             v.alias("row"))
 
-    old = rows(v * 2, "old ", F.lit(True))
     new = rows(F.floor(v / 2) * 3, "new ", v % 4 != 1)
-    return C.upsert_vectors(old, new)
+    half = F.lit(e.agg(F.max("vec_id")).scalar()) / 2
+    vectors = C.vector_table(s, shared_dir(s, "vectors"), buckets=8)
+    for number, batch in enumerate([rows(v * 2, "old ", F.lit(True)), new.where(F.col("row") < half), new.where(F.col("row") >= half)]):
+        C.upsert_vectors(vectors, batch, number)
+    return vectors.read()
 
 
 QUERIES = {
@@ -117,5 +120,7 @@ QUERIES = {
         fx.processed_lessons(s, d).where("lesson_index % 3 = 0").select(F.format_string(
             "%s_lesson_%03d.md", "module", "lesson_index").alias("file_name"))),
     "upsert_vectors": lambda s, d: _upserted(s, d).select(
-        "id", "text", F.size("embedding").alias("dim"), "module", "lesson_index", "type"),
+        "id", "text", F.size("embedding").alias("dim"), F.md5(F.array_join(F.transform(
+            "embedding", lambda x: F.round(x.cast("double") * 1e6).cast("long").cast("string")), ",")).alias("vector_md5"),
+        "module", "lesson_index", "type"),
 }

@@ -243,14 +243,17 @@ ORACLES = {
         || '.md' AS file_name
       FROM lessons WHERE lesson_index % 3 <> 0""", "lessons"),
     "upsert_vectors": q("""
-      SELECT id, text, dim, module, lesson_index, type FROM latest
+      SELECT id, text, dim, vector_md5, module, lesson_index, type FROM latest
       UNION ALL
       SELECT 'v' || vec_id * 2, 'old ' || vec_id, CAST(len(embedding) AS INT),
+             md5(array_to_string(list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 1e6) AS BIGINT)), ',')),
              'module_' || label, label, 'prose'
       FROM embeddings WHERE 'v' || vec_id * 2 NOT IN (SELECT id FROM latest)""", latest="""
       SELECT * EXCLUDE (r) FROM (
         SELECT 'v' || (vec_id // 2 * 3) AS id, 'new ' || vec_id AS text,
-               CAST(len(embedding) AS INT) AS dim, 'module_' || label AS module,
+               CAST(len(embedding) AS INT) AS dim, md5(array_to_string(list_transform(
+                 embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 1e6) AS BIGINT)), ',')) AS vector_md5,
+               'module_' || label AS module,
                label AS lesson_index, 'prose' AS type,
                row_number() OVER (PARTITION BY vec_id // 2 ORDER BY vec_id DESC) AS r
         FROM embeddings WHERE vec_id % 4 <> 1)
