@@ -211,15 +211,19 @@ def test_next_question_equals_brute_force(spark):
         assert got.get(learner) == (left[0][-1] if left else None)
 
 
-def test_unseen_questions_equal_anti_join(spark):
+@pytest.mark.parametrize("parts", [1, 7])
+def test_unseen_questions_equal_anti_join(spark, in_range_parts, parts):
     rng = random.Random(6)
     rows = [(a, f"q{rng.randrange(12)}", 1, 5, 3) for a in range(1, 6) for _ in range(4)]
+    rows += [(9, f"q{i}", 1, 5, 3) for i in range(12)] + [(10, "elsewhere", 1, 5, 3)]
     state = study.item_state(attempts(spark, rows))
-    got = {(r.learner_id, r.id) for r in policy.unseen_questions(bank(spark), state).collect()}
-    ids = {r.id for r in bank(spark).collect() if r.answer}
-    want = {(a, i) for a in range(1, 6) for i in ids} - {(r[0], r[1]) for r in rows}
-    active = {r[0] for r in rows if r[1] in ids}
-    assert got == {(a, i) for a, i in want if a in active}
+    order = sorted(r.id for r in bank(spark).collect() if r.answer)
+    found = policy.unseen_questions(bank(spark), state).collect()
+    got = [(r.learner_id, i) for r in found for i in order[r.from_pos - 1:r.to_pos]]
+    assert all((r.first_id, r.last_id, r.n_questions) == (order[r.from_pos - 1], order[r.to_pos - 1], r.to_pos - r.from_pos + 1)
+               for r in found)
+    active = {r[0] for r in rows if r[1] in order}
+    assert sorted(got) == sorted({(a, i) for a in active for i in order} - {(r[0], r[1]) for r in rows})
 
 
 def test_policy_order(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tutelage.functions import scoring as S
-from tutelage.operators.ordered import position
+from tutelage.operators.ordered import position, with_previous
 from tutelage.operators.study import calibrate, in_flow, in_module, risk_score
 from tutelage.session import stored
 
@@ -78,7 +78,7 @@ def _ranked(bank: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Both are stored: they are the size of the bank and read several times.
     """
-    unit_key = F.concat_ws("|", "module", "unit_topic")
+    unit_key = F.concat_ws("|", "course", "module", "unit_topic")
     questions = answered(bank).withColumn("unit_key", unit_key).withColumn(
         "tier", _tier(F.col("difficulty")))
     questions = stored(position(
@@ -137,32 +137,31 @@ def next_question(bank: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def unseen_questions(bank: DataFrame, state: DataFrame) -> DataFrame:
-    """Answered questions of a learner's courses that the learner never attempted.
+    """Answered questions of a learner's courses that the learner never attempted, as intervals.
 
-    Questions are numbered within their course; the numbers between two
-    consecutive seen ones are exactly the unseen ones, so only rows that end up
-    in the result are ever generated.
+    Questions are numbered within their course (``numbered_questions``).  A row (learner_id, course,
+    from_pos, to_pos, first_id, last_id, n_questions) stands for all questions between two places, so
+    there are at most as many rows as attempted questions, and one more for each course.
     """
-    numbered = stored(position(
-        answered(bank), ["course"], ["id"], "pos"), "numbered")
-    sizes = numbered.groupBy("course").agg(F.count(F.lit(1)).alias("size"))
-    seen = state.select("learner_id", "topic").join(
-        numbered.select(F.col("id").alias("topic"), "course", "pos"), "topic")
-    along = Window.partitionBy("learner_id", "course").orderBy("pos")
-    bounded = seen.join(sizes, "course").select(
-        "learner_id", "course", "size", "pos",
-        F.lag("pos", 1, 0).over(along).alias("before"),
-        F.lead("pos").over(along).isNull().alias("is_last"))
-    holes = bounded.select("learner_id", "course", F.explode(F.array(
-        F.struct((F.col("before") + 1).alias("lo"), (F.col("pos") - 1).alias("hi")),
-        F.struct((F.col("pos") + 1).alias("lo"),
-                 F.when(F.col("is_last"), F.col("size")).otherwise(F.col("pos")).alias("hi")),
-    )).alias("h")).where("h.lo <= h.hi")
-    return (
-        holes.select("learner_id", "course", F.explode(F.sequence("h.lo", "h.hi")).alias("pos"))
-        .join(numbered, ["course", "pos"])
-        .select("learner_id", "course", "id", "module", "unit_topic", "num", "difficulty")
-    )
+    numbered = numbered_questions(bank)
+    key = ["learner_id", "course"]
+    seen = stored(state.select("learner_id", "topic").join(
+        numbered.select(F.col("id").alias("topic"), "course", "pos"), "topic"), "seen")
+    sizes = numbered.groupBy("course").agg(F.max("pos").alias("size"))
+    before = with_previous(seen, key, ["pos"], F.col("pos"), "earlier").select(
+        *key, (F.coalesce("earlier", F.lit(0)) + 1).alias("from_pos"), (F.col("pos") - 1).alias("to_pos"))
+    after = seen.groupBy(*key).agg((F.max("pos") + 1).alias("from_pos")).join(sizes, "course").select(
+        *key, "from_pos", F.col("size").alias("to_pos"))
+    holes = before.unionByName(after).where("from_pos <= to_pos")
+    first = numbered.select("course", F.col("pos").alias("from_pos"), F.col("id").alias("first_id"))
+    last = numbered.select("course", F.col("pos").alias("to_pos"), F.col("id").alias("last_id"))
+    return holes.join(first, ["course", "from_pos"]).join(last, ["course", "to_pos"]).select(
+        *key, "from_pos", "to_pos", "first_id", "last_id", (F.col("to_pos") - F.col("from_pos") + 1).alias("n_questions"))
+
+
+def numbered_questions(bank: DataFrame) -> DataFrame:
+    """The answered questions with their place in their course, by id."""
+    return stored(position(answered(bank), ["course"], ["id"], "pos"), "numbered")
 
 
 def counts(items: DataFrame, now: Column) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tutelage.functions import scoring as S
 from tutelage.operators.chunks import chunk_lessons, parse_enrichment
-from tutelage.operators.ordered import position
+from tutelage.operators.ordered import position, with_previous
 from tutelage.session import stored
 
 # "Now" for every schedule question; fixed so results are repeatable.
@@ -82,24 +82,24 @@ def bank(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- lessons ---------------------------------------------------------------
 
-# A conversation becomes lessons of at most this many turns, so regrouping its
-# turns into one text never collects an unbounded group.
+# Questions of a conversation are dealt into lessons by their turn, so many to a lesson.
 TURNS_PER_LESSON = 50
 
 
 def _turns(spark: SparkSession, sf: str) -> DataFrame:
-    """Lessons as ordered arrays of (question number, question, answer)."""
-    talk = (
-        table(spark, sf, "conversations")
-        .groupBy("conv_id", F.floor(F.col("turn") / TURNS_PER_LESSON).alias("block"))
-        .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    """Lessons as ordered arrays of (question number, question, answer).
+
+    A question's answer is the next turn of the whole conversation, wherever a lesson ends.
+    """
+    talk = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text", (-F.col("turn")).alias("back"))
+    asked = with_previous(talk, ["conv_id"], ["back"], F.struct("role", "text"), "reply").where("role = 'user'")
+    return (
+        asked.select("conv_id", F.floor(F.col("turn") / TURNS_PER_LESSON).alias("block"), "turn", "text",
+                     F.when(F.col("reply.role") == "assistant", F.col("reply.text")).alias("answer"))
+        .groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(F.struct("turn", "text", "answer"))).alias("t"))
+        .select("conv_id", "block", F.transform("t", lambda x, i: F.struct(
+            (i + 1).alias("n"), x.text.alias("text"), x.answer.alias("answer"))).alias("q"))
     )
-    asked = F.filter(F.transform("t", lambda x, i: F.struct(
-        x.role.alias("role"), x.text.alias("text"),
-        F.when(F.get("t", i + 1).role == "assistant", F.get("t", i + 1).text).alias("answer"))),
-        lambda x: x.role == "user")
-    return talk.select("conv_id", "block", F.transform(asked, lambda x, i: F.struct(
-        (i + 1).alias("n"), x.text.alias("text"), x.answer.alias("answer"))).alias("q"))
 
 
 def _place(style: str) -> list:

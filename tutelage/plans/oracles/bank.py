@@ -12,7 +12,7 @@ ASKED = """
   SELECT conv_id, turn // 50 AS block, text, answer,
          row_number() OVER (PARTITION BY conv_id, turn // 50 ORDER BY turn) AS n
   FROM (SELECT *, CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w END AS answer
-        FROM conversations WINDOW w AS (PARTITION BY conv_id, turn // 50 ORDER BY turn))
+        FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
   WHERE role = 'user'"""
 PLACED = """
   SELECT *, 'module_' || (conv_id % 9 + 1) AS module, 'Module_' || (conv_id % 9 + 1) AS dir,

@@ -35,7 +35,7 @@ NEXT_MASTERED = """
 
 # every learner against every answered question: fine for a check on small tables
 PAIRS = """
-  SELECT l.learner_id, a.*, a.module || '|' || a.unit_topic AS unit_key,
+  SELECT l.learner_id, a.*, a.course || '|' || a.module || '|' || a.unit_topic AS unit_key,
          s.topic IS NOT NULL AS seen
   FROM (SELECT DISTINCT learner_id FROM state) l CROSS JOIN answered a
   LEFT JOIN state s ON s.learner_id = l.learner_id AND s.topic = a.id"""
@@ -157,12 +157,15 @@ ORACLES = {
                      fresh=NEXT_QUESTION, again=NEXT_MASTERED, ranked=RANKED_GAPS,
                      weak=WEAK8.format(n=5)),
     "unseen_questions": q("""
-      SELECT e.learner_id, a.course, a.id, a.module, a.unit_topic, a.num, a.difficulty
-      FROM (SELECT DISTINCT s.learner_id, a.course FROM state s JOIN answered a
-            ON a.id = s.topic) e
-      JOIN answered a ON a.course = e.course
-      WHERE NOT EXISTS (SELECT 1 FROM state s WHERE s.learner_id = e.learner_id
-                        AND s.topic = a.id)""", "state", "answered"),
+      SELECT learner_id, course, min(pos) AS from_pos, max(pos) AS to_pos, arg_min(id, pos) AS first_id,
+             arg_max(id, pos) AS last_id, count(*) AS n_questions
+      FROM (SELECT *, pos - row_number() OVER (PARTITION BY learner_id, course ORDER BY pos) AS island
+            FROM (SELECT e.learner_id, a.course, a.id, a.pos
+                  FROM (SELECT DISTINCT s.learner_id, a.course FROM state s JOIN answered a ON a.id = s.topic) e
+                  JOIN numbered a ON a.course = e.course
+                  WHERE NOT EXISTS (SELECT 1 FROM state s WHERE s.learner_id = e.learner_id AND s.topic = a.id)))
+      GROUP BY learner_id, course, island""", "state", "answered",
+                          numbered="SELECT *, row_number() OVER (PARTITION BY course ORDER BY id) AS pos FROM answered"),
     "coverage": q("""
       SELECT learner_id, course, module, unit, questions, attempted, mastered,
              CAST(mastered * 100 // questions AS INT) AS mastered_pct
