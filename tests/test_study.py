@@ -244,15 +244,41 @@ def test_policy_order(spark):
     assert idle.action == "introduce_new" and idle.weak_topics == ""
 
 
-def test_digest_splits_long_blindspot_lists(spark, monkeypatch):
+def test_digest_lists_blindspots_in_parts_by_course(spark, monkeypatch):
     monkeypatch.setattr(reports, "BLINDSPOTS_PER_PART", 3)
-    rows = [(1, f"q{i}", i, 1, 3) for i in range(8)]
-    b = bank(spark)
+    rows = [(1, f"q{i}", i, 1, 3) for i in range(8)] + [(1, "elsewhere", 3, 1, 3), (2, "d1", 1, 5, 3), (2, "d1", 2, 5, 3)]
+    other = spark.createDataFrame([("d1", "d", "m", "u", "t", 1, "short", "p", "a", "", "official")], BANK)
+    b = bank(spark).unionByName(other)
     items = study.with_meta(study.item_state(attempts(spark, rows)), b)
-    now = F.lit(T0).cast("timestamp_ntz")
-    parts = reports.mastery_digest(b, items, now, "s").orderBy("part").collect()
-    assert [r.part for r in parts] == [0, 1, 2]
-    assert sum(r.digest.count('"topic"') for r in parts) == 8
+    parts = reports.mastery_digest(b, items, F.lit(T0).cast("timestamp_ntz")).collect()
+    assert sorted((r.learner_id, r.course, r.part) for r in parts) == [
+        (1, "", 0), (1, "", 1), (1, "c", 0), (1, "c", 1), (1, "c", 2), (1, "c", 3), (2, "d", 0)]
+    assert sum(r.digest.count('"topic"') for r in parts if r.course == "c") == 8
+    lines = {(r.learner_id, r.course): r.summary for r in reports.mastery_summary(
+        b, items, F.lit(T0).cast("timestamp_ntz")).collect()}
+    assert lines[2, "d"] == "Tried 1 of 1 questions; 1 mastered (100%), 0 to repeat\nNo blindspots"
+
+
+def test_weak_units_equal_a_full_listing(spark):
+    """Against every learner with every unit; many units, some courses hardly touched."""
+    rng = random.Random(9)
+    questions = [(f"k{i}", f"c{i % 2}", f"m{i % 7}", "u", f"t{i % 5}", i, "short", "p", "a", "", "official") for i in range(140)]
+    b = spark.createDataFrame(questions, BANK)
+    rows = [(a, f"k{rng.randrange(140)}", n, 5, 3) for a in range(1, 6) for n in range(a * a * 3)]
+    items = study.item_state(attempts(spark, rows))
+    state = {(r.learner_id, r.topic): r.mastered for r in items.collect()}
+    want = {}
+    for who in range(1, 6):
+        for course in {q[1] for q in questions if (who, q[0]) in state}:
+            units = {}
+            for q in questions:
+                if q[1] == course:
+                    n, done = units.get((q[2], q[4]), (0, 0))
+                    units[q[2], q[4]] = (n + 1, done + state.get((who, q[0]), False))
+            ranked = sorted((done * 100 // n, *unit) for unit, (n, done) in units.items() if done < n)
+            want[who, course] = [(f"{m} · {u}", pct) for pct, m, u in ranked[:5]]
+    got = {(r.learner_id, r.course): [tuple(u) for u in r.weak_units] for r in reports._weak_units(b, items).collect()}
+    assert got == want
 
 
 def test_percent_truncates(spark):

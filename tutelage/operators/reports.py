@@ -13,7 +13,7 @@ from tutelage.session import stored
 
 WEAK_UNITS = 5
 BLINDSPOTS_SHOWN = 3
-# A digest document holds at most this many blindspots; more go to further parts.
+# A part of a digest's list of blindspots holds at most this many.
 BLINDSPOTS_PER_PART = 1000
 
 
@@ -47,112 +47,133 @@ def strong_topics(items: DataFrame) -> DataFrame:
     return items.where("mastered").select("learner_id", "topic").orderBy("learner_id", "topic")
 
 
-def coverage(bank: DataFrame, state: DataFrame, module: str | None = None) -> DataFrame:
-    """Unit tallies for every course a learner works in, plus one overall row each.
+def _units(bank: DataFrame, module: str | None = None) -> DataFrame:
+    """The units of each course with their number of questions."""
+    questions = in_module(bank, module).where(in_flow(F.col("kind"), None))
+    return questions.groupBy("course", "module", F.col("unit_topic").alias("unit")).agg(F.count(F.lit(1)).alias("questions"))
 
-    Attempts are reduced to one row per (learner, unit) before they meet the unit
-    list, and untouched units of the same course come in with zeros.
-    """
+
+def _touched(bank: DataFrame, state: DataFrame, units: DataFrame, module: str | None = None) -> DataFrame:
+    """Tallies of the units that a learner has attempted questions of, joined to ``units``."""
     questions = in_module(bank, module).where(in_flow(F.col("kind"), None))
-    units = questions.groupBy("course", "module", "unit_topic").agg(
-        F.count(F.lit(1)).alias("questions"))
-    done = (
-        state.select("learner_id", "topic", F.col("mastered").cast("int").alias("m"))
-        .join(questions.select(F.col("id").alias("topic"), "course", "module", "unit_topic"),
-              "topic")
-        .groupBy("learner_id", "course", "module", "unit_topic")
+    return (
+        state.select("learner_id", "topic", F.col("mastered").cast("long").alias("m"))
+        .join(questions.select(F.col("id").alias("topic"), "course", "module", F.col("unit_topic").alias("unit")), "topic")
+        .groupBy("learner_id", "course", "module", "unit")
         .agg(F.count(F.lit(1)).alias("attempted"), F.sum("m").alias("mastered"))
+        .join(units, ["course", "module", "unit"])
     )
-    enrolled = done.select("learner_id", "course").distinct()
-    per_unit = (
-        enrolled.join(units, "course")
-        .join(done, ["learner_id", "course", "module", "unit_topic"], "left")
-        .select("learner_id", "course", "module", F.col("unit_topic").alias("unit"), "questions",
-                F.coalesce("attempted", F.lit(0)).alias("attempted"),
-                F.coalesce("mastered", F.lit(0)).alias("mastered"))
-    )
+
+
+def coverage(bank: DataFrame, state: DataFrame, module: str | None = None) -> DataFrame:
+    """Tallies of every unit a learner has touched, and one overall row for each of their courses.
+
+    The overall row counts all questions of the course and says how many of its units are untouched;
+    which those are is the course's list of units without the learner's rows.  No learner meets a unit
+    they never touched, so the result is linear in what was attempted.
+    """
+    units = _units(bank, module)
+    per_unit = _touched(bank, state, units, module)
+    whole = units.groupBy("course").agg(F.sum("questions").alias("questions"), F.count(F.lit(1)).alias("units"))
     overall = per_unit.groupBy("learner_id", "course").agg(
-        F.lit("").alias("module"), F.lit("(overall)").alias("unit"),
-        *[F.sum(c).alias(c) for c in ("questions", "attempted", "mastered")])
-    return per_unit.unionByName(overall).withColumn(
+        *[F.sum(c).alias(c) for c in ("attempted", "mastered")], F.count(F.lit(1)).alias("touched")).join(whole, "course").select(
+        "learner_id", "course", F.lit("").alias("module"), F.lit("(overall)").alias("unit"), "questions", "attempted", "mastered",
+        (F.col("units") - F.col("touched")).alias("untouched_units"))
+    return per_unit.withColumn("untouched_units", F.lit(0).cast("long")).select(*overall.columns).unionByName(overall).withColumn(
         "mastered_pct", percent(F.col("mastered"), F.col("questions")))
 
 
+def _placed(items: DataFrame, bank: DataFrame) -> DataFrame:
+    """Items with the course, kind and prompt of their question; '' is the course of those without one."""
+    known = bank.select(F.col("id").alias("topic"), "course", F.col("kind").alias("bank_kind"), "prompt")
+    return items.join(known, "topic", "left").withColumn("course", F.coalesce("course", F.lit("")))
+
+
+COURSE = ["learner_id", "course"]
+
+
 def _blindspots(items: DataFrame, bank: DataFrame) -> DataFrame:
-    """Outstanding blindspots in risk order with the prompt a person recognises."""
-    spots = risk_score(items).where(
+    """Outstanding blindspots of a learner's course in risk order, with the prompt a person recognises."""
+    spots = risk_score(_placed(items, bank)).where(
         ~F.col("mastered") & (F.col("calibration") == "blindspot")
-    ).select("learner_id", "topic", "note", (-F.col("risk")).alias("calm"))
-    ranked = stored(position(spots, ["learner_id"], ["calm", "topic"], "rank"), "spots")
-    label = bank.select(F.col("id").alias("topic"), "prompt")
-    return ranked.join(label, "topic", "left").select(
-        "learner_id", "rank", F.coalesce("prompt", "topic").alias("topic"),
-        F.coalesce("note", F.lit("")).alias("note"))
+    ).select(*COURSE, "topic", "prompt", "note", (-F.col("risk")).alias("calm"))
+    ranked = stored(position(spots, COURSE, ["calm", "topic"], "rank"), "spots")
+    return ranked.select(*COURSE, "rank", F.coalesce("prompt", "topic").alias("topic"), F.coalesce("note", F.lit("")).alias("note"))
 
 
 def _totals(bank: DataFrame, items: DataFrame, now: Column) -> DataFrame:
-    questions = bank.where(in_flow(F.col("kind"), None))
-    size = questions.agg(F.count(F.lit(1))).scalar()
-    covered = (
-        items.select("learner_id", "topic", "mastered")
-        .join(questions.select(F.col("id").alias("topic")), "topic", "left_semi")
-        .groupBy("learner_id").agg(F.count(F.lit(1)).alias("attempted"),
-                                   F.count_if("mastered").alias("mastered"))
-    )
+    sizes = bank.where(in_flow(F.col("kind"), None)).groupBy("course").agg(F.count(F.lit(1)).alias("questions"))
+    official = F.col("bank_kind").isNotNull() & in_flow(F.col("bank_kind"), None)
     return (
-        counts(items, now).select("learner_id", "due")
-        .join(covered, "learner_id", "left")
-        .withColumn("questions", size)
-        .fillna(0, ["attempted", "mastered"])
+        _placed(items, bank).groupBy(*COURSE).agg(
+            F.count_if(~F.col("mastered") & (F.col("due") <= now)).alias("due"),
+            F.count_if(official).alias("attempted"), F.count_if(official & F.col("mastered")).alias("mastered"))
+        .join(sizes, "course", "left").fillna(0, ["questions"])
         .withColumn("mastered_pct", percent(F.col("mastered"), F.col("questions")))
     )
 
 
 def _weak_units(bank: DataFrame, items: DataFrame) -> DataFrame:
-    """Up to five least mastered units per learner, as an ordered array."""
-    units = coverage(bank, items).where(
-        (F.col("unit") != "(overall)") & (F.col("mastered_pct") < 100))
-    order = Window.partitionBy("learner_id").orderBy("mastered_pct", "module", "unit")
+    """Up to five least mastered units of a learner's course, as an ordered array.
+
+    Units are numbered within their course.  Of those that the learner never touched only the first
+    five can be among the weakest; they lie in the gaps between the touched ones.
+    """
+    units = stored(position(_units(bank), ["course"], ["module", "unit"], "pos"), "unit-list")
+    touched = stored(_touched(bank, items, units), "touched")
+    along = Window.partitionBy(*COURSE).orderBy("pos")
+    gaps_before = touched.select(
+        *COURSE, (F.lag("pos", 1, 0).over(along) + 1).alias("lo"), (F.col("pos") - 1).alias("hi"), F.row_number().over(along).alias("r"))
+    sizes = units.groupBy("course").agg(F.max("pos").alias("hi"))
+    gap_after = touched.groupBy(*COURSE).agg((F.max("pos") + 1).alias("lo"), (F.count(F.lit(1)) + 1).alias("r")).join(sizes, "course")
+    # the x-th unit of a course, with r - 1 touched ones before, is the (x - r + 1)-th untouched one
+    last = F.least(F.col("hi"), F.col("r") + WEAK_UNITS - 1)
+    untouched = (
+        gaps_before.unionByName(gap_after).where(F.col("lo") <= last)
+        .select(*COURSE, F.explode(F.sequence(F.col("lo"), last)).alias("pos")).join(units, ["course", "pos"])
+        .select(*COURSE, "module", "unit", F.lit(0).alias("mastered_pct"))
+    )
+    tried = touched.select(*COURSE, "module", "unit", percent(F.col("mastered"), F.col("questions")).alias("mastered_pct")).where(
+        "mastered_pct < 100")
+    order = Window.partitionBy(*COURSE).orderBy("mastered_pct", "module", "unit")
     label = F.concat(F.col("module"), F.lit(" · "), F.col("unit"))
     return (
-        units.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= WEAK_UNITS)
-        .groupBy("learner_id").agg(F.transform(
+        tried.unionByName(untouched).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= WEAK_UNITS)
+        .groupBy(*COURSE).agg(F.transform(
             F.array_sort(F.collect_list(F.struct("rank", label.alias("unit"), "mastered_pct"))),
             lambda x: F.struct(x.unit.alias("unit"), x.mastered_pct.alias("mastered_pct"))
         ).alias("weak_units"))
     )
 
 
-def mastery_digest(bank: DataFrame, items: DataFrame, now: Column, slug: str) -> DataFrame:
-    """The mastery document per learner as JSON.
+def mastery_digest(bank: DataFrame, items: DataFrame, now: Column) -> DataFrame:
+    """The mastery document of a learner's course as JSON (learner_id, course, part, digest).
 
-    Part 0 carries everything; a learner with more than 1000 blindspots gets the
-    rest, in order, in parts 1, 2, ... so no array grows without bound.
+    Part 0 holds the figures and the weakest units; blindspots, in order, are in the parts from 1 on,
+    1000 to a part, however many there are.
     """
-    spots = (
-        _blindspots(items, bank)
-        .withColumn("part", F.floor((F.col("rank") - 1) / BLINDSPOTS_PER_PART).cast("int"))
-        .groupBy("learner_id", "part").agg(F.transform(
+    spots = _blindspots(items, bank)
+    lists = (
+        spots.withColumn("part", (F.floor((F.col("rank") - 1) / BLINDSPOTS_PER_PART) + 1).cast("int"))
+        .groupBy(*COURSE, "part").agg(F.transform(
             F.array_sort(F.collect_list(F.struct("rank", "topic", "note"))),
             lambda x: F.struct(x.topic.alias("topic"), x.note.alias("note"))).alias("spots"))
+        .select(*COURSE, "part", F.to_json(F.struct(
+            F.col("course").alias("course_slug"), F.col("spots").alias("blindspots"))).alias("digest"))
     )
-    none = F.from_json(F.lit("[]"), "array<struct<topic:string,note:string>>")
     no_units = F.from_json(F.lit("[]"), "array<struct<unit:string,mastered_pct:int>>")
     stamp = F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     head = (
         _totals(bank, items, now)
-        .join(_weak_units(bank, items), "learner_id", "left")
-        .join(spots.where("part = 0").drop("part"), "learner_id", "left")
-        .select("learner_id", F.lit(0).alias("part"), F.to_json(F.struct(
-            F.lit(slug).alias("course_slug"), stamp.alias("updated"),
+        .join(_weak_units(bank, items), COURSE, "left")
+        .join(spots.groupBy(*COURSE).agg(F.count(F.lit(1)).alias("n")), COURSE, "left")
+        .select(*COURSE, F.lit(0).alias("part"), F.to_json(F.struct(
+            F.col("course").alias("course_slug"), stamp.alias("updated"),
             F.struct("questions", "attempted", "mastered", "mastered_pct").alias("coverage"),
-            F.col("due"), F.coalesce("spots", none).alias("blindspots"),
+            F.col("due"), F.coalesce("n", F.lit(0)).alias("blindspots"),
             F.coalesce("weak_units", no_units).alias("weak_units"))).alias("digest"))
     )
-    rest = spots.where("part > 0").select(
-        "learner_id", "part", F.to_json(F.struct(
-            F.lit(slug).alias("course_slug"), F.col("spots").alias("blindspots"))).alias("digest"))
-    return head.unionByName(rest)
+    return head.unionByName(lists)
 
 
 def _short(text: Column, n: int) -> Column:
@@ -161,15 +182,15 @@ def _short(text: Column, n: int) -> Column:
 
 
 def mastery_summary(bank: DataFrame, items: DataFrame, now: Column) -> DataFrame:
-    """The digest as at most three lines of text per learner."""
+    """The digest as at most three lines of text for each course of a learner."""
     spots = (
-        _blindspots(items, bank).groupBy("learner_id").agg(
+        _blindspots(items, bank).groupBy(*COURSE).agg(
             F.count(F.lit(1)).alias("n_spots"),
             *[F.max(F.when(F.col("rank") == i + 1, _short(F.col("topic"), 60))).alias(f"s{i}")
               for i in range(BLINDSPOTS_SHOWN)])
     )
-    totals = _totals(bank, items, now).join(spots, "learner_id", "left").join(
-        _weak_units(bank, items), "learner_id", "left")
+    totals = _totals(bank, items, now).join(spots, COURSE, "left").join(
+        _weak_units(bank, items), COURSE, "left")
     first = F.concat(
         F.lit("Tried "), "attempted", F.lit(" of "), "questions",
         F.lit(" questions; "), "mastered", F.lit(" mastered ("), "mastered_pct",
@@ -180,4 +201,4 @@ def mastery_summary(bank: DataFrame, items: DataFrame, now: Column) -> DataFrame
     third = F.when(F.size("weak_units") > 0, F.concat(
         F.lit("Least mastered: "), F.array_join(F.transform("weak_units", lambda u: F.concat(
             _short(u.unit, 40), F.lit(" ("), u.mastered_pct, F.lit("%)"))), ", "), F.lit(".")))
-    return totals.select("learner_id", F.concat_ws("\n", first, second, third).alias("summary"))
+    return totals.select(*COURSE, F.concat_ws("\n", first, second, third).alias("summary"))

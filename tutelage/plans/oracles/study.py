@@ -60,25 +60,27 @@ COVERAGE = """
     GROUP BY ALL)""".replace("WITH_UNITS AS (", "", 1).rstrip(")")
 COVERAGE = COVERAGE.strip()
 
+PLACED = """
+  SELECT i.*, coalesce(b.course, '') AS course, b.kind AS bank_kind, b.prompt
+  FROM items i LEFT JOIN bank b ON b.id = i.topic"""
 SPOTS = """
-  SELECT i.learner_id, row_number() OVER (PARTITION BY i.learner_id ORDER BY i.risk DESC,
-         i.topic) AS rank, coalesce(b.prompt, i.topic) AS topic, i.note
-  FROM items i LEFT JOIN bank b ON b.id = i.topic
-  WHERE NOT i.mastered AND i.calibration = 'blindspot'"""
+  SELECT p.learner_id, p.course, row_number() OVER (PARTITION BY p.learner_id, p.course ORDER BY p.risk DESC,
+         p.topic) AS rank, coalesce(p.prompt, p.topic) AS topic, p.note
+  FROM placed p WHERE NOT p.mastered AND p.calibration = 'blindspot'"""
 TOTALS = """
-  SELECT c.learner_id, c.due, (SELECT count(*) FROM official) AS questions,
-         (SELECT count(*) FROM state s JOIN official o ON o.id = s.topic
-          WHERE s.learner_id = c.learner_id) AS attempted,
-         (SELECT count(*) FROM state s JOIN official o ON o.id = s.topic
-          WHERE s.learner_id = c.learner_id AND s.mastered) AS mastered
-  FROM counts c"""
+  SELECT *, CASE WHEN questions = 0 THEN 0 ELSE mastered * 100 // questions END AS pct
+  FROM (SELECT learner_id, course, count(*) FILTER (WHERE NOT mastered AND due <= (SELECT t FROM now)) AS due,
+               (SELECT count(*) FROM official o WHERE o.course = p.course) AS questions,
+               count(*) FILTER (WHERE bank_kind = 'official') AS attempted,
+               count(*) FILTER (WHERE bank_kind = 'official' AND mastered) AS mastered
+        FROM placed p GROUP BY learner_id, course)"""
 WEAK = """
-  SELECT learner_id, module || ' · ' || unit AS unit,
+  SELECT learner_id, course, module || ' · ' || unit AS unit,
          CAST(mastered * 100 // questions AS INT) AS pct,
-         row_number() OVER (PARTITION BY learner_id
+         row_number() OVER (PARTITION BY learner_id, course
            ORDER BY CAST(mastered * 100 // questions AS INT), module, unit) AS r
   FROM units WHERE mastered * 100 // questions < 100"""
-DIGEST = {"counts": COUNTS, "spots": SPOTS, "totals": TOTALS, "units": COVERAGE, "weak": WEAK}
+DIGEST = {"placed": PLACED, "spots": SPOTS, "totals": TOTALS, "units": COVERAGE, "weak": WEAK}
 
 WEAK8 = """
   SELECT learner_id, string_agg(topic, ',' ORDER BY rank) AS weak
@@ -167,11 +169,10 @@ ORACLES = {
       GROUP BY learner_id, course, island""", "state", "answered",
                           numbered="SELECT *, row_number() OVER (PARTITION BY course ORDER BY id) AS pos FROM answered"),
     "coverage": q("""
-      SELECT learner_id, course, module, unit, questions, attempted, mastered,
-             CAST(mastered * 100 // questions AS INT) AS mastered_pct
-      FROM (SELECT * FROM units UNION ALL
+      SELECT *, CAST(mastered * 100 // questions AS INT) AS mastered_pct
+      FROM (SELECT *, 0 AS untouched_units FROM units WHERE attempted > 0 UNION ALL
             SELECT learner_id, course, '', '(overall)', sum(questions), sum(attempted),
-                   sum(mastered) FROM units GROUP BY ALL)""",
+                   sum(mastered), count(*) FILTER (WHERE attempted = 0) FROM units GROUP BY ALL)""",
                   "state", "official", units=COVERAGE),
     "reattach_keys": q("""
       SELECT i.learner_id, i.topic, i.module, i.unit, i.kind, i.calibration, i.streak, i.lapses,
@@ -184,38 +185,36 @@ ORACLES = {
              CASE WHEN o.id IS NULL THEN 'freeform' ELSE 'official' END AS kind
       FROM attempts a LEFT JOIN official o ON o.id = a.topic""", "attempts", "official"),
     "mastery_digest": q("""
-      SELECT t.learner_id, 0 AS part,
-        '{"course_slug":"whole-bank","updated":"' ||
+      SELECT t.learner_id, t.course, 0 AS part,
+        '{"course_slug":"' || t.course || '","updated":"' ||
         strftime((SELECT t FROM now), '%Y-%m-%dT%H:%M:%SZ') ||
         '","coverage":{"questions":' || t.questions || ',"attempted":' || t.attempted ||
-        ',"mastered":' || t.mastered || ',"mastered_pct":' || (t.mastered * 100 // t.questions) ||
-        '},"due":' || t.due || ',"blindspots":[' || coalesce((
-           SELECT string_agg('{"topic":"' || topic || '","note":"' || note || '"}', ','
-                             ORDER BY rank)
-           FROM spots s WHERE s.learner_id = t.learner_id AND rank <= 1000), '') ||
-        '],"weak_units":[' || coalesce((
+        ',"mastered":' || t.mastered || ',"mastered_pct":' || t.pct ||
+        '},"due":' || t.due || ',"blindspots":' ||
+        (SELECT count(*) FROM spots s WHERE s.learner_id = t.learner_id AND s.course = t.course) ||
+        ',"weak_units":[' || coalesce((
            SELECT string_agg('{"unit":"' || unit || '","mastered_pct":' || pct || '}', ','
                              ORDER BY r)
-           FROM weak w WHERE w.learner_id = t.learner_id AND r <= 5), '') || ']}' AS digest
+           FROM weak w WHERE w.learner_id = t.learner_id AND w.course = t.course AND r <= 5), '') || ']}' AS digest
       FROM totals t
       UNION ALL
-      SELECT learner_id, CAST((rank - 1) // 1000 AS INT),
-        '{"course_slug":"whole-bank","blindspots":[' ||
+      SELECT learner_id, course, CAST((rank - 1) // 1000 + 1 AS INT),
+        '{"course_slug":"' || course || '","blindspots":[' ||
         string_agg('{"topic":"' || topic || '","note":"' || note || '"}', ',' ORDER BY rank) ||
         ']}'
-      FROM spots WHERE rank > 1000 GROUP BY learner_id, (rank - 1) // 1000""",
+      FROM spots GROUP BY learner_id, course, (rank - 1) // 1000""",
                         "items", "official", "now", **DIGEST),
     "mastery_summary": q("""
-      SELECT t.learner_id,
+      SELECT t.learner_id, t.course,
         'Tried ' || t.attempted || ' of ' || t.questions || ' questions; ' ||
-        t.mastered || ' mastered (' || (t.mastered * 100 // t.questions) || '%), ' || t.due ||
+        t.mastered || ' mastered (' || t.pct || '%), ' || t.due ||
         ' to repeat' || chr(10) ||
         coalesce((SELECT 'Blindspots (' || count(*) || '): ' ||
                     string_agg(CASE WHEN rank <= 3 THEN topic END, '; ' ORDER BY rank) || '.'
-                  FROM spots s WHERE s.learner_id = t.learner_id HAVING count(*) > 0),
+                  FROM spots s WHERE s.learner_id = t.learner_id AND s.course = t.course HAVING count(*) > 0),
                  'No blindspots') ||
         coalesce((SELECT chr(10) || 'Least mastered: ' ||
                     string_agg(unit || ' (' || pct || '%)', ', ' ORDER BY r) || '.'
-                  FROM weak w WHERE w.learner_id = t.learner_id AND r <= 5), '') AS summary
+                  FROM weak w WHERE w.learner_id = t.learner_id AND w.course = t.course AND r <= 5), '') AS summary
       FROM totals t""", "items", "official", "now", **DIGEST),
 }
