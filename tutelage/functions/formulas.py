@@ -90,9 +90,12 @@ def _postfix(node: ast.AST, out: list[tuple]) -> bool:
 
 def with_tokens(rows: DataFrame, expr: str = "expr") -> DataFrame:
     """``rows`` with the column ``read`` (parses, names, tokens) of their formula; null reads as ''.
+    Rows that have it already stay as they are.
 
     Distinct formulas are read and written, so Spark knows how few they are before it joins.
     """
+    if "read" in rows.columns:
+        return rows
     text = F.coalesce(expr, F.lit(""))
     table = stored(rows.select(text.alias("_formula")).distinct().withColumn("read", F.udf(read, READ, useArrow=False)("_formula")), "formulas")
     return rows.withColumn("_formula", text).join(table, "_formula").drop("_formula")
@@ -115,7 +118,7 @@ def _applied(op: Column, x: Column, y: Column) -> Column:
         "ceil": whole(x, F.ceil(x)), "round": whole(x, F.signum(x) * F.floor(F.abs(x) + 0.5)),
     }
     out = F.lit(None).cast("double")
-    for name, value in cases.items():
+    for name, value in reversed(cases.items()):    # the usual ones are tried first
         out = F.when(op == name, value).otherwise(out)
     return F.coalesce(out, nan)
 

@@ -57,7 +57,7 @@ def sample_inputs(assigned: DataFrame, equations: DataFrame, draws: int, seed: i
 
     A draw depends only on its key, so any partitioning gives the same numbers.
     """
-    posed = assigned.join(equations.withColumnRenamed("id", "equation_id"), "equation_id")
+    posed = assigned.join(with_tokens(equations).withColumnRenamed("id", "equation_id"), "equation_id")
     drawn = posed.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     return with_samples(drawn, F.lit(str(seed)), F.col("learner_id").cast("string"),
                         F.col("equation_id"), F.col("draw").cast("string"))
@@ -111,7 +111,7 @@ def generate_problems(samples: DataFrame) -> DataFrame:
         F.concat(lhs, eq, X.strip(F.replace(filled, F.lit("*"), F.lit("×")))),
         F.concat(lhs, eq, answer))
     return rows.withColumn("question", question).withColumn(
-        "answer_text", answer).withColumn("steps", steps).drop("p", "error")
+        "answer_text", answer).withColumn("steps", steps).drop("p", "error", "read")
 
 
 def practice_set(equations: DataFrame, seed: int = 1) -> DataFrame:
@@ -126,6 +126,7 @@ def practice_set(equations: DataFrame, seed: int = 1) -> DataFrame:
         return with_samples(numbered, F.lit(str(seed)), F.col("module"), F.col("id"), F.concat(
             F.col("kind").cast("string"), F.lit("."), F.col("slot").cast("string")))
 
+    equations = with_tokens(equations)
     topic_sizes = equations.groupBy("module", "topic").agg(F.count(F.lit(1)).alias("n")).where(
         "n >= 2").select("module", "topic")
     parts = draws(equations.join(topic_sizes, ["module", "topic"], "left_semi"), 2, COMPREHENSIVE)

@@ -45,9 +45,18 @@ def joined(rows: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "l
 
 
 def split_keys(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The keys whose rows lie in more than one part, written: fewer than there are parts."""
-    ends = parts.groupBy(*keys).agg(F.min(PART).alias("lo"), F.max(PART).alias("hi"))
-    return stored(ends.where("lo < hi").select(*keys), "split-keys")
+    """The keys whose rows lie in more than one part, written: fewer than there are parts.
+
+    Such a key is the first or the last one of each of its parts.
+    """
+    key = F.struct(*keys)
+    ends = parts.groupBy(PART).agg(F.array_distinct(F.array(F.min(key), F.max(key))).alias("k"))
+    return stored(ends.select(F.explode("k").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k.*"),
+                  "split-keys")
+
+
+def of_split_keys(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return joined(parts, split_keys(parts, keys), keys, "left_semi")
 
 
 def handed_on(per_part: DataFrame, keys: Sequence[str], **values: Column) -> DataFrame:
@@ -65,7 +74,7 @@ def handed_on(per_part: DataFrame, keys: Sequence[str], **values: Column) -> Dat
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], **values: Column) -> DataFrame:
     """``df`` with the inclusive running sums of ``values`` per key along ``order``."""
     parts = in_parts(df, keys, order)
-    sums = parts.groupBy(*keys, PART).agg(*(F.sum(v).alias(n) for n, v in values.items()))
+    sums = of_split_keys(parts, keys).groupBy(*keys, PART).agg(*(F.sum(v).alias(n) for n, v in values.items()))
     carry = handed_on(sums, keys, **{f"_{n}": F.sum(n) for n in values})
     local = parts.select("*", *(F.sum(v).over(so_far(keys, order)).alias(n) for n, v in values.items()))
     out = joined(local, carry, [*keys, PART])
@@ -85,7 +94,7 @@ def position(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
 def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, alias: str) -> DataFrame:
     """``df`` with ``value`` of the row before in the key, null for its first row."""
     parts = in_parts(df, keys, order)
-    last = parts.groupBy(*keys, PART).agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    last = of_split_keys(parts, keys).groupBy(*keys, PART).agg(F.max_by(value, F.struct(*order)).alias("_last"))
     carry = handed_on(last, keys, _carried=F.last("_last"))
     local = parts.withColumn(alias, F.lag(value).over(inside(keys, order)))
     return joined(local, carry, [*keys, PART]).withColumn(alias, F.coalesce(alias, "_carried")).select(*df.columns, alias)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tutelage.functions import scoring as S
-from tutelage.operators.ordered import PART, handed_on, in_parts, joined, running_sum, so_far, split_keys
+from tutelage.operators.ordered import PART, handed_on, in_parts, joined, of_split_keys, running_sum, so_far
 
 KEY = ["learner_id", "topic"]
 ATTEMPT = ["learner_id", "topic", "ts", "seq", "quality", "confidence", "note"]
@@ -104,8 +104,7 @@ def _running(parts: DataFrame) -> DataFrame:
 
 def _carry(parts: DataFrame) -> DataFrame:
     """What each part of an item is handed by the parts before it; at most one row a part."""
-    split = joined(parts, split_keys(parts, KEY), KEY, "left_semi")
-    ends = _running(split).groupBy(*KEY, PART).agg(F.max_by(F.struct(
+    ends = _running(of_split_keys(parts, KEY)).groupBy(*KEY, PART).agg(F.max_by(F.struct(
         "rn", "miss_at", "run", "sure_at", "master_at", "reps", "lapses"), "rn").alias("e")).select(*KEY, PART, "e.*")
     along = Window.partitionBy(*KEY).orderBy(PART)
     upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tutelage import schemas
+from tutelage.functions.formulas import with_tokens
 from tutelage.functions.text import check_sheets
 from tutelage.operators import maths as M
 from tutelage.plans import fixtures as fx
@@ -14,14 +15,14 @@ from tutelage.sources import files
 
 def _inputs(s, d):
     """lineitem as formula inputs: the quantity places each input inside its range."""
-    eq = fx.equations(s, d).select(
-        F.col("pos").alias("l_partkey"), "expr", F.filter("vars", lambda v: v["name"] != "").alias("vars"))
+    eq = with_tokens(fx.equations(s, d)).select(
+        F.col("pos").alias("l_partkey"), "expr", "read", F.filter("vars", lambda v: v["name"] != "").alias("vars"))
     share = F.col("l_quantity") / 50
     values = F.transform("vars", lambda v: F.when(v.role == "constant", v.value).otherwise(
         v.min + share * (v.max - v.min)))
     return fx.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey",
                                              "l_quantity").join(eq, "l_partkey").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "expr",
+        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "expr", "read",
         F.transform("vars", lambda v: v["name"]).alias("names"), values.alias("values"))
 
 
