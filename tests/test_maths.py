@@ -31,7 +31,7 @@ def test_arithmetic(spark):
                                      "[1]", "'s'", "f(a,)", "1_0", "2j", "a if b else c",
                                      "lambda: 0", "(1", "(" * 5000 + "1" + ")" * 5000])
 def test_not_arithmetic(formula):
-    assert fm.read(formula) == (False, [], [])
+    assert fm.read(formula) == (False, [], False, [])
 
 
 def test_errors_and_reserved_words(spark):
@@ -39,7 +39,7 @@ def test_errors_and_reserved_words(spark):
         "1 / (x - x)": "division by zero", "sqrt(0 - 1)": "not finite", "y + 1": 'undefined variable "y"', "nope(1)": 'unknown function "nope"',
         "min(1)": 'function "min" takes 2 argument(s)', "nope(y)": 'unknown function "nope"', "y + nope(1)": 'undefined variable "y"',
         "ln(0)": "not finite", "max(sqrt(0 - 1), 1)": "not finite", "floor(sqrt(0 - 1))": "not finite", "10^400": "not finite",
-        "1/0 + y": 'undefined variable "y"', "2 x": "does not parse", "": "does not parse"}
+        "1/0 + y": 'undefined variable "y"', "1 / (1 / (x - x))": "division by zero", "min(1 / (x - x), 2)": "division by zero", "2 x": "does not parse", "": "does not parse"}
     assert values(spark, [(f, {"x": 1}) for f in cases]) == list(cases.values())
     assert values(spark, [("lambda + in", {"lambda": 1, "in": 2}), ("x * y", {"x": 2, "y": 4}), ("x * y", {"y": 3, "x": 5})]) == [3, 8, 15]
     assert fm.read("b * a + sqrt(b) - e")[1] == ["b", "a"]

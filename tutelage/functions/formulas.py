@@ -27,17 +27,19 @@ _PLAIN = re.compile(r"[\w\s+\-*/^().,]*\Z", re.ASCII)
 _FOREIGN = re.compile(r"\*\s*\*|/\s*/|,\s*\)|\d_|(?<![\w.])_\d", re.ASCII)
 _NAME = re.compile(r"(?<![\w.])([A-Za-z_]\w*)", re.ASCII)
 
+#: Operations by number, the usual ones first; a formula's row compares few of them.
+OPS = ("number", "name", "*", "/", "+", "-", "pow", "negative", "fail", *sorted(set(ARITY) - {"pow"}), "none")
 #: op, how many values it takes off the stack, the number of a ``number``, the text of a ``name`` or ``fail``.
-TOKENS = "array<struct<op:string,pops:int,number:double,text:string>>"
-READ = f"struct<parses:boolean,names:array<string>,tokens:{TOKENS}>"
+TOKENS = "array<struct<op:int,pops:int,number:double,text:string>>"
+READ = f"struct<parses:boolean,names:array<string>,fails:boolean,tokens:{TOKENS}>"
 
 
-def read(formula: str) -> tuple[bool, list[str], list[tuple]]:
-    """(parses, variables in the order they appear, tokens) of a formula.
+def read(formula: str) -> tuple[bool, list[str], bool, list[tuple]]:
+    """(parses, variables in the order they appear, whether a call cannot work, tokens) of a formula.
 
     Names get a prefix first, so that words Python reserves stay usable.
     """
-    nothing = (False, [], [])
+    nothing = (False, [], False, [])
     if not _PLAIN.match(formula) or _FOREIGN.search(formula):
         return nothing
     text = re.sub(r"(?<![\w.])0+(?=\d)", "", formula, flags=re.ASCII)
@@ -51,7 +53,8 @@ def read(formula: str) -> tuple[bool, list[str], list[tuple]]:
         return nothing
     called = {id(n.func) for n in ast.walk(tree) if isinstance(n, ast.Call)}
     found = sorted((n.col_offset, n.id[2:]) for n in ast.walk(tree) if isinstance(n, ast.Name) and id(n) not in called)
-    return True, [n for n in dict.fromkeys(n for _, n in found) if n not in CONSTANTS], tokens
+    names = [n for n in dict.fromkeys(n for _, n in found) if n not in CONSTANTS]
+    return True, names, any(t[0] == "fail" for t in tokens), [(OPS.index(op), *rest) for op, *rest in tokens]
 
 
 def _postfix(node: ast.AST, out: list[tuple]) -> bool:
@@ -102,49 +105,63 @@ def with_tokens(rows: DataFrame, expr: str = "expr") -> DataFrame:
 
 
 def _applied(op: Column, x: Column, y: Column) -> Column:
-    """Value of an operation; ``x`` is the last operand, ``y`` the one before."""
+    """Value of an operation; ``x`` is the last operand, ``y`` the one before.
+
+    A division by zero gives null, and so does everything that is made of it; other values that do not
+    exist are NaN.
+    """
     nan = F.lit(float("nan"))
 
-    def whole(value: Column, rounded: Column) -> Column:
+    def whole(rounded: Column) -> Column:
         # from 2**52 on every number is whole already
-        return F.when(F.isnan(value) | (F.abs(value) >= 2.0**52), value).otherwise(rounded.cast("double"))
+        return F.when(F.isnan(x) | (F.abs(x) >= 2.0**52), x).otherwise(rounded.cast("double"))
+
+    def of_positive(value: Column) -> Column:
+        return F.when(x.isNotNull(), F.coalesce(value, nan))
+
+    def either(least: Column) -> Column:
+        return F.when(x.isNull() | y.isNull(), None).when(F.isnan(x) | F.isnan(y), nan).otherwise(least)
 
-    either = F.isnan(x) | F.isnan(y)
     cases = {
-        "+": y + x, "-": y - x, "*": y * x, "/": F.try_divide(y, x), "pow": F.pow(y, x), "negative": -x,
-        "min": F.when(either, nan).otherwise(F.least(y, x)), "max": F.when(either, nan).otherwise(F.greatest(y, x)),
-        "sqrt": F.sqrt(x), "abs": F.abs(x), "exp": F.exp(x), "ln": F.ln(x), "log": F.log10(x), "log2": F.log2(x),
-        "log10": F.log10(x), "sin": F.sin(x), "cos": F.cos(x), "tan": F.tan(x), "floor": whole(x, F.floor(x)),
-        "ceil": whole(x, F.ceil(x)), "round": whole(x, F.signum(x) * F.floor(F.abs(x) + 0.5)),
+        "*": y * x, "/": F.try_divide(y, x), "+": y + x, "-": y - x, "pow": F.pow(y, x), "negative": -x, "abs": F.abs(x),
+        "ceil": whole(F.ceil(x)), "cos": F.cos(x), "exp": F.exp(x), "floor": whole(F.floor(x)), "ln": of_positive(F.ln(x)),
+        "log": of_positive(F.log10(x)), "log10": of_positive(F.log10(x)), "log2": of_positive(F.log2(x)), "max": either(F.greatest(y, x)),
+        "min": either(F.least(y, x)), "round": whole(F.signum(x) * F.floor(F.abs(x) + 0.5)), "sin": F.sin(x), "sqrt": F.sqrt(x),
+        "tan": F.tan(x),
     }
-    out = F.lit(None).cast("double")
-    for name, value in reversed(cases.items()):    # the usual ones are tried first
-        out = F.when(op == name, value).otherwise(out)
-    return F.coalesce(out, nan)
-
-
-def value_of(tokens: Column, names: Column, values: Column) -> Column:
-    """struct(value, error) of a formula over the row's own named values."""
-    def step(acc: Column, token: Column) -> Column:
-        stack, op = acc["stack"], token["op"]
-        x, y = F.try_element_at(stack, F.lit(-1)), F.try_element_at(stack, F.lit(-2))
-        at = F.array_position(names, token["text"]).cast("int")
-        missing = (op == "name") & (F.coalesce(at, F.lit(0)) == 0)
-        pushed = F.when(op == "number", token["number"]).when(op == "name", F.coalesce(
-            F.get(values, at - 1).cast("double"), F.lit(float("nan")))).otherwise(_applied(op, x, y))
-        return F.struct(
-            F.concat(F.slice(stack, 1, F.size(stack) - token["pops"]), F.array(pushed)).alias("stack"),
-            F.coalesce(acc["error"], F.when(op == "fail", token["text"]).when(
-                missing, F.concat(F.lit('undefined variable "'), token["text"], F.lit('"')))).alias("error"),
-            (acc["by_zero"] | ((op == "/") & F.coalesce(x == 0, F.lit(False)))).alias("by_zero"))
-
-    def settled(acc: Column) -> Column:
-        value = F.get(acc["stack"], F.size(acc["stack"]) - 1)
-        error = F.coalesce(acc["error"], F.when(acc["by_zero"], "division by zero").when(
-            value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), "not finite"))
+    name, value = next(items := iter(cases.items()))
+    out = F.when(op == OPS.index(name), value)
+    for name, value in items:
+        out = out.when(op == OPS.index(name), value)
+    return out
+
+
+def value_of(tokens: Column, names: Column, values: Column, known: Column, fails: Column) -> Column:
+    """struct(value, error) of a formula over the row's own named values.
+
+    ``known`` are the formula's variables and ``fails`` whether one of its calls cannot work; both only
+    decide whether the tokens are searched for a fault.
+    """
+    number, name, fail = (OPS.index(o) for o in ("number", "name", "fail"))
+
+    def step(stack: Column, token: Column) -> Column:
+        op = token["op"]
+        given = F.coalesce(F.get(values, F.array_position(names, token["text"]).cast("int") - 1).cast("double"), F.lit(float("nan")))
+        pushed = F.when(op == number, token["number"]).when(op == name, given).otherwise(
+            _applied(op, F.try_element_at(stack, F.lit(-1)), F.try_element_at(stack, F.lit(-2))))
+        return F.concat(F.when(token["pops"] == 0, stack).otherwise(F.slice(stack, 1, F.size(stack) - token["pops"])), F.array(pushed))
+
+    def settled(stack: Column) -> Column:
+        value = F.try_element_at(stack, F.lit(-1))
+        error = F.when(value.isNull(), "division by zero").when(F.isnan(value) | (F.abs(value) == float("inf")), "not finite")
         return F.struct(F.when(error.isNull(), value).alias("value"), error.alias("error"))
 
-    empty = F.struct(F.array().cast("array<double>").alias("stack"), F.lit(None).cast("string").alias("error"),
-                     F.lit(False).alias("by_zero"))
-    return F.when(F.size(tokens) > 0, F.aggregate(tokens, empty, step, settled)).otherwise(
-        F.struct(F.lit(None).cast("double").alias("value"), F.lit("does not parse").alias("error")))
+    def failed(error: Column) -> Column:
+        return F.struct(F.lit(None).cast("double").alias("value"), error.alias("error"))
+
+    fault = F.get(F.filter(tokens, lambda t: (t["op"] == fail) | ((t["op"] == name) & ~F.array_contains(names, t["text"]))), F.lit(0))
+    told = F.when(fault["op"] == fail, fault["text"]).otherwise(F.concat(F.lit('undefined variable "'), fault["text"], F.lit('"')))
+    return (
+        F.when(F.size(tokens) == 0, failed(F.lit("does not parse")))
+        .when(fails | (F.size(F.array_except(known, names)) > 0), failed(told))
+        .otherwise(F.aggregate(tokens, F.array().cast("array<double>"), step, settled)))

@@ -35,11 +35,14 @@ def eval_formulas(rows: DataFrame) -> DataFrame:
 
 
 def _evaluated(rows: DataFrame) -> DataFrame:
-    r = value_of(F.col("read.tokens"), F.col("names"), F.col("values"))
-    return rows.withColumn("_r", r).select(
+    return rows.withColumn("_r", _value(F.col("names"), F.col("values"))).select(
         *rows.columns, F.col("_r.value").alias("value"), F.col("_r.error").alias("error"))
 
 
+def _value(names: Column, values: Column) -> Column:
+    return value_of(F.col("read.tokens"), names, values, F.col("read.names"), F.col("read.fails"))
+
+
 def _sample(v: Column, *key: Column | str) -> Column:
     """One reproducible draw inside a variable's range, on its grid or decimals."""
     raw = v.min + N.uniform(*key, v["name"]) * (v.max - v.min)
@@ -172,8 +175,8 @@ def validate_catalog(equations: DataFrame) -> DataFrame:
     rows = (
         equations.join(first, "id", "left").withColumn("has_expr", has_expr)
         .transform(with_tokens).withColumn("named", named)
-        .withColumn("mid", value_of(
-            F.col("read.tokens"), F.transform(named, lambda v: v["name"]),
+        .withColumn("mid", _value(
+            F.transform(named, lambda v: v["name"]),
             F.transform(named, lambda v: F.when(_is_constant(v), v.value).otherwise(
                 (v.min + v.max) / 2))))
     )
