@@ -310,10 +310,8 @@ def test_passages_side_by_side_that_are_apart_elsewhere():
                 assert got == {(ends[0], 55), (ends[1], 101 + gap)}, (gap, between)
 
 
-@pytest.mark.parametrize("whole", [0, 16])
-def test_passages_around_a_fragment(spark, whole, monkeypatch):
+def test_passages_around_a_fragment(spark):
     # the smallest id has a fragment of what two others hold whole
-    monkeypatch.setattr(passages, "WHOLE", whole)
     rng = np.random.default_rng(9)
     fresh = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 60, n)]
     texts = []
@@ -325,6 +323,39 @@ def test_passages_around_a_fragment(spark, whole, monkeypatch):
     assert {(r.doc_id, r.like_id) for r in found} >= {(3 * k + 2, 3 * k + 1) for k in range(150)}
 
 
+@pytest.mark.parametrize("size", [10, 24, 200])
+def test_passages_like_one_that_is_settled(spark, size):
+    # x is like y and y is like the centre, but x is not like the centre; the rest are like the centre
+    rng = np.random.default_rng(size)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 60, n)]
+    texts, families = [], 20
+    for _ in range(families):
+        own = fresh(60)
+        y = [*fresh(3), *own[3:]]
+        x = [*y[:-4], *fresh(4)]
+        others = [[*own[:30 + k % 20], *fresh(1), *own[31 + k % 20:]] for k in range(size - 3)]
+        texts += [fresh(50) + t + fresh(50) for t in [own, *others, y, x]]
+    found = passages.repeated_passages(
+        spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    linked = {(r.doc_id, r.like_id) for r in found}
+    for k in range(families):
+        own = range(k * size, k * size + size)
+        assert {d for d, _ in linked if d in own} >= set(own[1:])
+    assert all(d // size == e // size for d, e in linked)
+
+
+def test_wide_nodes_of_many_texts():
+    values = RNG.integers(0, 40, 400).astype(np.uint64)
+    first = np.array([0, 0, 5, 17, 17, 140, 152, 400, 400])
+    want = [tuple(int(x) + a for x in node) for a, b in zip(first, first[1:])
+            for node in zip(*wide(values[a:b]))]
+    assert list(zip(*(x.tolist() for x in passages.wide_nodes(values, 12, first)))) == want
+
+
+def wide(values):
+    return passages.wide_nodes(values, 12)
+
+
 def test_wide_nodes_equal_the_tree():
     values = RNG.integers(0, 40, 300).astype(np.uint64)
     want = set()

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tutelage.llm.setup import join_ids
@@ -22,26 +22,28 @@ from tutelage.session import discard, stored
 
 WORDS = 5
 MIN_WORDS = 50     # of a passage
-#: Groups of so many windows are compared whole where one of them stays open.
-WHOLE = 16
-PAIRS = 256        # compared at once in a task
 HASHES = 4         # a passage pair at 0.8 shares no minimum with probability 0.0016
+#: A window is one number: c, then how far it reaches before and after c, in so many bits each.
+REACH_BITS = 12
 
 
-def wide_nodes(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def wide_nodes(values: np.ndarray, width: int, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(c, l, r) of the Cartesian tree's nodes whose stretch l..r has at least ``width`` places.
 
-    Of equal values the left one is the smaller.  A node is wide exactly when it is the minimum of
+    ``values`` are those of one text, or of many with text d at first[d] to first[d + 1].  Of equal
+    values the left one is the smaller.  A node is wide exactly when it is the minimum of
     some ``width`` places, so sliding minima find the nodes; the nearest smaller places
     of a wide node are wide themselves, so the bounds come from the wide nodes alone.
     """
     n = len(values)
+    first = np.array([0, n]) if first is None else first
     if n < width:
         none = np.zeros(0, np.int64)
         return none, none, none
     # rank by value, then place: no ties, and minima of ranks are minima of values
+    where = np.argsort(values, kind="stable")
     rank = np.empty(n, np.int64)
-    rank[np.argsort(values, kind="stable")] = np.arange(n)
+    rank[where] = np.arange(n)
     size = -(-n // width) * width
     padded = np.full(size, n, np.int64)
     padded[:n] = rank
@@ -49,20 +51,30 @@ def wide_nodes(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray,
     ahead = np.minimum.accumulate(rows, axis=1).ravel()
     behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(behind[:n - width + 1], ahead[width - 1:n])
-    where = np.empty(n, np.int64)
-    where[rank] = np.arange(n)
-    nodes = np.unique(where[least])
-    order = rank[nodes].tolist()
-    left, right = [-1] * len(order), [len(order)] * len(order)
+    inside = np.repeat(first[1:], np.diff(first))[:n - width + 1] >= np.arange(width, n + 1)
+    wide = np.zeros(n, bool)
+    wide[where[least[inside]]] = True
+    nodes = np.flatnonzero(wide)
+    # the ends of texts are smaller than everything
+    edges = np.unique(first)
+    place = np.concatenate([nodes, edges])
+    is_edge = np.concatenate([np.zeros(len(nodes), bool), np.ones(len(edges), bool)])
+    by = np.lexsort((~is_edge, place))
+    place, is_edge = place[by], is_edge[by]
+    order = np.where(is_edge, -1, rank[np.minimum(place, n - 1)]).tolist()
+    left, right = [0] * len(order), [0] * len(order)
     stack: list[int] = []
     for k, value in enumerate(order):
         while stack and order[stack[-1]] > value:
             right[stack.pop()] = k
-        if stack:
-            left[k] = stack[-1]
+        if value < 0:
+            stack = [k]
+            continue
+        left[k] = stack[-1]
         stack.append(k)
-    bounded = np.concatenate([nodes, [n, -1]])  # no smaller place: the ends of the text
-    return nodes, bounded[np.array(left)] + 1, bounded[np.array(right)] - 1
+    before = np.where(is_edge, place, place + 1)
+    node = ~is_edge
+    return nodes, before[np.array(left)][node], place[np.array(right)][node] - 1
 
 
 def _windows(min_words: int):
@@ -72,32 +84,41 @@ def _windows(min_words: int):
         for batch in batches:
             for at, _, texts in each_block(batch, "text"):
                 shingles, first = texts.shingles(WORDS)
-                columns: list[list[np.ndarray]] = [[] for _ in range(5)]
-                for d in np.flatnonzero(np.diff(first) >= width):
-                    own = shingles[first[d]:first[d + 1]]
-                    for f in range(HASHES):
-                        c, low, high = wide_nodes(mix(own + np.uint64(1000003 * (f + 1))), width)
-                        key = mix(own[c] + np.uint64(f))
-                        for column, value in zip(columns, (
-                                np.full(len(c), at + d), key.view(np.int64), c, low, high), strict=True):
-                            column.append(value)
-                if columns[0]:
-                    row, key, *rest = (np.concatenate(c) for c in columns)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(pa.array(row)), pa.array(key),
-                         *(pa.array(x.astype(np.int32)) for x in rest)],
-                        ["doc_id", "key", "c", "l", "r"])
+                rows, keys, places = [], [], []
+                for f in range(HASHES):
+                    c, low, high = wide_nodes(mix(shingles + np.uint64(1000003 * (f + 1))), width, first)
+                    d = np.searchsorted(first, c, "right") - 1
+                    before, after = np.minimum(c - low, width - 1), np.minimum(high - c, width - 1)
+                    rows.append(at + d)
+                    keys.append(mix(shingles[c] + np.uint64(f)).view(np.int64))
+                    places.append(((c - first[d]) << 2 * REACH_BITS) | (before << REACH_BITS) | after)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(keys)),
+                     pa.array(np.concatenate(places))], ["doc_id", "key", "place"])
 
     return run
 
 
+def _c(place: Column) -> Column:
+    return F.shiftright(place, 2 * REACH_BITS)
+
+
+def _before(place: Column) -> Column:
+    return F.shiftright(place, REACH_BITS).bitwiseAND(F.lit((1 << REACH_BITS) - 1))
+
+
+def _after(place: Column) -> Column:
+    return place.bitwiseAND(F.lit((1 << REACH_BITS) - 1))
+
+
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, last, texts in each_block(batch, "text"):
             shingles, first = texts.shingles(WORDS)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").slice(at, last - at),
-                 pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(shingles.view(np.int64)))],
+                 pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(
+                     (shingles & np.uint64(0x7FFFFFFF)).astype(np.int32)))],
                 ["doc_id", "sequence"])
 
 
@@ -206,48 +227,85 @@ def _around(width: int, similarity: float) -> int:
     return int(np.ceil(width / similarity))
 
 
-def _alike(places: np.ndarray, a: np.ndarray, b: np.ndarray, width: int, similarity: float) -> np.ndarray:
-    """For each pair of rows of ``places`` (shingles around c, which is in the middle; -1 outside the
-    text) whether they have a passage in common there.
+def _beside(width: int, missing: int) -> tuple[np.ndarray, int]:
+    """Places on one side of c, and how many of them at least, on one of the sides, are shared by a
+    stretch of ``width`` around c that does not share ``missing``: it reaches half its width there."""
+    half = width // 2
+    far = np.arange(max(half - 2 * missing, 0), half + 1)
+    return far, max(len(far) - missing, 1)
 
-    A stretch of ``width`` around c holds all of the ``missing + 1`` nearest on one side, and no
-    more than ``missing`` of it are not shared, so one of these nearest has to be.
-    """
+
+def _alike(places: np.ndarray, pivot: int, others: np.ndarray, width: int, similarity: float) -> np.ndarray:
+    """For each of the rows ``others`` of ``places`` (marks of the shingles around c, which is in the
+    middle; -1 outside the text) whether it has a passage in common there with the row ``pivot``."""
     need = int(np.ceil(2 * similarity / (1 + similarity) * width - 1e-9))
     middle = places.shape[1] // 2
-    missing = width - need
-    beside = middle + np.concatenate([np.arange(-missing - 1, 0), np.arange(1, missing + 2)])
-    near = np.zeros(len(a), bool)
-    for k in range(0, len(a), PAIRS):
-        own = places[b[k:k + PAIRS]][:, beside]
-        near[k:k + PAIRS] = ((own[:, :, None] == places[a[k:k + PAIRS], None, :]) & (own >= 0)[:, :, None]).any(axis=(1, 2))
-    screened = np.flatnonzero(near)
-    kept, a, b = np.zeros(len(a), bool), a[screened], b[screened]
-    found = np.zeros(len(a), bool)
-    for k in range(0, len(a), PAIRS):
-        own = places[b[k:k + PAIRS], middle - width + 1:middle + width]
-        inside = (own[:, :, None] == places[a[k:k + PAIRS], None, :]).any(axis=2) & (own >= 0)
-        total = np.cumsum(inside, axis=1, dtype=np.int32)
-        total = np.concatenate([np.zeros((len(own), 1), np.int32), total], axis=1)
-        found[k:k + PAIRS] = (total[:, width:] - total[:, :-width]).max(axis=1) >= need
+    own = places[pivot][places[pivot] >= 0]
+    inside = np.isin(places[others, middle - width + 1:middle + width], own)
+    total = np.cumsum(inside, axis=1, dtype=np.int32)
+    total = np.concatenate([np.zeros((len(others), 1), np.int32), total], axis=1)
+    found = (total[:, width:] - total[:, :-width]).max(axis=1) >= need
     for k in np.flatnonzero(found):
-        x, y = (row[row >= 0] for row in (places[a[k]], places[b[k]]))
-        found[k] = bool(common_passages(x, y, width, similarity))
-    kept[screened] = found
-    return kept
+        row = places[others[k]]
+        found[k] = bool(common_passages(own, row[row >= 0], width, similarity))
+    return found
 
 
 def _second_look(width: int, similarity: float):
     """Pairs of alike windows in groups that the first centre left open; rows come by group.
 
-    A small group is compared whole. In a larger one, the smallest open window is compared with
-    all others; it and what is like it are done, until none is open.
+    An open window is linked with all other open ones that are like it, which form its cluster, and
+    with one of each other cluster, which becomes one with its own.  The settled ones are linked by
+    their centre, so they are one cluster.  A window is compared only with windows
+    that share enough marks with it beside c; others cannot be like it.
     """
     side = _around(width, similarity)
+    need = int(np.ceil(2 * similarity / (1 + similarity) * width - 1e-9))
+    far, enough = _beside(width, width - need)
+
+    def linked(places: np.ndarray, doc: np.ndarray, is_open: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        # marks beside c with their row and side
+        marks = places[:, np.concatenate([side - far, side + far])]
+        row, column = np.nonzero(marks >= 0)
+        marks = marks[row, column]
+        order = np.argsort(marks, kind="stable")
+        marks, row = marks[order], (2 * row + column // len(far))[order]
+        cluster = np.where(is_open, -1, 0)  # 0 are the settled ones
+        for pivot in np.flatnonzero(is_open).tolist():
+            if cluster[pivot] >= 0:
+                continue
+            cluster[pivot] = pivot + 1
+            own = np.unique(places[pivot])
+            begin = np.searchsorted(marks, own)
+            size = np.searchsorted(marks, own, "right") - begin
+            hit = row[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            times = np.bincount(hit, minlength=2 * len(doc)).reshape(-1, 2).max(axis=1)
+            others = np.flatnonzero((times >= enough) & (doc != doc[pivot]))
+            fresh = others[cluster[others] < 0]
+            if len(fresh):
+                fresh = fresh[_alike(places, pivot, fresh, width, similarity)]
+                yield pivot, fresh
+            others = others[cluster[others] >= 0]
+            others = others[np.argsort(cluster[others], kind="stable")]
+            cluster[fresh] = pivot + 1
+            joined = [np.array([pivot + 1])]
+            many = 2
+            while len(others):  # the first of each cluster that is like the pivot
+                kinds, start = np.unique(cluster[others], return_index=True)
+                size = np.diff(np.append(start, len(others)))
+                now = np.arange(len(others)) - np.repeat(start, size) < many
+                like = others[now][_alike(places, pivot, others[now], width, similarity)]
+                kinds, at = np.unique(cluster[like], return_index=True)
+                yield pivot, like[at]
+                joined.append(kinds)
+                others = others[~now & ~np.isin(cluster[others], kinds)]
+                many *= 4
+            joined = np.concatenate(joined)
+            if len(joined) > 1:
+                cluster[np.isin(cluster, joined)] = joined.min()
 
     def pairs(group: pa.Table) -> pa.RecordBatch | None:
-        key, doc, c, low, high = (group.column(x).to_numpy() for x in ("key", "doc_id", "c", "l", "r"))
-        settled, small = (group.column(x).to_numpy() for x in ("settled", "small"))
+        key, doc, c, settled = (group.column(x).to_numpy() for x in ("key", "doc_id", "c", "settled"))
         around = group.column("around").combine_chunks()
         size, values = around.value_lengths().to_numpy(), around.flatten().to_numpy()
         row = np.repeat(np.arange(len(key)), size)
@@ -257,35 +315,15 @@ def _second_look(width: int, similarity: float):
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         edges = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
         for start, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            if small[start]:
-                x, y = np.triu_indices(end - start, 1)
-                a.append(start + x)
-                b.append(start + y)
-        a, b = np.concatenate(a), np.concatenate(b)
-        wanted = (doc[a] != doc[b]) & ~(settled[a] & settled[b])
-        a, b = a[wanted], b[wanted]
-        like = _alike(places, a, b, width, similarity)
-        a, b = [a[like]], [b[like]]
-        for start, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            if small[start]:
-                continue
-            # a document that repeats a stretch needs it once
-            once = np.unique(np.column_stack([doc[start:end], places[start:end]]), axis=0, return_index=True)[1]
-            left = start + once
-            left = left[np.lexsort((high[left], low[left], c[left], doc[left]))]
-            while len(left) and doc[left[-1]] != doc[left[0]]:
-                others = left[doc[left] != doc[left[0]]]
-                others = others[_alike(places, np.full(len(others), left[0]), others, width, similarity)]
-                a.append(np.full(len(others), left[0]))
-                b.append(others)
-                left = left[1:][~np.isin(left[1:], others)]
+            order = start + np.lexsort((c[start:end], doc[start:end]))
+            for pivot, others in linked(places[order], doc[order], ~settled[order]):
+                a.append(np.full(len(others), order[pivot]))
+                b.append(order[others])
         a, b = np.concatenate(a), np.concatenate(b)
         if not len(a):
             return None
         a, b = np.where(doc[a] < doc[b], a, b), np.where(doc[a] < doc[b], b, a)
-        ahead = np.minimum(np.maximum(low[a] - c[a], low[b] - c[b]), -side)
-        behind = np.maximum(np.minimum(high[a] - c[a], high[b] - c[b]), side)
-        ends = [np.maximum(c[x] + y, 0).astype(np.int32) for x in (a, b) for y in (ahead, behind)]
+        ends = [np.maximum(c[x] + y, 0) for x in (a, b) for y in (-side, side)]
         return pa.RecordBatch.from_arrays(
             [pa.array(doc[a]), pa.array(doc[b]), *map(pa.array, ends)],
             ["a_doc", "b_doc", "a_low", "a_high", "b_low", "b_high"])
@@ -323,7 +361,8 @@ def _compared(over: DataFrame, sequences: DataFrame, width: int, similarity: flo
     wanted = stored(compared.select(F.col("a_doc").alias("doc_id")).union(compared.select("b_doc")).distinct(), "wanted")
     sequences = join_ids(sequences, wanted, "left_semi")
     for x in "ba":
-        part = F.slice("sequence", F.col(f"{x}_from") + 1, F.col(f"{x}_high") - F.col(f"{x}_from") + 1 + width)
+        part = F.slice("sequence", (F.col(f"{x}_from") + 1).cast("int"),
+                       (F.col(f"{x}_high") - F.col(f"{x}_from") + 1 + width).cast("int"))
         compared = (
             compared.withColumn(f"{x}_from", F.greatest(F.col(f"{x}_low") - width, F.lit(0)))
             .join(sequences.withColumnRenamed("doc_id", f"{x}_doc"), f"{x}_doc")
@@ -352,58 +391,71 @@ def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS, similarity
     Other columns are not used.
 
     Windows whose minimum occurs once in the corpus are dropped by a count that carries only the
-    key.  Of the others, groups that agree in the minimum are stars
-    around their smallest window; members that no passage shared with it covers are compared among themselves,
-    in small groups also with the others; the stretches that a pair of documents may share are merged and only
-    that part of both sequences is compared.
+    key.  Of the others, groups that agree in the minimum are stars around their smallest window.
+    Where a group has members that no passage shared with it covers, its windows with equal
+    surroundings become one, and the open ones are compared with all that may be like them.  The
+    stretches that a pair of documents may share are merged and only that part of both sequences is
+    compared, by 31 bits of each shingle's hash.  No rows give no rows.
     """
     width = min_words - WORDS + 1
+    if width >= 1 << REACH_BITS:
+        raise ValueError(f"passages of {min_words} words or more cannot be told apart")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    windows = stored(own.mapInArrow(
-        _windows(min_words), "doc_id long, key long, c int, l int, r int"), "windows", compression="zstd")
-    shared = windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    windows = stored(own.mapInArrow(_windows(min_words), "doc_id long, key long, place long"), "windows", compression="zstd")
+    shared = windows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where(
+        "low < high").select("key")
     placed = stored(windows.join(shared, "key", "left_semi"), "placed", compression="zstd")
     discard(windows)
-    centre = placed.groupBy("key").agg(
-        F.min(F.struct("doc_id", "c", "l", "r")).alias("m"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where(
-        "last > m.doc_id").select("key", "m", "n")
+    centre = placed.groupBy("key").agg(F.min(F.struct("doc_id", "place")).alias("m"), F.count("*").alias("n"))
     members = placed.join(centre, "key")
-    wanted = stored(members.select("doc_id").distinct(), "wanted")
+    wanted = stored(placed.select("doc_id").distinct(), "wanted")
     sequences = stored(
         join_ids(own, wanted, "left_semi").mapInArrow(
-            _sequences, "doc_id long, sequence array<long>"), "sequences")
+            _sequences, "doc_id long, sequence array<int>"), "sequences")
     # what both windows cover, as seen from their common minimum
-    ahead = F.greatest(F.col("l") - F.col("c"), F.col("m.l") - F.col("m.c"))
-    behind = F.least(F.col("r") - F.col("c"), F.col("m.r") - F.col("m.c"))
-    over = members.where("doc_id <> m.doc_id").where(behind - ahead + 1 >= width).select(
+    own_c, centre_c = _c(F.col("place")), _c(F.col("m.place"))
+    before = F.least(_before(F.col("place")), _before(F.col("m.place")))
+    after = F.least(_after(F.col("place")), _after(F.col("m.place")))
+    over = members.where("doc_id <> m.doc_id").where(before + after + 1 >= width).select(
         F.col("m.doc_id").alias("a_doc"), F.col("doc_id").alias("b_doc"),
-        (F.col("m.c") + ahead).alias("a_low"), (F.col("m.c") + behind).alias("a_high"),
-        (F.col("c") + ahead).alias("b_low"), (F.col("c") + behind).alias("b_high"))
+        (centre_c - before).alias("a_low"), (centre_c + after).alias("a_high"),
+        (own_c - before).alias("b_low"), (own_c + after).alias("b_high"))
     found = _compared(over, sequences, width, similarity)
     # members that no passage shared with their centre covers
     spans = found.groupBy("doc_id", "like_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
     settled = F.coalesce(F.exists("spans", lambda s: (s["start_word"] <= F.col("c")) & (
         F.col("c") + WORDS <= s["end_word"])), F.lit(False))
     others = stored(
-        members.where("n > 2 and not (doc_id = m.doc_id and c = m.c)").withColumn("like_id", F.col("m.doc_id"))
-        .join(spans, ["doc_id", "like_id"], "left").select(
-            "key", "doc_id", "c", "l", "r", settled.alias("settled"), (F.col("n") <= WHOLE).alias("small"))
-        .where("small or not settled"), "others", compression="zstd")
+        members.where("n > 2 and not (doc_id = m.doc_id and place = m.place)").select(
+            "key", "doc_id", _c(F.col("place")).alias("c"), F.col("m.doc_id").alias("like_id"))
+        .join(spans, ["doc_id", "like_id"], "left").select("key", "doc_id", "c", settled.alias("settled")),
+        "others", compression="zstd")
     discard(placed)
+    side = _around(width, similarity)
+    low = F.greatest(F.col("c") - side, F.lit(0))
+    around = F.slice("sequence", (low + 1).cast("int"), (F.col("c") - low + side + 1).cast("int"))
     again = others.groupBy("key").agg(
         F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("settled").alias("all")).where(
         "low < high and not all").select("key")
-    open_rows = stored(others.join(again, "key", "left_semi"), "open", compression="zstd")
-    ids = stored(open_rows.select("doc_id").distinct(), "wanted")
-    side = _around(width, similarity)
-    low = F.greatest(F.col("c") - side, F.lit(0))
-    around = F.transform(F.slice("sequence", low + 1, F.col("c") - low + side + 1),
-                         lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    alike = open_rows.join(join_ids(sequences, ids, "left_semi"), "doc_id").select(
-        "key", "doc_id", "c", "l", "r", "settled", "small", around.alias("around")).repartition("key").sortWithinPartitions(
-        "key").mapInArrow(_second_look(width, similarity),
-                          "a_doc long, b_doc long, a_low int, a_high int, b_low int, b_high int")
-    return _merged(found.union(_compared(alike, sequences, width, similarity)).distinct())
+    left = stored(others.join(again, "key", "left_semi").join(sequences, "doc_id").select(
+        "key", "doc_id", "c", "settled", F.xxhash64(around, F.col("c") - low).alias("mark")), "open", compression="zstd")
+    discard(others)
+    # windows with equal surroundings have the smallest as centre; the others are linked with it
+    kinds = stored(left.groupBy("key", "mark").agg(
+        F.min(F.struct("doc_id", "c")).alias("m"), F.min("settled").alias("settled")), "kinds", compression="zstd")
+    same = left.where("not settled").join(kinds.select("key", "mark", "m"), ["key", "mark"]).where("doc_id <> m.doc_id").select(
+        F.col("m.doc_id").alias("a_doc"), F.col("doc_id").alias("b_doc"),
+        *(x.alias(name) for x, name in (
+            (F.greatest(F.col("m.c") - side, F.lit(0)), "a_low"), (F.col("m.c") + side, "a_high"),
+            (F.greatest(F.col("c") - side, F.lit(0)), "b_low"), (F.col("c") + side, "b_high"))))
+    several = kinds.groupBy("key").agg(
+        F.min("m.doc_id").alias("low"), F.max("m.doc_id").alias("high"), F.min("settled").alias("all")).where(
+        "low < high and not all").select("key")
+    alike = kinds.join(several, "key", "left_semi").select("key", "m.doc_id", "m.c", "settled").join(
+        sequences, "doc_id").select("key", "doc_id", "c", "settled", around.alias("around")).repartition(
+        "key").sortWithinPartitions("key").mapInArrow(
+            _second_look(width, similarity), "a_doc long, b_doc long, a_low long, a_high long, b_low long, b_high long")
+    return _merged(found.union(_compared(same.union(alike), sequences, width, similarity)).distinct())
 
 
 def _merged(found: DataFrame) -> DataFrame:
