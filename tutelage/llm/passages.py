@@ -393,7 +393,7 @@ def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS, similarity
     Windows whose minimum occurs once in the corpus are dropped by a count that carries only the
     key.  Of the others, groups that agree in the minimum are stars around their smallest window.
     Where a group has members that no passage shared with it covers, its windows with equal
-    surroundings become one, and the open ones are compared with all that may be like them.  The
+    surroundings become one, and an open one is linked with one of each cluster that is like it.  The
     stretches that a pair of documents may share are merged and only that part of both sequences is
     compared, by 31 bits of each shingle's hash.  No rows give no rows.
     """
