@@ -1,5 +1,6 @@
 """Files read and written, grading, lint, budgets."""
 
+import hashlib
 import json
 import os
 
@@ -25,6 +26,24 @@ def test_lesson_tree(spark, tmp_path):
     assert found == {"x.PNG": True, "y.txt": False}
 
 
+def test_trees_are_listed_by_tasks(spark, tmp_path):
+    """No index of the files is held by the driver; names stay as they are, hidden ones are skipped."""
+    names = ["a%2Bb.png", "c d+e.SVG", ".hidden.png", "_tmp.png", "plain"]
+    for course, lessons in (("bio", 3), ("x/deep", 2)):
+        for i in range(lessons):
+            base = tmp_path / "root" / course / "Module_1" / f"Lesson_{i} é"
+            os.makedirs(base / "images" / "more")
+            (base / "lesson.md").write_text("x" * (10 + i))
+            for name in names:
+                (base / "images" / name).write_bytes(name.encode())
+            (base / "images" / "more" / "no.png").write_bytes(b"1")
+    found = files.scan_assets(spark, str(tmp_path / "root"))
+    assert found.inputFiles() == []
+    assert sorted((r.course, r.lesson_dir, r.name, r.usable, r.sha256) for r in found.collect()) == sorted(
+        (c, f"Lesson_{i} é", n, "." in n, hashlib.sha256(n.encode()).hexdigest())
+        for c, k in (("bio", 3), ("deep", 2)) for i in range(k) for n in (names[0], names[1], names[4]))
+
+
 def test_lessons_json_multiline(spark, tmp_path):
     doc = {"items": [{"lesson": "a", "definitions": {"t": "d"}, "related_images": [1]},
                      {"lesson": "b", "processes": ["p"]}]}

@@ -14,7 +14,93 @@ from tutelage.operators.ordered import position
 # Fixed value: image types the vision stage accepts.
 IMAGE_TYPES = ["png", "jpg", "jpeg", "gif", "webp", "bmp", "svg"]
 
-_TREE = r"([^/]+)/(Lesson_[^/]+)"
+_STEP = r"([^/]+)/([^/]+)/(Lesson_[^/]+)/"
+
+# Folder levels that are dealt out anew (courses, modules, lessons), and what a task
+# hands over at once.
+LEVELS = 3
+BATCH_FILES, BATCH_BYTES = 1000, 8 << 20
+_ENTRY = "path string, length long, content binary"
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers skip too."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name)
+
+
+def _open_folders(root: str, pattern: str, deep: bool, max_bytes: int | None):
+    """Batches of entries to batches of entries: folders (no length) give what they hold.
+
+    Files whose path does not match are dropped.  The ``deep`` step opens folders to the bottom and
+    reads the files.
+    """
+    def run(batches):
+        import re
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, _ = fs.FileSystem.from_uri(root)
+        wanted = re.compile(pattern)
+        out, held = [], 0
+
+        def found(entries):
+            for e in entries:
+                if _hidden(e.base_name):
+                    continue
+                if e.type == fs.FileType.Directory:
+                    yield e.path, None
+                elif e.is_file and wanted.search(e.path) and (max_bytes is None or e.size <= max_bytes):
+                    yield e.path, e.size
+
+        def opened(path, length):
+            if length is not None:
+                yield path, length
+                return
+            for entry in found(system.get_file_info(fs.FileSelector(path))):
+                if deep and entry[1] is None:
+                    yield from opened(*entry)
+                else:
+                    yield entry
+
+        def content(path):
+            with system.open_input_file(path) as f:
+                return f.read()
+
+        def flushed():
+            columns = zip(*out)
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.binary()))],
+                                   ["path", "length", "content"])
+
+        for batch in batches:
+            for row in batch.select(["path", "length"]).to_pylist():
+                for path, length in opened(row["path"], row["length"]):
+                    out.append((path, length, content(path) if deep else None))
+                    held += length if deep else 0
+                    if len(out) >= BATCH_FILES or held >= BATCH_BYTES:
+                        yield flushed()
+                        out, held = [], 0
+        if out:
+            yield flushed()
+
+    return run
+
+
+def read_files(spark: SparkSession, root: str, pattern: str, max_bytes: int | None = None) -> DataFrame:
+    """Files below ``root`` whose whole path has the ``pattern`` in it, as (path, length, content).
+
+    Tasks list the folders, a level at a time, and read the files, so no list of files passes through
+    the driver.  Files above ``max_bytes`` are left out unread.
+    """
+    from pyarrow import fs
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    entries = spark.createDataFrame([(fs.FileSystem.from_uri(root)[1], None, None)], _ENTRY)
+    for level in range(LEVELS + 1):
+        # a count of its own, or the few bytes of names would be put together into one task
+        entries = entries.repartition(tasks, "path").mapInArrow(
+            _open_folders(root, pattern, level == LEVELS, max_bytes), _ENTRY)
+    return entries
 
 
 def scan_lessons(spark: SparkSession, root: str) -> DataFrame:
@@ -25,7 +111,7 @@ def scan_lessons(spark: SparkSession, root: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "lesson.md").option(
         "recursiveFileLookup", "true").load(root)
-    step = rf"([^/]+)/{_TREE}/lesson\.md$"
+    step = rf"{_STEP}lesson\.md$"
     # file names come URL-encoded
     path = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
     return files.where(F.col("path").rlike(step)).select(
@@ -39,15 +125,13 @@ def scan_lessons(spark: SparkSession, root: str) -> DataFrame:
 
 def scan_assets(spark: SparkSession, root: str) -> DataFrame:
     """Image files of every lesson, with content hash; other types are marked."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    step = rf"([^/]+)/{_TREE}/images/([^/]+)$"
-    path = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
-    ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
-    return files.where(F.col("path").rlike(step)).select(
-        F.regexp_extract(path, step, 1).alias("course"),
-        F.regexp_extract(path, step, 2).alias("dir"),
-        F.regexp_extract(path, step, 3).alias("lesson_dir"),
-        F.regexp_extract(path, step, 4).alias("name"),
+    step = rf"{_STEP}images/([^/]+)$"
+    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    return read_files(spark, root, step).select(
+        F.regexp_extract("path", step, 1).alias("course"),
+        F.regexp_extract("path", step, 2).alias("dir"),
+        F.regexp_extract("path", step, 3).alias("lesson_dir"),
+        F.regexp_extract("path", step, 4).alias("name"),
         ext.alias("ext"), ext.isin(IMAGE_TYPES).alias("usable"),
         F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"),
     )
