@@ -44,6 +44,17 @@ def test_trees_are_listed_by_tasks(spark, tmp_path):
         for c, k in (("bio", 3), ("deep", 2)) for i in range(k) for n in (names[0], names[1], names[4]))
 
 
+def test_large_lessons_are_not_read(spark, tmp_path):
+    for i in range(5):
+        base = tmp_path / "root" / "bio" / "Module_1" / f"Lesson_{i}"
+        os.makedirs(base)
+        (base / "lesson.md").write_text("x" * (10 + i))
+    found = files.scan_lessons(spark, str(tmp_path / "root"), max_bytes=12)
+    assert found.inputFiles() == []
+    assert sorted((r.lesson_dir, r.n_bytes, r.content) for r in found.collect()) == [
+        (f"Lesson_{i}", 10 + i, "x" * (10 + i)) for i in range(3)]
+
+
 def test_lessons_json_multiline(spark, tmp_path):
     doc = {"items": [{"lesson": "a", "definitions": {"t": "d"}, "related_images": [1]},
                      {"lesson": "b", "processes": ["p"]}]}

@@ -103,21 +103,16 @@ def read_files(spark: SparkSession, root: str, pattern: str, max_bytes: int | No
     return entries
 
 
-def scan_lessons(spark: SparkSession, root: str) -> DataFrame:
+def scan_lessons(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
     """Lessons of every course below ``root``: <course>/<module>/Lesson_*/lesson.md.
 
-    The size comes from the file listing, so a size filter reaches the scan and
-    oversized files are never read.
+    The size comes from the file listing, so lessons above ``max_bytes`` are never read.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "lesson.md").option(
-        "recursiveFileLookup", "true").load(root)
     step = rf"{_STEP}lesson\.md$"
-    # file names come URL-encoded
-    path = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
-    return files.where(F.col("path").rlike(step)).select(
-        F.regexp_extract(path, step, 1).alias("course"),
-        F.regexp_extract(path, step, 2).alias("dir"),
-        F.regexp_extract(path, step, 3).alias("lesson_dir"),
+    return read_files(spark, root, step, max_bytes).select(
+        F.regexp_extract("path", step, 1).alias("course"),
+        F.regexp_extract("path", step, 2).alias("dir"),
+        F.regexp_extract("path", step, 3).alias("lesson_dir"),
         F.col("length").alias("n_bytes"),
         F.decode("content", "UTF-8").alias("content"),
     )
