@@ -226,6 +226,17 @@ def test_unseen_questions_equal_anti_join(spark, in_range_parts, parts):
     assert sorted(got) == sorted({(a, i) for a in active for i in order} - {(r[0], r[1]) for r in rows})
 
 
+def test_unseen_list_names_every_question(spark):
+    rng = random.Random(7)
+    rows = [(a, f"q{rng.randrange(12)}", 1, 5, 3) for a in range(1, 6) for _ in range(4)]
+    rows += [(9, f"q{i}", 1, 5, 3) for i in range(12)] + [(10, "elsewhere", 1, 5, 3)]
+    state = study.item_state(attempts(spark, rows))
+    ids = {r.id for r in bank(spark).collect() if r.answer}
+    active = {r[0] for r in rows if r[1] in ids}
+    got = [(r.learner_id, r.id) for r in policy.unseen_list(bank(spark), state).collect()]
+    assert sorted(got) == sorted({(a, i) for a in active for i in ids} - {(r[0], r[1]) for r in rows})
+
+
 def test_policy_order(spark):
     """Due blindspot, then new questions, then due items, then re-verification."""
     now = F.lit(T0 + timedelta(days=30)).cast("timestamp_ntz")
