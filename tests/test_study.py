@@ -292,6 +292,20 @@ def test_weak_units_equal_a_full_listing(spark):
     assert got == want
 
 
+def test_coverage_lists_untouched_units(spark):
+    questions = [(f"k{i}", f"c{i % 2}", f"m{i % 3}", "u", f"t{i % 4}", i, "short", "p", "a", "", "official") for i in range(24)]
+    b = spark.createDataFrame(questions, BANK)
+    items = study.item_state(attempts(spark, [(1, "k0", n, 5, 3) for n in range(4)] + [(1, "k12", 1, 1, 3), (2, "k1", 1, 5, 3)]))
+    got = {(r.learner_id, r.course, r.module, r.unit): (r.questions, r.attempted, r.mastered, r.mastered_pct)
+           for r in reports.coverage(b, items).collect()}
+    units = {(q[1], q[2], q[4]): 2 for q in questions}
+    want = {(who, *u): (n, 0, 0, 0) for who, course in ((1, "c0"), (2, "c1")) for u, n in units.items() if u[0] == course}
+    want[1, "c0", "m0", "t0"] = (2, 2, 1, 50)
+    want[2, "c1", "m1", "t1"] = (2, 1, 0, 0)
+    want[1, "c0", "", "(overall)"], want[2, "c1", "", "(overall)"] = (12, 2, 1, 8), (12, 1, 0, 0)
+    assert got == want
+
+
 def test_percent_truncates(spark):
     row = spark.range(1).select(
         reports.percent(F.lit(2), F.lit(3)).alias("a"), reports.percent(F.lit(0), F.lit(0)).alias("b"))

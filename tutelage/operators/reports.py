@@ -15,6 +15,7 @@ WEAK_UNITS = 5
 BLINDSPOTS_SHOWN = 3
 # A part of a digest's list of blindspots holds at most this many.
 BLINDSPOTS_PER_PART = 1000
+COURSE = ["learner_id", "course"]
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -66,21 +67,19 @@ def _touched(bank: DataFrame, state: DataFrame, units: DataFrame, module: str |
 
 
 def coverage(bank: DataFrame, state: DataFrame, module: str | None = None) -> DataFrame:
-    """Tallies of every unit a learner has touched, and one overall row for each of their courses.
+    """Tallies of every unit of the courses a learner works in, untouched ones with zeros, and one
+    overall row for each of these courses.
 
-    The overall row counts all questions of the course and says how many of its units are untouched;
-    which those are is the course's list of units without the learner's rows.  No learner meets a unit
-    they never touched, so the result is linear in what was attempted.
+    Attempts are reduced to one row per learner and unit before they meet the list of units.
     """
-    units = _units(bank, module)
-    per_unit = _touched(bank, state, units, module)
-    whole = units.groupBy("course").agg(F.sum("questions").alias("questions"), F.count(F.lit(1)).alias("units"))
-    overall = per_unit.groupBy("learner_id", "course").agg(
-        *[F.sum(c).alias(c) for c in ("attempted", "mastered")], F.count(F.lit(1)).alias("touched")).join(whole, "course").select(
-        "learner_id", "course", F.lit("").alias("module"), F.lit("(overall)").alias("unit"), "questions", "attempted", "mastered",
-        (F.col("units") - F.col("touched")).alias("untouched_units"))
-    return per_unit.withColumn("untouched_units", F.lit(0).cast("long")).select(*overall.columns).unionByName(overall).withColumn(
-        "mastered_pct", percent(F.col("mastered"), F.col("questions")))
+    units = stored(_units(bank, module), "units")
+    touched = stored(_touched(bank, state, units, module).drop("questions"), "touched")
+    tallies = ["questions", "attempted", "mastered"]
+    per_unit = touched.select(*COURSE).distinct().join(units, "course").join(
+        touched, [*COURSE, "module", "unit"], "left").fillna(0, tallies).select(*COURSE, "module", "unit", *tallies)
+    overall = per_unit.groupBy(*COURSE).agg(
+        F.lit("").alias("module"), F.lit("(overall)").alias("unit"), *[F.sum(c).alias(c) for c in tallies])
+    return per_unit.unionByName(overall).withColumn("mastered_pct", percent(F.col("mastered"), F.col("questions")))
 
 
 def _placed(items: DataFrame, bank: DataFrame) -> DataFrame:
@@ -89,9 +88,6 @@ def _placed(items: DataFrame, bank: DataFrame) -> DataFrame:
     return items.join(known, "topic", "left").withColumn("course", F.coalesce("course", F.lit("")))
 
 
-COURSE = ["learner_id", "course"]
-
-
 def _blindspots(items: DataFrame, bank: DataFrame) -> DataFrame:
     """Outstanding blindspots of a learner's course in risk order, with the prompt a person recognises."""
     spots = risk_score(_placed(items, bank)).where(
