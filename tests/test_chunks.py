@@ -1,11 +1,17 @@
 """Chunk packing, byte cuts, aids and resume."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from tutelage.functions import text as X
 from tutelage.operators import aids as A
 from tutelage.operators import chunks as C
+from tutelage.plans.chunk_queries import QUERIES
+from tutelage.session import shared_dir
+
+SF = os.environ.get("TUTELAGE_SF", "/root/testdata/sf0.001")
 
 
 def pack(spark, text, budget):
@@ -98,3 +104,13 @@ def test_upsert_replaces_by_id_and_skips_empty(spark, tmp_path):
         got = {r.id: (r.text, r.embedding) for r in table.read().collect()}
         assert got == {**{k: ("old", [1.0]) for k in "bdefgh"}, "a": ("new2", [3.0]), "c": ("new", [4.0])}
     assert C.upsert_vectors(table, rows(("z", "none", [])), 2) == []
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables absent")
+def test_lessons_are_numbered_without_their_texts(spark):
+    """Texts are written once, also where chunks meet the enrichment made of them."""
+    base = os.path.dirname(shared_dir(spark, "x")).removeprefix("file://")
+    before = set(os.listdir(base))
+    assert QUERIES["lesson_documents"](spark, SF).count() > 0
+    made = [n for n in set(os.listdir(base)) - before if "text" in spark.read.parquet(f"{base}/{n}").columns]
+    assert [n.rsplit("-", 1)[0] for n in made] == ["lessons"]

@@ -47,6 +47,12 @@ def _carried(s, d):
     return C.resume_carry(*_fresh_and_prior(s, d))
 
 
+def _with_enrichment(s, d):
+    chunks = fx.chunks(s, d)
+    return C.resume_carry(chunks, fx.enriched_chunks(s, d, chunks).withColumn(
+        "embedding", F.lit(None).cast("array<float>")))
+
+
 def _cards(s, d):
     cards = A.flashcards(fx.enriched_chunks(s, d)).withColumnRenamed("module", "deck")
     placed = position(stored(cards, "cards"), ["deck"], ["lesson_index", "id"], "row")
@@ -110,9 +116,7 @@ QUERIES = {
     "flashcards": lambda s, d: A.flashcards(fx.enriched_chunks(s, d)),
     "deck_guids": lambda s, d: A.deck_guids(_cards(s, d)),
     "study_qa": lambda s, d: A.study_qa(fx.enriched_chunks(s, d)),
-    "lesson_documents": lambda s, d: A.lesson_documents(
-        C.resume_carry(fx.chunks(s, d), fx.enriched_chunks(s, d).withColumn(
-            "embedding", F.lit(None).cast("array<float>")))).select(
+    "lesson_documents": lambda s, d: A.lesson_documents(_with_enrichment(s, d)).select(
         "module", "lesson_index", "section", "part", _md5("markdown").alias("md5"),
         F.length("markdown").alias("chars")),
     "new_documents": lambda s, d: C.new_documents(
