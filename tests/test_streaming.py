@@ -153,6 +153,24 @@ def test_resume_keeps_two_texts_of_one_id_apart(spark, tmp_path):
     assert done.where(F.col("text_hash") == F.sha2(F.lower("output"), 256)).count() == 3
 
 
+def test_resume_deals_rows_once(spark, tmp_path):
+    """A batch comes to the model in the partitions asked for; repeats, null ids and null texts count once."""
+    root, schema, parts = str(tmp_path), "id string, text string", []
+    rows = [("a", "x"), ("a", "x"), ("a", "y"), (None, "x"), (None, "x"), ("b", None), ("+", "x"), (None, None)]
+
+    def model(fresh):
+        parts.append(fresh.rdd.getNumPartitions())
+        return grading.annotate(fresh, "id", "text", lambda: lambda text, attempt: str(text), None)
+
+    stream = spark.readStream.schema(schema).parquet(f"{root}/in/*")
+    for number in range(2):
+        spark.createDataFrame(rows + [("new", str(number))], schema).repartition(3).write.parquet(f"{root}/in/{number}")
+        jobs.run_resume(stream, root, model, parallelism=5)
+    done = sorted((str(r.id), r.output) for r in spark.read.parquet(f"{root}/annotated").collect())
+    assert done == sorted((str(i), str(t)) for i, t in set(rows) | {("new", "0"), ("new", "1")})
+    assert parts == [5, 5]
+
+
 def _upper():
     return lambda text, attempt: text.upper()
 

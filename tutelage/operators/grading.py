@@ -94,14 +94,14 @@ class TransportError(Exception):
 
 def annotate(rows: DataFrame, key: str, text: str,
              make_client: Callable[[], Callable[[str, int], str | None]],
-             parallelism: int, done: Column | None = None) -> DataFrame:
+             parallelism: int | None, done: Column | None = None) -> DataFrame:
     """Score a text column with a user's model, as (key, output, tries, status).
 
     ``make_client`` runs once per partition and returns ``score(text, attempt)``,
     which gives the output or None for an unusable answer; unusable answers are
     asked again up to three times.  A TransportError fails the task at once.
     Rows for which ``done`` holds are left out.  ``parallelism`` caps concurrent
-    clients, because it is the number of partitions.
+    clients, because it is the number of partitions; None leaves the rows as they are dealt.
     """
     schema = T.StructType([rows.schema[key], T.StructField("output", T.StringType()),
                            T.StructField("tries", T.IntegerType()),
@@ -124,4 +124,5 @@ def annotate(rows: DataFrame, key: str, text: str,
                 status=["failed" if o is None else "ok" for o in outputs])
 
     todo = rows if done is None else rows.where(~done)
-    return todo.select(key, text).repartition(parallelism).mapInPandas(run, schema)
+    todo = todo.select(key, text)
+    return (todo.repartition(parallelism) if parallelism else todo).mapInPandas(run, schema)

@@ -46,17 +46,17 @@ def _length_model():
 def _resume(s, d):
     """All chunks are delivered, then delivered again with some texts changed."""
     root = shared_dir(s, "stream-resume")
-    chunks = fx.stored(fx.chunks(s, d).select("id", "idx", "text"))
+    chunks = fx.chunks(s, d, keep=False).select("id", "idx", "text")
     source = s.readStream.schema(chunks.schema).parquet(f"{root}/in/*")
 
     def model(rows):
-        return grading.annotate(rows, "id", "text", lambda: _length_model(), 8)
+        return grading.annotate(rows, "id", "text", lambda: _length_model(), None)
 
     chunks.write.parquet(f"{root}/in/1")
-    jobs.run_resume(source, root, model)
-    chunks.withColumn("text", F.when(F.col("idx") % 3 == 1, F.concat("text", F.lit(" more")))
-                      .otherwise(F.col("text"))).write.parquet(f"{root}/in/2")
-    jobs.run_resume(source, root, model)
+    jobs.run_resume(source, root, model, parallelism=8)
+    s.read.schema(chunks.schema).parquet(f"{root}/in/1").withColumn("text", F.when(
+        F.col("idx") % 3 == 1, F.concat("text", F.lit(" more"))).otherwise(F.col("text"))).write.parquet(f"{root}/in/2")
+    jobs.run_resume(source, root, model, parallelism=8)
     done = s.read.parquet(f"{root}/annotated")
     return done.select("id", "text_hash", F.col("output").cast("int").alias("chars"), "status")
 

@@ -102,26 +102,30 @@ def run_digests(attempts: DataFrame, root: str, now: Column) -> None:
 
 
 def run_resume(chunks: DataFrame, root: str,
-               annotate: Callable[[DataFrame], DataFrame]) -> None:
+               annotate: Callable[[DataFrame], DataFrame], parallelism: int | None = None) -> None:
     """Annotate new and changed chunks only.
 
     A chunk is done when the done-set has its id and the hash of its text, so a restart or a second
     delivery of the same chunks does no model work again.  The done-set is kept in buckets by id:
-    a batch reads and writes those of its own chunks, however much was annotated before.
+    a batch reads and writes those of its own chunks, however much was annotated before.  With
+    ``parallelism``, ``annotate`` gets its rows in so many partitions and need not deal them again.
     """
     spark = chunks.sparkSession
     done = KeyedTable(spark, f"{root}/done", ["id"])
     out = f"{root}/annotated"
+    # the hash (64 characters, or as many blanks) travels inside the id, so two texts of one id stay apart
+    packed = F.concat(F.coalesce("text_hash", F.repeat(F.lit(" "), F.lit(64))),
+                      F.when(F.col("id").isNull(), "-").otherwise(F.concat(F.lit("+"), "id")))
 
     def each(batch: DataFrame, number: int) -> None:
-        todo = batch.withColumn("text_hash", F.sha2("text", 256)).dropDuplicates(["id", "text_hash"])
-        seen = done.read(number, done.touched(todo))
+        # one key that is never null: what is dealt by it for one step lies right for the next
+        todo = batch.withColumn("text_hash", F.sha2("text", 256)).withColumn("id", packed).drop("text_hash")
+        seen = done.read(number, done.touched(batch))
         if seen is not None:
-            todo = without(todo, seen, ["id", "text_hash"])
-        # the hash (64 characters, or as many blanks) travels inside the id, so two texts of one id stay apart
-        packed = F.concat(F.coalesce("text_hash", F.repeat(F.lit(" "), F.lit(64))),
-                          F.when(F.col("id").isNull(), "-").otherwise(F.concat(F.lit("+"), "id")))
-        annotate(todo.withColumn("id", packed).drop("text_hash")).withColumn(
+            todo = todo.join(seen.select(packed.alias("id")), "id", "left_anti")
+        if parallelism:
+            todo = todo.repartition(parallelism, "id")
+        annotate(todo.dropDuplicates(["id"])).withColumn(
             "text_hash", F.nullif(F.substring("id", 1, 64), F.repeat(F.lit(" "), F.lit(64)))).withColumn(
             "id", F.when(F.substring("id", 65, 1) == "+", F.expr("substring(id, 66)"))).write.mode(
             "overwrite").parquet(f"{out}/batch={number}")
