@@ -10,6 +10,7 @@ from tutelage import schemas
 from tutelage.functions import formulas as fm
 from tutelage.functions import numbers as N
 from tutelage.operators import maths as M
+from tutelage.session import stored
 
 
 def values(spark, cases):
@@ -135,3 +136,24 @@ def test_practice_labels(spark):
     assert ("density", "C9(a)") in labels and ("d2", "C9(b)") in labels
     assert ("z", "P10") in labels and not any(r.label.startswith("C") for r in rows
                                               if r.topic == "Zinc")
+
+
+def test_a_draw_is_worked_out_once():
+    """What a draw is made of is bound, not written out again wherever it is used."""
+    v = F.col("v")
+    assert str(M._sample(v, F.lit("k"))).count("md5") == 1
+    assert str(N.exact_text(F.col("x"), F.lit(0))).count("format_number") <= N.EXTRA_DECIMALS + 2
+
+
+@pytest.mark.parametrize("parts", [7])
+def test_practice_is_dealt_to_all_tasks(spark, in_range_parts, parts, monkeypatch):
+    solved = []
+
+    def watched(df, purpose):
+        solved.append(df.rdd.getNumPartitions())
+        return stored(df, purpose)
+
+    monkeypatch.setattr(M, "stored", watched)
+    eqs = catalog(spark, *(equation(id=f"d{i}", name=f"Density {i}") for i in range(9))).coalesce(1)
+    assert M.practice_set(eqs).count() == 9 * 5 + 5
+    assert solved == [3 * parts]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 EXTRA_DECIMALS = 8
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once; inside lambdas Spark finds no common parts itself."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def half_away(x: Column) -> Column:
     """Nearest whole number, halves away from zero."""
     return F.signum(x) * F.floor(F.abs(x) + 0.5)
@@ -31,7 +38,7 @@ def exact_text(value: Column, decimals: Column) -> Column:
 
     # coalesce stops at the first hit, nearly always the declared decimals
     tries = [rounded_text(value, d + k) for k in range(EXTRA_DECIMALS + 1)]
-    return F.coalesce(*[F.when(means_value(t), t) for t in tries], tries[-1])
+    return F.coalesce(*[let(t, lambda x: F.when(means_value(x), x)) for t in tries], tries[-1])
 
 
 def with_unit(text: Column, unit: Column) -> Column:

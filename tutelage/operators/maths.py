@@ -45,13 +45,16 @@ def _value(names: Column, values: Column) -> Column:
 
 def _sample(v: Column, *key: Column | str) -> Column:
     """One reproducible draw inside a variable's range, on its grid or decimals."""
-    raw = v.min + N.uniform(*key, v["name"]) * (v.max - v.min)
-    on_grid = N.half_away(raw / v.step) * v.step
-    on_grid = F.when(on_grid < v.min, on_grid + v.step).otherwise(on_grid)
-    on_grid = F.when(on_grid > v.max, on_grid - v.step).otherwise(on_grid)
     power = F.pow(F.lit(10.0), F.when(F.coalesce(v.decimals, F.lit(0)) == 0, SAMPLE_DECIMALS)
                   .otherwise(v.decimals))
-    return F.when(v.step > 0, on_grid).otherwise(N.half_away(raw * power) / power)
+
+    def on_grid(raw: Column) -> Column:
+        nearest = N.let(raw / v.step, lambda x: N.half_away(x) * v.step)
+        lifted = N.let(nearest, lambda x: F.when(x < v.min, x + v.step).otherwise(x))
+        return N.let(lifted, lambda x: F.when(x > v.max, x - v.step).otherwise(x))
+
+    return N.let(v.min + N.uniform(*key, v["name"]) * (v.max - v.min), lambda raw: F.when(
+        v.step > 0, on_grid(raw)).otherwise(N.let(raw * power, N.half_away) / power))
 
 
 def sample_inputs(assigned: DataFrame, equations: DataFrame, draws: int, seed: int = 1
@@ -129,7 +132,8 @@ def practice_set(equations: DataFrame, seed: int = 1) -> DataFrame:
         return with_samples(numbered, F.lit(str(seed)), F.col("module"), F.col("id"), F.concat(
             F.col("kind").cast("string"), F.lit("."), F.col("slot").cast("string")))
 
-    equations = with_tokens(equations)
+    # a catalog is few bytes and much work: a count of its own, or all of it would go to one task
+    equations = with_tokens(equations).repartition(int(equations.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
     topic_sizes = equations.groupBy("module", "topic").agg(F.count(F.lit(1)).alias("n")).where(
         "n >= 2").select("module", "topic")
     parts = draws(equations.join(topic_sizes, ["module", "topic"], "left_semi"), 2, COMPREHENSIVE)
