@@ -344,6 +344,34 @@ def test_passages_like_one_that_is_settled(spark, size):
     assert all(d // size == e // size for d, e in linked)
 
 
+@pytest.mark.parametrize("edits", [0, 3])
+def test_second_look_meets_windows_in_bulk(monkeypatch, edits):
+    """Families around one shingle; where a stretch is the same its windows are linked without a comparison."""
+    rng = np.random.default_rng(11)
+    around = []
+    for family in range(6):
+        base = rng.integers(0, 1 << 31, 117)
+        for _ in range(15):
+            own = base.copy()
+            own[:25] = rng.integers(0, 1 << 31, 25)
+            own[rng.integers(27, 57, edits)] = rng.integers(0, 1 << 31, edits)
+            own[58] = 7
+            around.append(own.astype(np.int32))
+    n = len(around)
+    by = rng.permutation(n)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.zeros(n, np.int64)), pa.array(np.arange(n)), pa.array(np.full(n, 100)), pa.array(np.zeros(n, bool)),
+         pa.array([around[i] for i in by], pa.list_(pa.int32()))], ["key", "doc_id", "c", "settled", "around"])
+    whole = passages.common_passages
+    want = components(range(n), [(u, v) for u in range(n) for v in range(u) if whole(around[by[u]], around[by[v]], 46, 0.8)])
+    calls = []
+    monkeypatch.setattr(passages, "common_passages", lambda *a: calls.append(1) or whole(*a))
+    links = [p for b in passages._second_look(46, 0.8)(iter([batch])) for p in zip(b["a_doc"].to_pylist(), b["b_doc"].to_pylist())]
+    assert components(range(n), links) == want
+    assert len(set(want.values())) == 6
+    assert edits or not calls
+
+
 def test_wide_nodes_of_many_texts():
     values = RNG.integers(0, 40, 400).astype(np.uint64)
     first = np.array([0, 0, 5, 17, 17, 140, 152, 400, 400])

@@ -9,6 +9,7 @@ equal minima, laid over each other at c, overlap in all passages that they may s
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ MIN_WORDS = 50     # of a passage
 HASHES = 4         # a passage pair at 0.8 shares no minimum with probability 0.0016
 #: A window is one number: c, then how far it reaches before and after c, in so many bits each.
 REACH_BITS = 12
+SLOTS = 1 << 16    # for the marks of one window, by their last bits; the last slot is for no mark
+PAIRS = 1 << 17    # rows of open windows and of their groups that are met at a time
 
 
 def wide_nodes(values: np.ndarray, width: int, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,51 +134,58 @@ def common_passages(a: np.ndarray, b: np.ndarray, width: int, similarity: float)
     alignment (place in a minus place in b, give or take ``width``), and what fails as one
     passage is tried in the parts between its gaps.  Ends are exclusive.
     """
+    a, b = a.tolist(), b.tolist()
     n = len(a)
     if n == 0 or len(b) < width:
         return []
-    order = np.argsort(a, kind="stable")
-    values = a[order]
-    first = np.searchsorted(values, b)
-    free = values[np.minimum(first, n - 1)] == b    # shingles of b that no alignment has used
-    beyond = np.searchsorted(values, b, "right")
-    group = np.searchsorted(values, values)
-    occurrences = group * n + order                 # ascending: by value, then place
-
-    def nearest(hit: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Place in a of each shingle of b, the occurrence nearest to the wanted place."""
-        above = np.searchsorted(occurrences, first[hit] * n + np.clip(wanted, 0, n - 1))
-        below = np.maximum(above - 1, first[hit])
-        above = np.minimum(above, beyond[hit] - 1)
-        return np.where(np.abs(order[above] - wanted) < np.abs(order[below] - wanted), order[above], order[below])
-
+    places: dict[int, list[int]] = {}
+    for place, value in enumerate(a):
+        places.setdefault(value, []).append(place)
+    known = [places.get(value) for value in b]
+    free = [x is not None for x in known]       # shingles of b that no alignment has used
     need = int(np.ceil(2 * similarity / (1 + similarity) * width - 1e-9))
     out = []
     begin = 0
     while True:
-        total = np.concatenate([[0], np.cumsum(free[begin:])])
-        good = np.flatnonzero(total[width:] - total[:-width] >= need) if len(total) > width else total[:0]
-        if not len(good):
+        # the first stretches that share enough, as far as they lie at most their width apart
+        inside, good, last = sum(free[begin:begin + width]), None, 0
+        for start in range(begin, len(b) - width + 1):
+            if inside >= need:
+                good, last = start if good is None else good, start
+            elif good is not None and start - last >= width:
+                break
+            if start + width < len(b):
+                inside += free[start + width] - free[start]
+        if good is None:
             return out
-        good = good + begin
-        breaks = np.flatnonzero(np.diff(good) > width)
-        begin, end = int(good[0]), int(good[breaks[0] if len(breaks) else -1]) + width
-        hit = begin + np.flatnonzero(free[begin:end])
-        head = hit[:np.searchsorted(hit, begin + width)]
-        counts = beyond[head] - first[head]
-        start = np.repeat(first[head] - np.cumsum(counts) + counts, counts)
-        offsets = np.sort(order[start + np.arange(counts.sum())] - np.repeat(head, counts))
-        last = np.searchsorted(offsets, offsets + width // 4, "right")
-        most = int(np.argmax(last - np.arange(len(offsets))))
-        offset = int(offsets[(most + last[most]) // 2])
-        places = nearest(hit, hit + offset)
-        aligned = np.abs(places - hit - offset) <= width
-        free[hit[aligned]] = False
-        free[head[0]] = False
-        out += _parts(a, b, hit[aligned], places[aligned], need, similarity)
-
-
-def _parts(a: np.ndarray, b: np.ndarray, hit: np.ndarray, places: np.ndarray, need: int,
+        begin, end = good, last + width
+        hit = [k for k in range(begin, end) if free[k]]
+        head = bisect_left(hit, begin + width)
+        offsets = np.array([x - k for k in hit[:head] for x in known[k]])
+        offsets.sort()
+        beyond = np.searchsorted(offsets, offsets + width // 4, "right")
+        most = int(np.argmax(beyond - np.arange(len(offsets))))
+        offset = int(offsets[(most + beyond[most]) // 2])
+        own, other = [], []
+        for k in hit:
+            place = known[k][0] if len(known[k]) == 1 else _nearest(known[k], k + offset)
+            if abs(place - k - offset) <= width:
+                own.append(k)
+                other.append(place)
+                free[k] = False
+        free[hit[0]] = False
+        out += _parts(a, b, own, other, need, similarity)
+
+
+def _nearest(places: list[int], wanted: int) -> int:
+    """The one of the ascending places nearest to the wanted one, the lower of two as near."""
+    above = bisect_left(places, wanted)
+    if above == 0 or (above < len(places) and places[above] - wanted < wanted - places[above - 1]):
+        return places[above]
+    return places[above - 1]
+
+
+def _parts(a: list[int], b: list[int], hit: list[int], places: list[int], need: int,
            similarity: float) -> list[tuple[int, int, int, int, float]]:
     """The aligned shingles as one passage if that is similar enough, else the parts between
     their widest gaps, down to the fewest shingles a passage can share."""
@@ -185,16 +195,17 @@ def _parts(a: np.ndarray, b: np.ndarray, hit: np.ndarray, places: np.ndarray, ne
         if high - low < need:
             continue
         own, other = hit[low:high], places[low:high]
-        a_start, a_end, start, end = int(other.min()), int(other.max()) + 1, int(own[0]), int(own[-1]) + 1
-        left, right = set(a[a_start:a_end].tolist()), set(b[start:end].tolist())
-        like = len(left & right) / len(left | right)
+        a_start, a_end, start, end = min(other), max(other) + 1, own[0], own[-1] + 1
+        left, right = set(a[a_start:a_end]), set(b[start:end])
+        shared = len(left & right)
+        like = shared / (len(left) + len(right) - shared)
         if like >= similarity:
             out.append((a_start, a_end, start, end, like))
             continue
-        gaps = np.maximum(np.diff(own), np.abs(np.diff(other)))
-        widest = int(gaps.max())
+        gaps = [max(v - u, abs(y - x)) for u, v, x, y in zip(own, own[1:], other, other[1:])]
+        widest = max(gaps)
         if widest > 1:
-            cuts = [low, *(low + 1 + np.flatnonzero(gaps >= max(2, widest // 2))).tolist(), high]
+            cuts = [low, *(low + k for k, gap in enumerate(gaps, 1) if gap >= max(2, widest // 2)), high]
             todo += list(zip(cuts, cuts[1:]))
     return sorted(out, key=lambda p: p[2])
 
@@ -235,93 +246,120 @@ def _beside(width: int, missing: int) -> tuple[np.ndarray, int]:
     return far, max(len(far) - missing, 1)
 
 
-def _alike(places: np.ndarray, pivot: int, others: np.ndarray, width: int, similarity: float) -> np.ndarray:
-    """For each of the rows ``others`` of ``places`` (marks of the shingles around c, which is in the
-    middle; -1 outside the text) whether it has a passage in common there with the row ``pivot``."""
-    need = int(np.ceil(2 * similarity / (1 + similarity) * width - 1e-9))
-    middle = places.shape[1] // 2
-    own = places[pivot][places[pivot] >= 0]
-    inside = np.isin(places[others, middle - width + 1:middle + width], own)
-    total = np.cumsum(inside, axis=1, dtype=np.int32)
-    total = np.concatenate([np.zeros((len(others), 1), np.int32), total], axis=1)
-    found = (total[:, width:] - total[:, :-width]).max(axis=1) >= need
-    for k in np.flatnonzero(found):
-        row = places[others[k]]
-        found[k] = bool(common_passages(own, row[row >= 0], width, similarity))
-    return found
-
-
 def _second_look(width: int, similarity: float):
     """Pairs of alike windows in groups that the first centre left open; rows come by group.
 
     An open window is linked with all other open ones that are like it, which form its cluster, and
     with one of each other cluster, which becomes one with its own.  The settled ones are linked by
     their centre, so they are one cluster.  A window is compared only with windows
-    that share enough marks with it beside c; others cannot be like it.
+    that share enough marks with it beside c, and then enough around c; others cannot be like it.
     """
     side = _around(width, similarity)
     need = int(np.ceil(2 * similarity / (1 + similarity) * width - 1e-9))
     far, enough = _beside(width, width - need)
 
-    def linked(places: np.ndarray, doc: np.ndarray, is_open: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def candidates(places: np.ndarray, group: np.ndarray, doc: np.ndarray, is_open: np.ndarray, cluster: np.ndarray
+                   ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(pivots, others) that share enough marks beside c, for the open rows in order that are in
+        no cluster when their turn comes; so many at a time as make ``PAIRS`` pairs of rows."""
+        first = np.searchsorted(group, group)
+        size = np.searchsorted(group, group, "right") - first
         # marks beside c with their row and side
         marks = places[:, np.concatenate([side - far, side + far])]
         row, column = np.nonzero(marks >= 0)
-        marks = marks[row, column]
+        marks = group[row] << 32 | marks[row, column]
         order = np.argsort(marks, kind="stable")
-        marks, row = marks[order], (2 * row + column // len(far))[order]
-        cluster = np.where(is_open, -1, 0)  # 0 are the settled ones
-        for pivot in np.flatnonzero(is_open).tolist():
-            if cluster[pivot] >= 0:
+        row = (2 * row + column // len(far))[order]
+        marks, where, many = np.unique(marks[order], return_index=True, return_counts=True)
+        turns = np.flatnonzero(is_open)
+        done = np.cumsum(size[turns])
+        at = 0
+        while at < len(turns) and len(marks):
+            upto = max(int(np.searchsorted(done, (done[at - 1] if at else 0) + PAIRS, "right")), at + 1)
+            now = turns[at:upto]
+            at = upto
+            now = now[cluster[now] < 0]
+            if not len(now):
                 continue
-            cluster[pivot] = pivot + 1
-            own = np.unique(places[pivot])
-            begin = np.searchsorted(marks, own)
-            size = np.searchsorted(marks, own, "right") - begin
-            hit = row[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
-            times = np.bincount(hit, minlength=2 * len(doc)).reshape(-1, 2).max(axis=1)
-            others = np.flatnonzero((times >= enough) & (doc != doc[pivot]))
-            fresh = others[cluster[others] < 0]
-            if len(fresh):
-                fresh = fresh[_alike(places, pivot, fresh, width, similarity)]
-                yield pivot, fresh
-            others = others[cluster[others] >= 0]
-            others = others[np.argsort(cluster[others], kind="stable")]
-            cluster[fresh] = pivot + 1
-            joined = [np.array([pivot + 1])]
-            many = 2
-            while len(others):  # the first of each cluster that is like the pivot
-                kinds, start = np.unique(cluster[others], return_index=True)
-                size = np.diff(np.append(start, len(others)))
-                now = np.arange(len(others)) - np.repeat(start, size) < many
-                like = others[now][_alike(places, pivot, others[now], width, similarity)]
-                kinds, at = np.unique(cluster[like], return_index=True)
-                yield pivot, like[at]
-                joined.append(kinds)
-                others = others[~now & ~np.isin(cluster[others], kinds)]
-                many *= 4
-            joined = np.concatenate(joined)
-            if len(joined) > 1:
-                cluster[np.isin(cluster, joined)] = joined.min()
-
-    def pairs(group: pa.Table) -> pa.RecordBatch | None:
-        key, doc, c, settled = (group.column(x).to_numpy() for x in ("key", "doc_id", "c", "settled"))
-        around = group.column("around").combine_chunks()
+            own = np.sort(places[now], axis=1)
+            mine, column = np.nonzero((own >= 0) & np.concatenate([np.ones((len(now), 1), bool), own[:, 1:] != own[:, :-1]], axis=1))
+            own = group[now][mine] << 32 | own[mine, column]
+            found = np.minimum(np.searchsorted(marks, own), len(marks) - 1)
+            known = np.flatnonzero(marks[found] == own)
+            mine, begin, times = mine[known], where[found[known]], many[found[known]]
+            hit = row[np.repeat(begin - np.cumsum(times) + times, times) + np.arange(times.sum())]
+            # a counter for each pivot, each row of its group and each side
+            base = np.cumsum(size[now]) - size[now]
+            shared = np.bincount(hit + np.repeat(2 * (base - first[now])[mine], times), minlength=2 * int(size[now].sum()))
+            met = np.flatnonzero(shared.reshape(-1, 2).max(axis=1) >= enough)
+            mine = np.searchsorted(base, met, "right") - 1
+            others = met - base[mine] + first[now][mine]
+            apart = doc[others] != doc[now][mine]
+            yield now[mine[apart]], others[apart]
+
+    def near(slots: np.ndarray, pivot: int, others: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """Those of ``others`` with so many marks of the pivot in a stretch around c that they may be like it."""
+        seen[slots[pivot]] = True
+        seen[-1] = False
+        inside = seen[slots[others, side - width + 1:side + width]].view(np.int8)
+        seen[slots[pivot]] = False
+        some = np.flatnonzero(inside.sum(axis=1, dtype=np.int16) >= need)
+        total = np.zeros((len(some), 2 * width), np.int16)
+        np.cumsum(inside[some], axis=1, dtype=np.int16, out=total[:, 1:])
+        return others[some[(total[:, width:] - total[:, :-width] >= need).any(axis=1)]]
+
+    def alike(places: np.ndarray, pivot: int, other: int) -> bool:
+        a, b = places[pivot], places[other]
+        same = (a == b) & (a >= 0)
+        before, after = same[:side + 1][::-1], same[side:]
+        run = (side + 1 if before.all() else int(before.argmin())) + (side + 1 if after.all() else int(after.argmin())) - 1
+        return run >= width or bool(common_passages(a[a >= 0], b[b >= 0], width, similarity))
+
+    def linked(places: np.ndarray, group: np.ndarray, doc: np.ndarray, is_open: np.ndarray, seen: np.ndarray) -> Iterator[tuple[int, int]]:
+        cluster = np.where(is_open, -1, len(doc) + group)   # a pivot each; the settled ones of a group are one
+        members: dict[int, list[int]] = {}                  # the open ones
+        slots = np.where(places < 0, SLOTS, places & (SLOTS - 1)).astype(np.intp)
+        for pivots, others in candidates(places, group, doc, is_open, cluster):
+            starts = np.flatnonzero(np.diff(pivots, prepend=-1)).tolist()
+            for start, end in zip(starts, [*starts[1:], len(pivots)]):
+                pivot = int(pivots[start])
+                if cluster[pivot] >= 0:
+                    continue
+                joined, fresh, rest, many = {pivot}, [], others[start:end], 32
+                while len(rest):
+                    for other in near(slots, pivot, rest[:many], seen).tolist():
+                        # the first of each cluster that is like the pivot
+                        kind = int(cluster[other])
+                        if kind not in joined and alike(places, pivot, other):
+                            yield pivot, other
+                            if kind < 0:
+                                fresh.append(other)
+                            else:
+                                joined.add(kind)
+                    rest = rest[many:]
+                    if len(rest) and len(joined) > 1:
+                        rest = rest[~np.isin(cluster[rest], list(joined))]
+                    many *= 4
+                to = max(joined)
+                for kind in joined - {to}:
+                    members.setdefault(to, []).extend(members.pop(kind, []))
+                members.setdefault(to, []).extend([pivot, *fresh])
+                cluster[members[to] if len(joined) > 1 else [pivot, *fresh]] = to
+
+    def pairs(table: pa.Table, seen: np.ndarray) -> pa.RecordBatch | None:
+        key, doc, c, settled = (table.column(x).to_numpy() for x in ("key", "doc_id", "c", "settled"))
+        around = table.column("around").combine_chunks()
         size, values = around.value_lengths().to_numpy(), around.flatten().to_numpy()
         row = np.repeat(np.arange(len(key)), size)
         column = np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(side - np.minimum(c, side), size)
         places = np.full((len(key), 2 * side + 1), -1, np.int32)
         places[row, column] = values
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-        for start, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            order = start + np.lexsort((c[start:end], doc[start:end]))
-            for pivot, others in linked(places[order], doc[order], ~settled[order]):
-                a.append(np.full(len(others), order[pivot]))
-                b.append(order[others])
-        a, b = np.concatenate(a), np.concatenate(b)
-        if not len(a):
+        group = np.cumsum(np.diff(key, prepend=key[:1]) != 0)
+        order = np.lexsort((c, doc, group))
+        found = list(linked(places[order], group, doc[order], ~settled[order], seen))
+        if not found:
             return None
+        a, b = order[np.array(found)].T
         a, b = np.where(doc[a] < doc[b], a, b), np.where(doc[a] < doc[b], b, a)
         ends = [np.maximum(c[x] + y, 0) for x in (a, b) for y in (-side, side)]
         return pa.RecordBatch.from_arrays(
@@ -345,8 +383,9 @@ def _second_look(width: int, similarity: float):
             yield pa.Table.from_batches(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SLOTS + 1, bool)
         for group in groups(batches):
-            out = pairs(group)
+            out = pairs(group, seen)
             if out is not None:
                 yield out
 
