@@ -145,6 +145,16 @@ def test_a_draw_is_worked_out_once():
     assert str(N.exact_text(F.col("x"), F.lit(0))).count("format_number") <= N.EXTRA_DECIMALS + 2
 
 
+@pytest.mark.parametrize("parts", [7])
+def test_problems_are_dealt_to_all_tasks_and_solved_once(spark, in_range_parts, parts):
+    eqs = catalog(spark, *(equation(id=f"d{i}", name=f"Density {i}") for i in range(9))).coalesce(1)
+    who = spark.createDataFrame([(1, f"d{i}") for i in range(9)], "learner_id int, equation_id string").coalesce(1)
+    problems = M.generate_problems(M.sample_inputs(who, eqs, 2))
+    assert problems.rdd.getNumPartitions() == parts
+    assert problems._jdf.queryExecution().optimizedPlan().toString().count("division by zero") == 1
+    assert problems.count() == 18
+
+
 @pytest.mark.parametrize("parts", [7])
 def test_practice_is_dealt_to_all_tasks(spark, in_range_parts, parts, monkeypatch):
     solved = []

@@ -9,7 +9,7 @@ from tutelage.functions import numbers as N
 from tutelage.functions import text as X
 from tutelage.functions.formulas import value_of, with_tokens
 from tutelage.operators.ordered import running_sum
-from tutelage.session import stored
+from tutelage.session import dealt, stored
 
 # Fixed values.
 RELATIVE_TOLERANCE = 0.005
@@ -63,7 +63,8 @@ def sample_inputs(assigned: DataFrame, equations: DataFrame, draws: int, seed: i
 
     A draw depends only on its key, so any partitioning gives the same numbers.
     """
-    posed = assigned.join(with_tokens(equations).withColumnRenamed("id", "equation_id"), "equation_id")
+    catalog = with_tokens(equations).withColumnRenamed("id", "equation_id")
+    posed = dealt(assigned, "equation_id").join(dealt(catalog, "equation_id"), "equation_id")
     drawn = posed.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     return with_samples(drawn, F.lit(str(seed)), F.col("learner_id").cast("string"),
                         F.col("equation_id"), F.col("draw").cast("string"))
@@ -86,7 +87,10 @@ def generate_problems(samples: DataFrame) -> DataFrame:
 
     Rows whose formula does not compute are left out.
     """
-    solved = eval_formulas(samples).where(F.col("error").isNull())
+    # a filter would be pushed below the draws and work out all of them, and the formula, a second time
+    results = F.filter(F.array(_value(F.col("names"), F.col("values"))), lambda r: r.error.isNull())
+    rows = with_tokens(samples)
+    solved = rows.select("*", F.explode(results).alias("_r")).select(*rows.columns, "_r.value")
     pairs = F.zip_with("vars", "values", lambda v, x: F.struct(
         v["name"].alias("name"), F.coalesce(F.nullif(v.symbol, F.lit("")), v["name"]).alias("symbol"),
         v.unit.alias("unit"), _is_constant(v).alias("fixed"), _shown(v, x).alias("shown")))
@@ -115,9 +119,9 @@ def generate_problems(samples: DataFrame) -> DataFrame:
     steps = F.array(
         F.when(has_source, F.col("source")).otherwise(F.concat(lhs, eq, "expr")),
         F.concat(lhs, eq, X.strip(F.replace(filled, F.lit("*"), F.lit("×")))),
-        F.concat(lhs, eq, answer))
+        F.concat(lhs, eq, "answer_text"))
     return rows.withColumn("question", question).withColumn(
-        "answer_text", answer).withColumn("steps", steps).drop("p", "error", "read")
+        "answer_text", answer).withColumn("steps", steps).drop("p", "read")
 
 
 def practice_set(equations: DataFrame, seed: int = 1) -> DataFrame:
@@ -132,19 +136,18 @@ def practice_set(equations: DataFrame, seed: int = 1) -> DataFrame:
         return with_samples(numbered, F.lit(str(seed)), F.col("module"), F.col("id"), F.concat(
             F.col("kind").cast("string"), F.lit("."), F.col("slot").cast("string")))
 
-    # a catalog is few bytes and much work: a count of its own, or all of it would go to one task
-    equations = with_tokens(equations).repartition(int(equations.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    equations = dealt(with_tokens(equations), "id")
     topic_sizes = equations.groupBy("module", "topic").agg(F.count(F.lit(1)).alias("n")).where(
         "n >= 2").select("module", "topic")
     parts = draws(equations.join(topic_sizes, ["module", "topic"], "left_semi"), 2, COMPREHENSIVE)
-    singles = draws(equations, 0, WORKED).unionByName(draws(equations, 1, PRACTICE))
+    singles = generate_problems(draws(equations, 0, WORKED)).unionByName(generate_problems(draws(equations, 1, PRACTICE)))
     by_name = Window.partitionBy("module", "topic", "slot").orderBy("name", "id")
     keep = ["module", "topic", "name", "id", "kind", "slot", "question", "answer_text", "steps"]
     multi = (
         generate_problems(parts).select(*keep)
         .withColumn("part", F.row_number().over(by_name)).where(F.col("part") <= MAX_PARTS)
     )
-    rows = generate_problems(singles).select(*keep).withColumn("part", F.lit(0)).unionByName(multi)
+    rows = singles.select(*keep).withColumn("part", F.lit(0)).unionByName(multi)
     # solved once: the numbering below reads the problems more than once
     rows = stored(rows, "problems")
     counted = (F.col("kind") == 1) | ((F.col("kind") == 2) & (F.col("part") == 1))
