@@ -26,7 +26,7 @@ MIN_WORDS = 50     # of a passage
 HASHES = 4         # a passage pair at 0.8 shares no minimum with probability 0.0016
 #: A window is one number: c, then how far it reaches before and after c, in so many bits each.
 REACH_BITS = 12
-SLOTS = 1 << 16    # for the marks of one window, by their last bits; the last slot is for no mark
+SLOT_BITS = 16     # a slot for the first bits of a mark, of 31; one more, the last, is for no mark (-1)
 PAIRS = 1 << 17    # rows of open windows and of their groups that are met at a time
 
 
@@ -297,12 +297,13 @@ def _second_look(width: int, similarity: float):
             apart = doc[others] != doc[now][mine]
             yield now[mine[apart]], others[apart]
 
-    def near(slots: np.ndarray, pivot: int, others: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    def near(places: np.ndarray, pivot: int, others: np.ndarray, seen: np.ndarray) -> np.ndarray:
         """Those of ``others`` with so many marks of the pivot in a stretch around c that they may be like it."""
-        seen[slots[pivot]] = True
+        own = places[pivot] >> 31 - SLOT_BITS
+        seen[own] = True
         seen[-1] = False
-        inside = seen[slots[others, side - width + 1:side + width]].view(np.int8)
-        seen[slots[pivot]] = False
+        inside = seen[places[others, side - width + 1:side + width] >> 31 - SLOT_BITS].view(np.int8)
+        seen[own] = False
         some = np.flatnonzero(inside.sum(axis=1, dtype=np.int16) >= need)
         total = np.zeros((len(some), 2 * width), np.int16)
         np.cumsum(inside[some], axis=1, dtype=np.int16, out=total[:, 1:])
@@ -318,7 +319,6 @@ def _second_look(width: int, similarity: float):
     def linked(places: np.ndarray, group: np.ndarray, doc: np.ndarray, is_open: np.ndarray, seen: np.ndarray) -> Iterator[tuple[int, int]]:
         cluster = np.where(is_open, -1, len(doc) + group)   # a pivot each; the settled ones of a group are one
         members: dict[int, list[int]] = {}                  # the open ones
-        slots = np.where(places < 0, SLOTS, places & (SLOTS - 1)).astype(np.intp)
         for pivots, others in candidates(places, group, doc, is_open, cluster):
             starts = np.flatnonzero(np.diff(pivots, prepend=-1)).tolist()
             for start, end in zip(starts, [*starts[1:], len(pivots)]):
@@ -327,7 +327,7 @@ def _second_look(width: int, similarity: float):
                     continue
                 joined, fresh, rest, many = {pivot}, [], others[start:end], 32
                 while len(rest):
-                    for other in near(slots, pivot, rest[:many], seen).tolist():
+                    for other in near(places, pivot, rest[:many], seen).tolist():
                         # the first of each cluster that is like the pivot
                         kind = int(cluster[other])
                         if kind not in joined and alike(places, pivot, other):
@@ -383,7 +383,7 @@ def _second_look(width: int, similarity: float):
             yield pa.Table.from_batches(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SLOTS + 1, bool)
+        seen = np.zeros((1 << SLOT_BITS) + 1, bool)
         for group in groups(batches):
             out = pairs(group, seen)
             if out is not None:
