@@ -372,6 +372,72 @@ def test_second_look_meets_windows_in_bulk(monkeypatch, edits):
     assert edits or not calls
 
 
+def test_windows_inside_a_run_are_its_ends():
+    # "the" 300 times between other words: a run's windows are those of its first and last wide place
+    text = " ".join([*(f"a{k}" for k in range(60)), *["the"] * 300, *(f"b{k}" for k in range(60))])
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})
+    out = [b for b in passages._windows(50)(iter([batch]))]
+    places = np.concatenate([b["place"].to_numpy() for b in out]) >> 2 * passages.REACH_BITS
+    run = places[(places >= 60) & (places <= 355)]
+    assert 60 in run and 2 <= len(run) <= 2 * passages.HASHES
+    again = np.array([False, False, True, True, True, True, False, True])
+    assert passages.run_ends(np.array([0, 1, 2, 3, 4, 6, 7]), again).tolist() == [True, True, False, False, True, True, True]
+
+
+@pytest.mark.parametrize("tail", [30, 60])
+def test_passages_that_begin_in_runs_of_different_length(spark, tail):
+    # a run and the words after it, or before it, repeat; the runs are of different length
+    rng = np.random.default_rng(tail)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 60, n)]
+    texts, families = [], 20
+    for k in range(families):
+        own = fresh(tail)
+        for size in (60, 400, 25, 180):
+            run = [f"the{k}"] * size
+            texts.append([*fresh(70), *run, *own, *fresh(70)] if k % 2 else [*fresh(70), *own, *run, *fresh(70)])
+    found = passages.repeated_passages(
+        spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    linked = {(r.doc_id, r.like_id) for r in found}
+    assert all(d // 4 == e // 4 for d, e in linked)
+    of = components(range(len(texts)), linked)
+    assert all(len({of[4 * k + j] for j in range(4)}) == 1 for k in range(families))
+
+
+def test_second_look_at_a_common_phrase(monkeypatch):
+    """Windows that share a phrase around c and nothing else are not met, however many they are."""
+    rng = np.random.default_rng(12)
+    n = 3000
+    around = rng.integers(0, 1 << 31, (n, 117)).astype(np.int32)
+    around[:, 50:67] = np.arange(17)
+    around[n - 1, 20:100] = around[5, 20:100]
+    met = []
+    whole = np.unique
+    monkeypatch.setattr(np, "unique", lambda x, **k: met.append(0 if k else len(x)) or whole(x, **k))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.zeros(n, np.int64)), pa.array(np.arange(n)), pa.array(np.full(n, 100)), pa.array(np.zeros(n, bool)),
+         pa.array(list(around), pa.list_(pa.int32()))], ["key", "doc_id", "c", "settled", "around"])
+    links = [p for b in passages._second_look(46, 0.8)(iter([batch])) for p in zip(b["a_doc"].to_pylist(), b["b_doc"].to_pylist())]
+    assert links == [(5, n - 1)]
+    assert 0 < sum(met) < 40 * n
+
+
+def test_pairs_that_share_too_little_are_not_compared():
+    rng = np.random.default_rng(13)
+    pairs = []
+    for _ in range(300):
+        a = rng.integers(0, 1 << 31, rng.integers(0, 150))
+        b = rng.integers(0, 1 << 31, rng.integers(0, 150))
+        if len(a) and len(b):
+            size = int(rng.integers(0, min(len(a), len(b)) + 1))
+            b[len(b) - size:] = a[:size]
+        pairs.append((a, b))
+    sizes = [np.array([len(p[k]) for p in pairs]) for k in range(2)]
+    may = passages.may_share(np.concatenate([p[0] for p in pairs]), sizes[0], np.concatenate([p[1] for p in pairs]), sizes[1], 46, 0.8)
+    has = np.array([bool(passages.common_passages(a, b, 46, 0.8)) for a, b in pairs])
+    assert not (has & ~may).any()
+    assert has.sum() and (~may).sum() > 50
+
+
 def test_wide_nodes_of_many_texts():
     values = RNG.integers(0, 40, 400).astype(np.uint64)
     first = np.array([0, 0, 5, 17, 17, 140, 152, 400, 400])

@@ -27,7 +27,9 @@ HASHES = 4         # a passage pair at 0.8 shares no minimum with probability 0.
 #: A window is one number: c, then how far it reaches before and after c, in so many bits each.
 REACH_BITS = 12
 SLOT_BITS = 16     # a slot for the first bits of a mark, of 31; one more, the last, is for no mark (-1)
-PAIRS = 1 << 17    # rows of open windows and of their groups that are met at a time
+PAIRS = 1 << 17    # meetings of open windows and others of their groups, by a mark, that are looked at at a time
+ROWS = 1 << 10     # pairs of sequences that are compared at a time
+TURNS = 1 << 8     # open windows whose marks are searched at a time
 
 
 def wide_nodes(values: np.ndarray, width: int, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,6 +82,16 @@ def wide_nodes(values: np.ndarray, width: int, first: np.ndarray | None = None)
     return nodes, before[np.array(left)][node], place[np.array(right)][node] - 1
 
 
+def run_ends(c: np.ndarray, again: np.ndarray) -> np.ndarray:
+    """Which of the ascending nodes are not inside a run of one shingle; ``again`` marks places that
+    repeat the one before.  A stretch from inside a run holds the same set of shingles as the stretch
+    from the run's first place, which is a node too; the last node lines up what follows the run."""
+    inner = again[c]
+    inner[:-1] &= again[c[1:]] & (c[1:] == c[:-1] + 1)
+    inner[-1:] = False
+    return ~inner
+
+
 def _windows(min_words: int):
     width = min_words - WORDS + 1
 
@@ -87,9 +99,14 @@ def _windows(min_words: int):
         for batch in batches:
             for at, _, texts in each_block(batch, "text"):
                 shingles, first = texts.shingles(WORDS)
+                again = np.zeros(len(shingles), bool)
+                again[1:] = shingles[1:] == shingles[:-1]
+                again[first[:-1][np.diff(first) > 0]] = False
                 rows, keys, places = [], [], []
                 for f in range(HASHES):
-                    c, low, high = wide_nodes(mix(shingles + np.uint64(1000003 * (f + 1))), width, first)
+                    nodes = wide_nodes(mix(shingles + np.uint64(1000003 * (f + 1))), width, first)
+                    ends = run_ends(nodes[0], again)
+                    c, low, high = (x[ends] for x in nodes)
                     d = np.searchsorted(first, c, "right") - 1
                     before, after = np.minimum(c - low, width - 1), np.minimum(high - c, width - 1)
                     rows.append(at + d)
@@ -210,15 +227,33 @@ def _parts(a: list[int], b: list[int], hit: list[int], places: list[int], need:
     return sorted(out, key=lambda p: p[2])
 
 
+def may_share(a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray, width: int, similarity: float) -> np.ndarray:
+    """Which pairs of sequences, given one after the other, have a stretch of ``width`` in b that
+    shares with a as much as ``common_passages`` needs to begin a passage; all others have none."""
+    need = int(np.ceil(2 * similarity / (1 + similarity) * width - 1e-9))
+    known = np.sort(np.repeat(np.arange(len(a_size)), a_size) << 32 | a)
+    row = np.repeat(np.arange(len(b_size)), b_size)
+    wanted = row << 32 | b
+    if not len(known) or len(b) < width:
+        return np.zeros(len(b_size), bool)
+    found = known[np.minimum(np.searchsorted(known, wanted), len(known) - 1)] == wanted
+    total = np.concatenate([[0], np.cumsum(found)])
+    good = (total[width:] - total[:-width] >= need) & (row[width - 1:] == row[:len(row) - width + 1])
+    out = np.zeros(len(b_size), bool)
+    out[row[np.flatnonzero(good)]] = True
+    return out
+
+
 def _verify(width: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, len(b), ROWS)):
             found = []
             parts = [batch.column(c) for c in ("a_part", "b_part")]
             flats = [p.flatten().to_numpy() for p in parts]
-            edges = [np.concatenate([[0], np.cumsum(p.value_lengths().to_numpy())]) for p in parts]
+            sizes = [p.value_lengths().to_numpy().astype(np.int64) for p in parts]
+            edges = [np.concatenate([[0], np.cumsum(size)]) for size in sizes]
             names = {c: batch.column(c).to_pylist() for c in ("a_doc", "b_doc", "a_from", "b_from")}
-            for k in range(len(batch)):
+            for k in np.flatnonzero(may_share(flats[0], sizes[0], flats[1], sizes[1], width, similarity)).tolist():
                 a, b = (flat[e[k]:e[k + 1]] for flat, e in zip(flats, edges))
                 for x, y, u, v, like in common_passages(a, b, width, similarity):
                     low, high = names["a_from"][k], names["b_from"][k]
@@ -253,31 +288,42 @@ def _second_look(width: int, similarity: float):
     with one of each other cluster, which becomes one with its own.  The settled ones are linked by
     their centre, so they are one cluster.  A window is compared only with windows
     that share enough marks with it beside c, and then enough around c; others cannot be like it.
+    They meet by the rarest marks, so a phrase that all windows of a group share makes no pairs.
     """
     side = _around(width, similarity)
     need = int(np.ceil(2 * similarity / (1 + similarity) * width - 1e-9))
     far, enough = _beside(width, width - need)
 
+    beside = np.concatenate([side - far, side + far])
+
+    def index(places: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(marks, rows), by mark, of the rarest marks beside c, so many of each side that one of them
+        is shared wherever enough of that side are."""
+        marks = places[:, beside].reshape(-1, len(far))
+        marks = np.where(marks >= 0, np.repeat(group, 2)[:, None] << 32 | marks, np.int64(-1))
+        _, which, many = np.unique(marks, return_inverse=True, return_counts=True)
+        often = np.where(marks >= 0, many[which.reshape(marks.shape)], len(marks) * len(far) + 1)
+        order = np.argsort(often, axis=1, kind="stable")
+        spare = (marks >= 0).sum(axis=1) - enough
+        line, rank = np.nonzero(np.arange(len(far)) <= spare[:, None])
+        marks, row = marks[line, order[line, rank]], line // 2
+        order = np.lexsort((row, marks))
+        marks, row = marks[order], row[order]
+        fresh = np.ones(len(marks), bool)
+        fresh[1:] = (marks[1:] != marks[:-1]) | (row[1:] != row[:-1])
+        return marks[fresh], row[fresh]
+
     def candidates(places: np.ndarray, group: np.ndarray, doc: np.ndarray, is_open: np.ndarray, cluster: np.ndarray
                    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(pivots, others) that share enough marks beside c, for the open rows in order that are in
-        no cluster when their turn comes; so many at a time as make ``PAIRS`` pairs of rows."""
-        first = np.searchsorted(group, group)
-        size = np.searchsorted(group, group, "right") - first
-        # marks beside c with their row and side
-        marks = places[:, np.concatenate([side - far, side + far])]
-        row, column = np.nonzero(marks >= 0)
-        marks = group[row] << 32 | marks[row, column]
-        order = np.argsort(marks, kind="stable")
-        row = (2 * row + column // len(far))[order]
-        marks, where, many = np.unique(marks[order], return_index=True, return_counts=True)
+        """(pivots, others) that may share enough marks beside c, for the open rows in order that are
+        in no cluster when their turn comes; about ``PAIRS`` meetings at a time."""
+        marks, row = index(places, group)
+        if not len(marks):
+            return
+        marks, where, many = np.unique(marks, return_index=True, return_counts=True)
         turns = np.flatnonzero(is_open)
-        done = np.cumsum(size[turns])
-        at = 0
-        while at < len(turns) and len(marks):
-            upto = max(int(np.searchsorted(done, (done[at - 1] if at else 0) + PAIRS, "right")), at + 1)
-            now = turns[at:upto]
-            at = upto
+        for at in range(0, len(turns), TURNS):
+            now = turns[at:at + TURNS]
             now = now[cluster[now] < 0]
             if not len(now):
                 continue
@@ -287,27 +333,41 @@ def _second_look(width: int, similarity: float):
             found = np.minimum(np.searchsorted(marks, own), len(marks) - 1)
             known = np.flatnonzero(marks[found] == own)
             mine, begin, times = mine[known], where[found[known]], many[found[known]]
-            hit = row[np.repeat(begin - np.cumsum(times) + times, times) + np.arange(times.sum())]
-            # a counter for each pivot, each row of its group and each side
-            base = np.cumsum(size[now]) - size[now]
-            shared = np.bincount(hit + np.repeat(2 * (base - first[now])[mine], times), minlength=2 * int(size[now].sum()))
-            met = np.flatnonzero(shared.reshape(-1, 2).max(axis=1) >= enough)
-            mine = np.searchsorted(base, met, "right") - 1
-            others = met - base[mine] + first[now][mine]
-            apart = doc[others] != doc[now][mine]
-            yield now[mine[apart]], others[apart]
+            meetings = np.concatenate([[0], np.cumsum(times)])
+            last = np.searchsorted(mine, np.arange(len(now)), "right")
+            k = 0
+            while k < len(now):
+                low = last[k - 1] if k else 0
+                upto = max(int(np.searchsorted(meetings[last], meetings[low] + PAIRS, "right")), k + 1)
+                part = np.arange(low, last[upto - 1])
+                k = upto
+                part = part[cluster[now[mine[part]]] < 0]
+                if not len(part):
+                    continue
+                t = times[part]
+                hit = row[np.repeat(begin[part] - np.cumsum(t) + t, t) + np.arange(t.sum())]
+                met = np.unique(np.repeat(mine[part], t) * len(doc) + hit)
+                pivots, others = now[met // len(doc)], met % len(doc)
+                apart = doc[others] != doc[pivots]
+                yield pivots[apart], others[apart]
 
     def near(places: np.ndarray, pivot: int, others: np.ndarray, seen: np.ndarray) -> np.ndarray:
-        """Those of ``others`` with so many marks of the pivot in a stretch around c that they may be like it."""
+        """Those of ``others`` with so many marks of the pivot beside c, and in a stretch around c, that
+        they may be like it; those with the most marks at the pivot's places first."""
         own = places[pivot] >> 31 - SLOT_BITS
         seen[own] = True
         seen[-1] = False
-        inside = seen[places[others, side - width + 1:side + width] >> 31 - SLOT_BITS].view(np.int8)
+        shared = seen[places[others[:, None], beside] >> 31 - SLOT_BITS].reshape(-1, 2, len(far)).sum(axis=2, dtype=np.int8)
+        others = others[(shared >= enough).any(axis=1)]
+        around = places[others, side - width + 1:side + width]
+        inside = seen[around >> 31 - SLOT_BITS].view(np.int8)
         seen[own] = False
         some = np.flatnonzero(inside.sum(axis=1, dtype=np.int16) >= need)
         total = np.zeros((len(some), 2 * width), np.int16)
         np.cumsum(inside[some], axis=1, dtype=np.int16, out=total[:, 1:])
-        return others[some[(total[:, width:] - total[:, :-width] >= need).any(axis=1)]]
+        some = some[(total[:, width:] - total[:, :-width] >= need).any(axis=1)]
+        same = (around[some] == places[pivot, side - width + 1:side + width]).sum(axis=1)
+        return others[some[np.argsort(-same, kind="stable")]]
 
     def alike(places: np.ndarray, pivot: int, other: int) -> bool:
         a, b = places[pivot], places[other]
@@ -429,8 +489,8 @@ def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS, similarity
     passages; a null id takes part in nothing; rows that repeat an id count as one document.
     Other columns are not used.
 
-    Windows whose minimum occurs once in the corpus are dropped by a count that carries only the
-    key.  Of the others, groups that agree in the minimum are stars around their smallest window.
+    A run of one shingle has the windows of its first and last place only.  Windows whose minimum
+    occurs once in the corpus are dropped by a count that carries only the key.  Of the others, groups that agree in the minimum are stars around their smallest window.
     Where a group has members that no passage shared with it covers, its windows with equal
     surroundings become one, and an open one is linked with one of each cluster that is like it.  The
     stretches that a pair of documents may share are merged and only that part of both sequences is
