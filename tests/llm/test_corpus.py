@@ -410,9 +410,10 @@ def test_second_look_at_a_common_phrase(monkeypatch):
     around = rng.integers(0, 1 << 31, (n, 117)).astype(np.int32)
     around[:, 50:67] = np.arange(17)
     around[n - 1, 20:100] = around[5, 20:100]
-    met = []
-    whole = np.unique
+    met = []     # meetings that are looked up or counters that are kept for them
+    whole, count = np.unique, np.bincount
     monkeypatch.setattr(np, "unique", lambda x, **k: met.append(0 if k else len(x)) or whole(x, **k))
+    monkeypatch.setattr(np, "bincount", lambda x, **k: met.append(k.get("minlength", 0)) or count(x, **k))
     batch = pa.RecordBatch.from_arrays(
         [pa.array(np.zeros(n, np.int64)), pa.array(np.arange(n)), pa.array(np.full(n, 100)), pa.array(np.zeros(n, bool)),
          pa.array(list(around), pa.list_(pa.int32()))], ["key", "doc_id", "c", "settled", "around"])
